@@ -37,12 +37,10 @@ def text_fingerprints(df: DataFrame, id_col: str, text_col: str, out: str = "pha
 
     def bit(count: Column, position: int) -> Column:
         # more set than unset votes: 2 * count > n
-        return F.when(count * 2 > F.col("_n"), F.shiftleft(F.lit(1).cast("bigint"), position)).otherwise(F.lit(0).cast("bigint"))
-
-    packed = None
-    for i in range(32):
-        low = bit(F.col(f"_s{i}").bitwiseAND(F.lit(0xFFFFFFFF)), i)
-        high = bit(F.shiftrightunsigned(f"_s{i}", 32), i + 32)
-        both = low.bitwiseOR(high)
-        packed = both if packed is None else packed.bitwiseOR(both)
-    return votes.select(id_col, packed.alias(out))
+        return F.shiftleft((count * 2 > F.col("_n")).cast("bigint"), position)
+
+    bits = [bit(F.col(f"_s{i}").bitwiseAND(F.lit(0xFFFFFFFF)), i) for i in range(32)]
+    bits += [bit(F.shiftrightunsigned(f"_s{i}", 32), i + 32) for i in range(32)]
+    while len(bits) > 1:  # pairwise, so that the expression stays shallow
+        bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2])]
+    return votes.select(id_col, bits[0].alias(out))
