@@ -54,7 +54,7 @@ def match_rule_table(members: DataFrame, rules: DataFrame, key: str, path_col: s
     the rule table only if its size was checked (`small_table`).
     """
     hit = members.join(rules, ["dataset_id", "archive"], "left").filter(
-        F.col("pattern").isNull() | F.col(path_col).rlike(F.col("pattern")))
+        F.col("pattern").isNull() | F.rlike(F.col(path_col), F.col("pattern")))
     best = hit.groupBy(key).agg(F.min(F.struct("ordinal", "pattern", "label", "exclude", "skip")).alias("rule"))
     return members.join(best, key, "left")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -123,29 +123,31 @@ def with_shape(manifest: DataFrame) -> DataFrame:
     return manifest.withColumns({"aspect": aspect, "short_side": F.least("width", "height")})
 
 
-def wide_quantiles(df: DataFrame, groups: Sequence[str], value: str, named: dict[str, float]) -> DataFrame:
-    """Quantiles as columns, one row per group."""
-    probs = list(named.values())
-    long = exact_quantiles(df, groups, value, probs)
-    return long.groupBy(*groups).agg(
-        *[F.max(F.when(F.col("prob") == float(p), F.col("value"))).alias(name) for name, p in named.items()])
+def wide_quantiles(df: DataFrame, groups: Sequence[str], named: Mapping[str, tuple[str, float]]) -> DataFrame:
+    """Quantiles as columns, one row per group; `named` is output name -> (value column, probability)."""
+    wanted: dict[str, list[float]] = {}
+    for value, p in named.values():
+        wanted.setdefault(value, []).append(p)
+    long = exact_quantiles(df, groups, wanted)
+    return long.groupBy(*groups).agg(*[
+        F.max(F.when((F.col("column") == value) & (F.col("prob") == float(p)), F.col("value"))).alias(name)
+        for name, (value, p) in named.items()])
 
 
 def size_profile(manifest: DataFrame) -> DataFrame:
     """Per dataset: rows, median width, height and aspect, 5th percentile of the short side."""
     rows = with_shape(active(manifest))
     counts = rows.groupBy("dataset_id").agg(F.count("image_id").alias("items"))
-    for value, named in [("width", {"median_width": .5}), ("height", {"median_height": .5}),
-                         ("short_side", {"min_side_p05": .05}), ("aspect", {"median_aspect": .5})]:
-        counts = counts.join(wide_quantiles(rows, ["dataset_id"], value, named), "dataset_id", "left")
-    return counts
+    return counts.join(wide_quantiles(rows, ["dataset_id"], {
+        "median_width": ("width", .5), "median_height": ("height", .5), "min_side_p05": ("short_side", .05),
+        "median_aspect": ("aspect", .5)}), "dataset_id", "left")
 
 
 FIVE_NUMBERS = {"low": 0.0, "q1": .25, "median": .5, "q3": .75, "high": 1.0}
 
 
 def five_numbers(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
-    return wide_quantiles(df, groups, value, FIVE_NUMBERS)
+    return wide_quantiles(df, groups, {name: (value, p) for name, p in FIVE_NUMBERS.items()})
 
 
 def quality_flags(manifest: DataFrame, short_side: int = 224) -> DataFrame:
@@ -153,7 +155,7 @@ def quality_flags(manifest: DataFrame, short_side: int = 224) -> DataFrame:
     rows = with_shape(active(manifest)).filter(F.col("width").isNotNull())
     counts = rows.agg(F.count_if(F.col("short_side") < short_side).alias("small"),
                       F.count_if("is_grayscale").alias("grayscale"))
-    steps = exact_quantiles(rows, [], "sharpness_256", [.5, .05], how=ORDER)
+    steps = exact_quantiles(rows, [], {"sharpness_256": [.5, .05]}, how=ORDER)
     picked = steps.agg(F.max(F.when(F.col("prob") == .5, F.col("value"))).alias("sharpness_median"),
                        F.max(F.when(F.col("prob") == .05, F.col("value"))).alias("sharpness_p05"))
     one = F.lit(1).alias("_k")

@@ -7,7 +7,7 @@ what lies below the band and the distinct values inside it, all pre-aggregated b
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,51 +18,58 @@ LINEAR = "linear"
 ORDER = "order"
 
 
-def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float],
+def exact_quantiles(df: DataFrame, groups: Sequence[str], wanted: Mapping[str, Sequence[float]],
                     how: str = LINEAR, accuracy: int = 2000) -> DataFrame:
-    """One row per group and probability: (groups…, prob, value, n). NULL values are left out.
+    """One row per group, value column and probability: (groups…, column, prob, value, n).
 
-    LINEAR interpolates at p·(n−1); ORDER takes the element with zero-based index floor(n·p).
-    Group columns must not be NULL.
+    `wanted` lists the probabilities per value column; all of them share the same two passes over `df`.
+    NULL values are left out. LINEAR interpolates at p·(n−1); ORDER takes the element with zero-based
+    index floor(n·p). Group columns must not be NULL.
     """
     groups = list(groups)
     keys = groups or ["_all"]
-    data = df.filter(F.col(value).isNotNull()).select(
-        *(groups or [F.lit(0).alias("_all")]), F.col(value).cast("double").alias("_v"))
+    columns = list(wanted)
+    specs = [(j, float(p)) for j, c in enumerate(columns) for p in wanted[c]]
+    data = df.select(*(groups or [F.lit(0).alias("_all")]), *[F.col(c).cast("double").alias(f"_v{j}") for j, c in enumerate(columns)])
     margin = 4.0 / accuracy
-    edges = [edge for p in probs for edge in (max(0.0, p - margin), min(1.0, p + margin))]
-    sketch = cut_lineage(data.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        F.percentile_approx("_v", edges, accuracy).alias("_e")))
+    sketches = []
+    for j, c in enumerate(columns):
+        edges = [edge for p in wanted[c] for edge in (max(0.0, p - margin), min(1.0, p + margin))]
+        sketches += [F.count(f"_v{j}").alias(f"_n{j}"), F.min(f"_v{j}").alias(f"_min{j}"), F.max(f"_v{j}").alias(f"_max{j}"),
+                     F.percentile_approx(f"_v{j}", edges, accuracy).alias(f"_e{j}")]
+    sketch = cut_lineage(data.groupBy(*keys).agg(*sketches))
     bands = []
-    for i, p in enumerate(probs):
-        low = F.col("_min") if p - margin <= 0 else F.col("_e")[2 * i]
-        high = F.col("_max") if p + margin >= 1 else F.col("_e")[2 * i + 1]
-        inside = F.when(F.col("_v") >= low, F.col("_v"))  # NULL stands for "below the band"
-        bands.append(F.when(F.col("_v") <= high, F.struct(F.lit(i).alias("i"), inside.alias("v"))))
+    for i, (j, p) in enumerate(specs):
+        place = list(wanted[columns[j]]).index(p)
+        v, n, edge = F.col(f"_v{j}"), F.col(f"_n{j}"), F.col(f"_e{j}")
+        # in a group no larger than `accuracy` the band is the whole group
+        low = F.when((n <= accuracy) | F.lit(p <= margin), F.col(f"_min{j}")).otherwise(edge[2 * place])
+        high = F.when((n <= accuracy) | F.lit(p + margin >= 1), F.col(f"_max{j}")).otherwise(edge[2 * place + 1])
+        # NULL stands for "below the band"
+        bands.append(F.when(v <= high, F.struct(F.lit(i).alias("i"), n.alias("n"), F.when(v >= low, v).alias("v"))))
     # one row for an ungrouped call; else the planner broadcasts it only if the written size is small
     sized = sketch if groups else F.broadcast(sketch)
     counted = (
         data.join(sized, keys)
-        .select(*keys, "_n", F.explode(F.array_compact(F.array(*bands))).alias("_b"))
-        .groupBy(*keys, "_n", F.col("_b.i").alias("_i"), F.col("_b.v").alias("_v"))
-        .agg(F.count("*").alias("_c"))
-    )
+        .select(*keys, F.explode(F.array_compact(F.array(*bands))).alias("_b"))
+        .groupBy(*keys, F.col("_b.i").alias("_i"), F.col("_b.n").alias("_n"), F.col("_b.v").alias("_v"))
+        .agg(F.count("*").alias("_c")))
     upto = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
     cum = counted.withColumn("_cum", F.sum("_c").over(upto))
-    p = F.element_at(F.array(*[F.lit(float(x)) for x in probs]), F.col("_i") + 1)
-    place = p * (F.col("_n") - 1) if how == LINEAR else F.floor(p * F.col("_n"))
-    place = F.least(place.cast("double"), (F.col("_n") - 1).cast("double"))
+    p = F.element_at(F.array(*[F.lit(q) for _, q in specs]), F.col("_i") + 1)
+    name = F.element_at(F.array(*[F.lit(columns[j]) for j, _ in specs]), F.col("_i") + 1)
+    last = (F.col("_n") - 1).cast("double")
+    place = p * last if how == LINEAR else F.least(F.floor(p * F.col("_n")).cast("double"), last)
 
     def at(index):
         hit = (F.col("_cum") > index) & (F.col("_cum") - F.col("_c") <= index)
         return F.max(F.when(hit, F.col("_v")))
 
     low, high = F.floor(place), F.ceil(place)
-    picked = cum.groupBy(*keys, "_i").agg(F.first("_n").alias("n"), F.first(p).alias("prob"),
-                                          at(low).alias("_low"), at(high).alias("_high"),
-                                          F.first(place - low).alias("_f"))
+    picked = cum.groupBy(*keys, "_i").agg(
+        F.first("_n").alias("n"), F.first(p).alias("prob"), F.first(name).alias("column"),
+        at(low).alias("_low"), at(high).alias("_high"), F.first(place - low).alias("_f"))
     missed = F.col("_low").isNull() | F.col("_high").isNull()
     result = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_f")
-    checked = F.when(missed, F.raise_error(F.lit("quantile outside its band: raise accuracy")).cast("double")).otherwise(result)
-    return picked.select(*groups, "prob", checked.alias("value"), "n")
+    failure = F.raise_error(F.lit("quantile outside its band: raise accuracy")).cast("double")
+    return picked.select(*groups, "column", "prob", F.when(missed, failure).otherwise(result).alias("value"), "n")
