@@ -1,0 +1,86 @@
+"""Image jobs: one vectorised pass over a column of file contents each."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sievework.functions import images as one
+from sievework.functions.fingerprints import from_hex
+from sievework.functions.images import decode, letterbox, thumbnail
+from sievework.schema import HASHES
+
+BATCH = 64
+
+
+def _per_image(df: DataFrame, id_col: str, content_col: str, work: Callable[[bytes], dict], fields: str) -> DataFrame:
+    """Run `work` per file; only the id and the content travel to Python."""
+    id_type = df.schema[id_col].dataType.simpleString()
+    columns = [part.split()[0] for part in fields.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [work(bytes(content)) for content in batch[content_col]]
+            out = pd.DataFrame(rows, columns=columns, index=batch.index).astype(object)
+            out = out.where(out.notna(), None)
+            out.insert(0, id_col, batch[id_col])
+            yield out
+
+    return df.select(id_col, content_col).mapInPandas(run, f"{id_col} {id_type}, {fields}")
+
+
+def hash_images(df: DataFrame, id_col: str, content_col: str = "content") -> DataFrame:
+    """Content hash, perceptual hash (also as LONG), dimensions and quality measures; or an error text."""
+    hashed = _per_image(df, id_col, content_col, one.measure, HASHES)
+    return hashed.withColumn("phash64", from_hex(F.col("phash")))
+
+
+def mark_unreadable(manifest: DataFrame) -> DataFrame:
+    """Rows whose content could not be decoded leave the data set, with the error kept."""
+    bad = F.col("error").isNotNull()
+    return manifest.withColumns({
+        "status": F.when(bad, "exclude").otherwise(F.col("status")),
+        "reason": F.when(bad, "unreadable_image").otherwise(F.col("reason")), "error_detail": F.col("error")}).drop("error")
+
+
+def thumbnails(df: DataFrame, id_col: str, content_col: str = "content") -> DataFrame:
+    """(id, thumbnail BINARY, error): fitted to the box, upright, never enlarged."""
+    def work(data: bytes) -> dict:
+        try:
+            return {"thumbnail": thumbnail(data)}
+        except Exception as err:
+            return {"error": f"{type(err).__name__}: {err}"}
+
+    return _per_image(df, id_col, content_col, work, "thumbnail BINARY, error STRING")
+
+
+def colour_stats(df: DataFrame, id_col: str, content_col: str = "content") -> DataFrame:
+    fields = "saturation DOUBLE, value DOUBLE, border_saturation DOUBLE, border_value DOUBLE"
+    return _per_image(df, id_col, content_col, one.colour_stats, fields)
+
+
+def patch_means(batch: np.ndarray) -> np.ndarray:
+    """The built-in encoder: mean colour of an 8 × 8 grid. Any (n, h, w, 3) -> (n, d) function can take its place."""
+    n, size = batch.shape[0], batch.shape[1]
+    step = size // 8
+    return batch[:, :step * 8, :step * 8].reshape(n, 8, step, 8, step, 3).mean(axis=(2, 4)).reshape(n, -1)
+
+
+def extract_features(df: DataFrame, id_col: str, content_col: str = "content",
+                     encoder: Callable[[np.ndarray], np.ndarray] = patch_means, batch: int = BATCH) -> DataFrame:
+    """(id, features ARRAY<FLOAT>) from letterboxed float32 inputs, `batch` images at a time."""
+    id_type = df.schema[id_col].dataType.simpleString()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for at in range(0, len(frame), batch):
+                part = frame.iloc[at:at + batch]
+                inputs = np.stack([letterbox(decode(bytes(c))[0]) for c in part[content_col]]).astype(np.float32)
+                yield pd.DataFrame({id_col: part[id_col], "features": list(encoder(inputs).astype(np.float32))})
+
+    return df.select(id_col, content_col).mapInPandas(run, f"{id_col} {id_type}, features ARRAY<FLOAT>")
+

@@ -1 +1,57 @@
+"""Image jobs on pictures drawn from the documents: the bytes of a text as grey pixels, 64 to a row.
 
+Spark draws one PNG per document, so the work grows with the table, and copies of a text are copies of a
+picture. The values depend on the resampling used, so these queries have no SQL twin.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sievework.functions.images import to_png
+from sievework.operators import images
+from sievework.plans.catalogue import query
+from sievework.plans.items import spread, table
+
+WIDTH = 64
+
+
+def _draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        pngs = []
+        for text in frame["text"]:
+            raw = np.frombuffer(text.encode(), np.uint8)
+            rows = max(1, -(-raw.size // WIDTH))
+            pngs.append(to_png(np.resize(np.append(raw, np.zeros(rows * WIDTH - raw.size, np.uint8)), (rows, WIDTH))))
+        yield pd.DataFrame({"doc_id": frame["doc_id"], "content": pngs})
+
+
+def pictures(spark, sf_dir) -> DataFrame:
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.mapInPandas(_draw, "doc_id BIGINT, content BINARY")
+
+
+@query()
+def image_hashes(spark, sf_dir):
+    return images.hash_images(pictures(spark, sf_dir), "doc_id")
+
+
+@query()
+def image_thumbnails(spark, sf_dir):
+    small = images.thumbnails(pictures(spark, sf_dir), "doc_id")
+    return small.select("doc_id", F.octet_length("thumbnail").alias("thumbnail_bytes"), "error")
+
+
+@query()
+def image_colour_stats(spark, sf_dir):
+    return images.colour_stats(pictures(spark, sf_dir), "doc_id")
+
+
+@query()
+def image_features(spark, sf_dir):
+    return images.extract_features(pictures(spark, sf_dir), "doc_id").select("doc_id", F.size("features").alias("dims"), "features")

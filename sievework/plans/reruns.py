@@ -8,10 +8,10 @@ from sievework.plans.catalogue import query
 from sievework.plans.items import ITEMS_SQL, items, table
 from sievework.plans.staged import STAGED_SQL, staged
 
-# An earlier run: its index knows the rows whose content hash starts with a digit below c, some under an older
-# content, and a few rows that are no longer selected.
+# An earlier run knew every labelled document, French ones with an older text: some of them are no longer
+# selected, and selected documents without a label are new.
 INDEX_SQL = "WITH " + STAGED_SQL + """, selected AS (SELECT image_id, sha256 FROM staged WHERE status IN ('use', 'hold')),
-idx AS (SELECT image_id, CASE WHEN substr(sha256, 2, 1) = '0' THEN 'old' ELSE sha256 END AS sha256 FROM items WHERE substr(sha256, 1, 1) < 'c')"""
+idx AS (SELECT image_id, CASE crop WHEN 'fr' THEN 'old' ELSE sha256 END AS sha256 FROM items WHERE source_label <> 'unlabelled')"""
 
 
 def selected(spark, sf_dir):
@@ -19,8 +19,8 @@ def selected(spark, sf_dir):
 
 
 def index(spark, sf_dir):
-    rows = items(spark, sf_dir).filter(F.substring("sha256", 1, 1) < "c")
-    return rows.select("image_id", F.when(F.substring("sha256", 2, 1) == "0", "old").otherwise(F.col("sha256")).alias("sha256"))
+    rows = items(spark, sf_dir).filter(F.col("source_label") != "unlabelled")
+    return rows.select("image_id", F.when(F.col("crop") == "fr", "old").otherwise(F.col("sha256")).alias("sha256"))
 
 
 @query(INDEX_SQL + " SELECT s.image_id FROM selected s JOIN idx i ON s.image_id = i.image_id AND s.sha256 = i.sha256")
