@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,16 +31,16 @@ def confusion_matrix(scored: DataFrame, labels: list, truth: str = "y_true", pre
     return grid.join(counts, "y_true", "left").na.fill(0)
 
 
-def class_report(scored: DataFrame, truth: str = "y_true", pred: str = "y_pred") -> DataFrame:
-    """precision, recall, f1 and support per label; 0 where the denominator is 0."""
-    pairs = confusion_counts(scored, truth, pred)
+def class_report(scored: DataFrame, truth: str = "y_true", pred: str = "y_pred", by: Sequence[str] = ()) -> DataFrame:
+    """precision, recall, f1 and support per label; 0 where the denominator is 0. `by` keeps runs apart."""
+    pairs = scored.groupBy(*by, F.col(truth).alias("y_true"), F.col(pred).alias("y_pred")).agg(F.count("*").alias("n"))
+    none = F.lit(0).cast("bigint")
     # each pair counts once for its true and once for its predicted label
     sides = F.array(
-        F.struct(F.col("y_true").alias("label"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("predicted"),
+        F.struct(F.col("y_true").alias("label"), F.col("n").alias("support"), none.alias("predicted"),
                  F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0).alias("hits")),
-        F.struct(F.col("y_pred").alias("label"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("predicted"),
-                 F.lit(0).cast("bigint").alias("hits")))
-    sums = pairs.select(F.explode(sides).alias("s")).select("s.*").groupBy("label").agg(
+        F.struct(F.col("y_pred").alias("label"), none.alias("support"), F.col("n").alias("predicted"), none.alias("hits")))
+    sums = pairs.select(*by, F.explode(sides).alias("s")).select(*by, "s.*").groupBy(*by, "label").agg(
         F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("hits").alias("hits"))
 
     def ratio(a, b):
@@ -46,7 +48,7 @@ def class_report(scored: DataFrame, truth: str = "y_true", pred: str = "y_pred")
 
     hits = F.col("hits")
     return sums.select(
-        "label", ratio(hits, F.col("predicted")).alias("precision"), ratio(hits, F.col("support")).alias("recall"),
+        *by, "label", ratio(hits, F.col("predicted")).alias("precision"), ratio(hits, F.col("support")).alias("recall"),
         ratio(2 * hits, F.col("predicted") + F.col("support")).alias("f1"), "support")
 
 

@@ -1 +1,73 @@
+"""Probes and head training on the embeddings. MLlib results have no SQL twin."""
 
+from pyspark.sql import functions as F
+
+from sievework.operators import probes
+from sievework.operators.evaluate import class_report, confusion_counts
+from sievework.operators.scoring import top_k
+from sievework.operators.splits import stratified_split
+from sievework.plans.catalogue import query
+from sievework.plans.items import table
+from sievework.plans.samples import SEED
+from sievework.plans.staged import STAGED_SQL, staged
+from sievework.operators.profile import with_shape
+from sievework.operators.sampling import sample_per_group
+
+
+def embedded_items(spark, sf_dir):
+    """Usable documents with the embedding of the same number; the language plays the source."""
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("features"))
+    use = with_shape(staged(spark, sf_dir).filter("status = 'use'")).join(vectors, "doc_id")
+    return use.withColumns({"dataset_id": F.col("crop"), "crop": F.lit("text")})
+
+
+@query("WITH " + STAGED_SQL + """ SELECT s.image_id, s.class_id, len(e.embedding)::INTEGER AS dims FROM staged s
+JOIN embeddings e ON s.doc_id = e.vec_id WHERE s.status = 'use'""")
+def items_with_features(spark, sf_dir):
+    return embedded_items(spark, sf_dir).select("image_id", "class_id", F.size("features").alias("dims"))
+
+
+@query()
+def pca_variance(spark, sf_dir):
+    model, _ = probes.principal_components(table(spark, sf_dir, "embeddings"), "embedding", 50)
+    shares = [float(v) for v in model.explainedVariance.toArray()]
+    return spark.createDataFrame(list(enumerate(shares)), "component INT, explained_variance DOUBLE")
+
+
+@query()
+def pca_projection(spark, sf_dir):
+    """Components of at most 300 rows per label, the input of a scatter plot."""
+    vectors = sample_per_group(table(spark, sf_dir, "embeddings"), ["label"], "vec_id", 300, 0)
+    _, rows = probes.principal_components(vectors, "embedding", 50)
+    return rows.select("vec_id", "label", F.transform("components", lambda c: F.round(c, 6)).alias("components"))
+
+
+@query()
+def shortcut_report(spark, sf_dir):
+    return probes.shortcut_report(embedded_items(spark, sf_dir))
+
+
+def head_scores(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("image_id"), F.lit("embeddings").alias("dataset_id"),
+        F.concat(F.lit("C"), F.col("label").cast("string")).alias("class_id"), F.col("embedding").alias("features"))
+    rows = stratified_split(vectors, SEED)
+    labels, model = probes.train_head(rows)
+    return probes.score_head(rows.filter(F.col("split").isin("val", "test")), labels, model)
+
+
+@query()
+def head_report(spark, sf_dir):
+    return class_report(head_scores(spark, sf_dir), truth="class_id", by=["split"])
+
+
+@query()
+def head_confusion(spark, sf_dir):
+    return confusion_counts(head_scores(spark, sf_dir).filter("split = 'test'"), truth="class_id")
+
+
+@query()
+def head_top_3(spark, sf_dir):
+    best = top_k(head_scores(spark, sf_dir), "probs")
+    return best.select("image_id", F.posexplode("top").alias("place", "t")).select(
+        "image_id", "place", "t.class_index", "t.confidence")
