@@ -98,6 +98,13 @@ def group_caption(dataset_id: Column, source_label: Column) -> Column:
     return F.concat(F.substring(F.replace(dataset_id, F.lit("_"), F.lit(" ")), 1, 18), F.lit(" · "), source_label)
 
 
+def words(text: Column) -> Column:
+    """Lower-case whitespace tokens, without the empty one."""
+    # white space made plain blanks first: splitting at one fixed character needs no regular expression
+    blanks = F.translate(F.lower(text), "\t\n\x0b\f\r", "     ")
+    return F.array_remove(F.split(blanks, " "), "")
+
+
 def tokens(text: Column) -> Column:
-    """Distinct lower-case whitespace tokens, without the empty one."""
-    return F.array_distinct(F.filter(F.split(F.lower(text), r"\s+"), lambda t: t != ""))
+    """Distinct words."""
+    return F.array_distinct(words(text))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.functions.fingerprints import text_fingerprints, to_hex
-from sievework.functions.text import content_hash, stable_id
+from sievework.functions.text import content_hash, stable_id, tokens, words
 from sievework.operators.classify import decide, map_labels
 from sievework.registry import Dataset, class_map_table, dataset_table, severity_table
 from sievework.session import small_table
@@ -48,8 +48,7 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spread(table(spark, sf_dir, "documents"))
     labels = table(spark, sf_dir, "labels")
     mark = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1)
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda t: t != "")
-    share = F.try_divide(F.lit(100.0) * F.size(F.array_distinct(words)), F.size(words))
+    share = F.try_divide(F.lit(100.0) * F.size(tokens(F.col("text"))), F.size(words(F.col("text"))))
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     blanks = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
     rows = docs.join(labels, "doc_id", "left").select(

@@ -37,7 +37,7 @@ def partial_path(path: str, partial: bool) -> str:
 
 def append_cache(rows: DataFrame, path: str, version: str) -> None:
     """New hash results, stored by version so that a reader opens its own version only."""
-    stamped = rows.withColumn("hash_version", F.lit(version))
+    stamped = rows.withColumn("hash_version", F.lit(version).cast("string"))
     stamped.select(*names(HASH_CACHE)).write.mode("append").partitionBy("hash_version").parquet(path)
 
 
