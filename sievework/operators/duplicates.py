@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sievework.functions.text import is_reviewed, label_identity
 from sievework.operators.near_duplicates import BUCKET_ROWS, leader_links
 from sievework.operators.ranks import dense_ids
+from sievework.operators.skew import HOT_ROWS, left_join_weighted
 from sievework.session import cut_lineage
 
 DEFAULT_THRESHOLD = 4
@@ -44,11 +45,11 @@ def _differs(low: str, high: str) -> Column:
 
 
 def resolve_duplicates(manifest: DataFrame, priority: DataFrame, threshold: int = DEFAULT_THRESHOLD,
-                       bucket_rows: int = BUCKET_ROWS) -> DuplicateResult:
+                       bucket_rows: int = BUCKET_ROWS, hot_rows: int = HOT_ROWS) -> DuplicateResult:
     """Group exact and near copies, keep one row per group, settle label conflicts.
 
-    `manifest` has the manifest columns plus phash64; `priority` is (dataset_id, priority). All copies of
-    one fingerprint collapse in the map-side aggregate first; groups are then put together from one
+    `manifest` has the manifest columns plus phash64 and should be a stored table, as it is read three
+    times; `priority` is (dataset_id, priority). All copies of one fingerprint collapse in the map-side aggregate first; groups are then put together from one
     row per fingerprint, so a group with a third of all rows costs no more than any other.
     """
     if not 0 <= threshold <= 64:
@@ -94,11 +95,14 @@ def resolve_duplicates(manifest: DataFrame, priority: DataFrame, threshold: int
         F.array_sort(F.transform("labels", lambda l: F.concat_ws(":", l["dataset_id"], l["label"]))).alias("labels"),
         (F.size(F.array_distinct("labels.dataset_id")) > 1).alias("cross_dataset"), _differs("split_low", "split_high").alias("cross_split")))
     in_group = cut_lineage(
-        placed.select("phash64", "leader_rank").join(groups.drop("datasets", "labels"), "leader_rank"))
+        placed.select("phash64", "leader_rank", F.col("size").alias("copies"))
+        .join(groups.drop("datasets", "labels"), "leader_rank"))
 
-    member = manifest.filter(takes_part()).join(
+    # a fingerprint that a large part of all rows share is joined without moving those rows
+    member = left_join_weighted(
+        manifest.filter(takes_part()),
         in_group.select("phash64", F.col("dup_group").alias("_group"), "outcome", "leader_id", "leader_sha256",
-                        "experts_disagree"), "phash64", "left")
+                        "experts_disagree", "copies"), "phash64", "copies", floor=hot_rows)
     reviewed = is_reviewed(F.col("reason"))
     grouped_row = F.col("_group").isNotNull()
     conflict = grouped_row & (F.col("outcome") == "label_conflict") & ~(reviewed & ~F.col("experts_disagree"))

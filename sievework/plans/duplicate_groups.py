@@ -2,11 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from sievework.functions.fingerprints import hamming
+from sievework.functions.fingerprints import hamming, text_fingerprints
 from sievework.operators import duplicates, profile
+from sievework.operators.near_duplicates import leader_links
+from sievework.operators.ranks import dense_ids
+from sievework.operators.skew import left_join_weighted
 from sievework.plans.catalogue import query
-from sievework.plans.items import ITEMS_SQL, items
+from sievework.plans.items import FINGERPRINTS_SQL, ITEMS_SQL, items, spread, table
 from sievework.plans.staged import CURATED_SQL, curated
+from sievework.session import cut_lineage
 
 
 def report(spark, sf_dir):
@@ -16,9 +20,10 @@ def report(spark, sf_dir):
 @query("WITH " + ITEMS_SQL + """, f AS (SELECT sha256, min(image_id) AS kept, count(*) AS n FROM items GROUP BY 1 HAVING count(*) > 1)
 SELECT i.image_id, f.kept AS duplicate_of FROM items i JOIN f ON i.sha256 = f.sha256 WHERE i.image_id <> f.kept""")
 def exact_duplicates(spark, sf_dir):
-    rows = items(spark, sf_dir).select("image_id", "sha256")
+    rows = cut_lineage(items(spark, sf_dir).select("image_id", "sha256"))
     first = rows.groupBy("sha256").agg(F.min("image_id").alias("duplicate_of"), F.count("*").alias("n")).filter("n > 1")
-    return rows.join(first, "sha256").filter(F.col("image_id") != F.col("duplicate_of")).select("image_id", "duplicate_of")
+    return left_join_weighted(rows, first, "sha256", "n").filter(F.col("image_id") != F.col("duplicate_of")).select(
+        "image_id", "duplicate_of")
 
 
 @query(CURATED_SQL + """ SELECT n.fp AS phash64, l.fp AS leader_phash64, bit_count(xor(n.fp, l.fp))::INTEGER AS distance
@@ -28,6 +33,22 @@ def near_duplicate_links(spark, sf_dir):
     return links.select("phash64", "leader_phash64", hamming(F.col("phash64"), F.col("leader_phash64")).alias("distance"))
 
 
+@query("WITH RECURSIVE " + FINGERPRINTS_SQL + """, nodes AS MATERIALIZED (SELECT phash64 AS fp, row_number() OVER (ORDER BY min(doc_id)) AS rank FROM fps GROUP BY 1),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS rank, CAST([] AS STRUCT(r BIGINT, fp BIGINT)[]) AS leaders, CAST(NULL AS BIGINT) AS leader_rank
+  UNION ALL
+  SELECT rank, CASE WHEN hit IS NULL THEN list_append(leaders, {'r': rank, 'fp': fp}) ELSE leaders END, coalesce(hit, rank)
+  FROM (SELECT n.rank, n.fp, w.leaders, list_filter(w.leaders, lambda x: bit_count(xor(x.fp, n.fp)) <= 10)[1].r AS hit
+    FROM walk w JOIN nodes n ON n.rank = w.rank + 1)
+) SELECT rank, leader_rank FROM walk WHERE rank <> leader_rank""")
+def wide_near_copies(spark, sf_dir):
+    """Leaders at distance 10, over all documents in id order."""
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    prints = text_fingerprints(docs, "doc_id", "text").groupBy("phash64").agg(F.min("doc_id").alias("first"))
+    nodes = dense_ids(prints, ["first"], "rank").select(F.col("phash64").alias("fp"), "rank")
+    return leader_links(nodes, 10)
+
+
 @query(CURATED_SQL + " SELECT dup_group, size, outcome, label_conflict, datasets, cross_dataset, cross_split, canonical, labels FROM report")
 def duplicate_report(spark, sf_dir):
     return report(spark, sf_dir)

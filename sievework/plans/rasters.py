@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from sievework.functions.images import to_png
 from sievework.operators import images
+from sievework.operators.profile import active
 from sievework.plans.catalogue import query
 from sievework.plans.items import spread, table
+from sievework.plans.staged import staged
 
 WIDTH = 64
 
@@ -55,3 +57,10 @@ def image_colour_stats(spark, sf_dir):
 @query()
 def image_features(spark, sf_dir):
     return images.extract_features(pictures(spark, sf_dir), "doc_id").select("doc_id", F.size("features").alias("dims"), "features")
+
+
+@query()
+def items_with_colour(spark, sf_dir):
+    """Colour statistics joined onto the active items, as the background box plots need them."""
+    rows = active(staged(spark, sf_dir)).select("doc_id", "image_id", "dataset_id", "source_label", "sharpness_256", "brightness")
+    return rows.join(images.colour_stats(pictures(spark, sf_dir), "doc_id"), "doc_id", "left")

@@ -7,6 +7,7 @@ from sievework.operators.ranks import first_per_group
 from sievework.plans.catalogue import query
 from sievework.plans.items import table
 from sievework.plans.staged import STAGED_SQL, staged
+from sievework.session import cut_lineage
 
 SEED = 20240501
 SPLIT_SQL = """
@@ -31,7 +32,8 @@ def capped_split(spark, sf_dir):
 
 
 def item_splits(spark, sf_dir):
-    use = staged(spark, sf_dir).filter("status = 'use'").select("image_id", "dataset_id", "class_id")
+    # written once: ranking reads its input twice
+    use = cut_lineage(staged(spark, sf_dir).filter("status = 'use'").select("doc_id", "image_id", "dataset_id", "class_id"))
     return splits.stratified_split(use, SEED)
 
 
@@ -42,7 +44,15 @@ ITEM_SPLIT_SQL = "WITH " + STAGED_SQL + "," + ITEMS_SRC + "," + SPLIT_SQL + """,
 
 @query(ITEM_SPLIT_SQL + " SELECT image_id, dataset_id, class_id, split FROM done")
 def stratified_split(spark, sf_dir):
-    return item_splits(spark, sf_dir)
+    return item_splits(spark, sf_dir).drop("doc_id")
+
+
+@query(ITEM_SPLIT_SQL + """ SELECT d.image_id, len(e.embedding)::INTEGER AS dims, d.split, d.class_id, d.dataset_id FROM done d
+JOIN items i ON i.image_id = d.image_id JOIN embeddings e ON e.vec_id = i.doc_id WHERE d.split <> 'unused'""")
+def feature_rows(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    return item_splits(spark, sf_dir).filter("split <> 'unused'").join(vectors, "doc_id").select(
+        "image_id", F.size("embedding").alias("dims"), "split", "class_id", "dataset_id")
 
 
 @query(ITEM_SPLIT_SQL + """ SELECT class_id, count(*) FILTER (split = 'train') AS train, count(*) FILTER (split = 'val') AS val,

@@ -10,6 +10,7 @@ from sievework.operators.duplicates import DuplicateResult, resolve_duplicates
 from sievework.operators.overrides import apply_valid_overrides
 from sievework.operators.quality import apply_quality_rules
 from sievework.plans import items as source
+from sievework.session import cut_lineage
 
 ACTION_OF_EVENT = {"purchase": "use", "error": "exclude", "view": "hold"}
 
@@ -42,7 +43,8 @@ def curated(spark: SparkSession, sf_dir: str) -> DuplicateResult:
     """The settled manifest. Its parts are written tables, so one session resolves each input once."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _CURATED:
-        rows = source.with_fingerprints(spark, sf_dir, staged(spark, sf_dir))
+        # written once: resolving reads the manifest three times
+        rows = cut_lineage(source.with_fingerprints(spark, sf_dir, staged(spark, sf_dir)))
         _CURATED[key] = resolve_duplicates(rows, source.datasets(spark).select("dataset_id", "priority"))
     return _CURATED[key]
 
@@ -89,7 +91,7 @@ part AS (
       CAST(s.width AS BIGINT) * s.height DESC, s.priority, s.member_path) AS keep
   FROM staged s JOIN fps f ON s.doc_id = f.doc_id
   WHERE s.status IN ('use', 'hold') OR (s.status = 'exclude' AND starts_with(coalesce(s.reason, ''), 'review:'))
-), nodes AS (
+), nodes AS MATERIALIZED (
   SELECT phash64 AS fp, row_number() OVER (ORDER BY min(keep)) AS rank FROM part GROUP BY phash64
 ), walk AS (
   SELECT CAST(0 AS BIGINT) AS rank, CAST([] AS STRUCT(r BIGINT, fp BIGINT)[]) AS leaders, CAST(NULL AS BIGINT) AS leader_rank
