@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,11 +16,6 @@ from sievework.session import first_true
 NO_RULE = -1
 
 
-def rule_number(path: Column, rules: Sequence[PathRule]) -> Column:
-    """Index of the first rule found in the path, -1 without one."""
-    return first_true([(path.rlike(to_java_pattern(r.pattern)[0]), F.lit(i)) for i, r in enumerate(rules)], F.lit(NO_RULE))
-
-
 def captured(path: Column, number: Column, rules: Sequence[PathRule], group: str) -> Column:
     """The named capture of the rule that matched; '' if that rule has no such group."""
     pairs = []
@@ -29,22 +26,37 @@ def captured(path: Column, number: Column, rules: Sequence[PathRule], group: str
     return first_true(pairs, F.lit(""))
 
 
-def _fixed(number: Column, values: Sequence[str | None]) -> Column:
-    return first_true([(number == i, F.lit(v)) for i, v in enumerate(values) if v]).cast("string")
+def _of_rule(values: Sequence[str | None]) -> Column:
+    """The value that belongs to rule_no; NULL without a rule."""
+    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), F.col("rule_no"))
+
+
+def _with_rule(members: DataFrame, placed: Sequence[tuple[str | None, PathRule]], path_col: str) -> DataFrame:
+    """Add the columns of the first matching rule; a rule with an archive only looks at that archive's members."""
+    path, number, rules = F.col(path_col), F.col("rule_no"), [r for _, r in placed]
+    hits = []
+    for i, (archive, rule) in enumerate(placed):
+        found = path.rlike(to_java_pattern(rule.pattern)[0])
+        hits.append((found if archive is None else (F.col("archive") == archive) & found, F.lit(i)))
+    return members.withColumn("rule_no", first_true(hits, F.lit(NO_RULE))).withColumns({
+        "rule_exclude": _of_rule([r.exclude for r in rules]),
+        "rule_skip": _of_rule([r.skip for r in rules]),
+        "raw_label": F.coalesce(_of_rule([r.label for r in rules]), captured(path, number, rules, "label")),
+        "split_source": F.nullif(captured(path, number, rules, "split"), F.lit("")),
+    })
 
 
 def apply_rules(members: DataFrame, rules: Sequence[PathRule], path_col: str = "member_path") -> DataFrame:
-    """Add rule_no, rule_exclude, rule_skip, raw_label and split_source for the members of one archive.
+    """Add rule_no (-1 without one), rule_exclude, rule_skip, raw_label and split_source by one list of rules.
 
     The rules become one CASE chain of literal patterns, which are compiled once per task.
     """
-    path, number = F.col(path_col), F.col("rule_no")
-    return members.withColumn("rule_no", rule_number(path, rules)).withColumns({
-        "rule_exclude": _fixed(number, [r.exclude for r in rules]),
-        "rule_skip": _fixed(number, [r.skip for r in rules]),
-        "raw_label": F.coalesce(_fixed(number, [r.label for r in rules]), captured(path, number, rules, "label")),
-        "split_source": F.nullif(captured(path, number, rules, "split"), F.lit("")),
-    })
+    return _with_rule(members, [(None, r) for r in rules], path_col)
+
+
+def apply_archive_rules(members: DataFrame, datasets: Sequence[Dataset]) -> DataFrame:
+    """`apply_rules` for members of many archives in one pass, each under the rules of its own archive."""
+    return _with_rule(members, [(a.file, r) for d in datasets for a in d.archives for r in a.rules], "member_path")
 
 
 def match_rule_table(members: DataFrame, rules: DataFrame, key: str, path_col: str = "member_path") -> DataFrame:
@@ -84,26 +96,47 @@ def map_labels(items: DataFrame, class_map: DataFrame, severity: DataFrame) -> D
     return joined.withColumn("mapped", mapped).withColumn("severity", F.when(mapped, F.col("severity")))
 
 
-def classify_members(members: DataFrame, datasets: Sequence[Dataset]) -> DataFrame:
-    """(archive, member_path, size …) to manifest rows with status. Skipped members have no row.
+def _listings(datasets: Sequence[Dataset]) -> list[list[Dataset]]:
+    """Passes over the members in which no archive is listed twice: one, unless data sets share an archive."""
+    passes: list[list[Dataset]] = []
+    for ds in datasets:
+        for archive in ds.archives:
+            one = replace(ds, archives=(archive,))
+            free = next((p for p in passes if all(archive.file != d.archives[0].file for d in p)), None)
+            if free is None:
+                passes.append([one])
+            else:
+                free.append(one)
+    return passes
+
+
+def _label_rows(members: DataFrame, listed: Sequence[Dataset]) -> DataFrame:
+    """One pass: rows of the listed archives with rule columns, dataset, crop and normalised label."""
+    owner = {d.archives[0].file: d for d in listed}
+
+    def by_archive(values: dict[str, str]) -> Column:
+        return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("archive")]
+
+    rows = apply_archive_rules(members.filter(F.col("archive").isin(list(owner))), listed).filter(F.col("rule_skip").isNull())
+    has_label = F.coalesce("raw_label", F.lit("")) != ""
+    labelled = (F.col("rule_no") != NO_RULE) & F.col("rule_exclude").isNull() & has_label
+    by_suffixes: dict[tuple[str, ...], list[str]] = {}
+    for file, ds in owner.items():
+        by_suffixes.setdefault(ds.strip_suffixes, []).append(file)
+    label = first_true([(labelled & F.col("archive").isin(files), normalise_label(F.col("raw_label"), suffixes))
+                        for suffixes, files in by_suffixes.items()])
+    return rows.withColumns({
+        "dataset_id": by_archive({f: d.id for f, d in owner.items()}), "crop": by_archive({f: d.crop for f, d in owner.items()}),
+        "has_label": has_label, "source_label": label})
 
-    Every archive has its own rule chain, so the members are read once per archive filter; the
-    archive filter is pushed into the scan.
-    """
+
+def classify_members(members: DataFrame, datasets: Sequence[Dataset]) -> DataFrame:
+    """(archive, member_path, size …) to manifest rows with status. Skipped members have no row."""
     spark = members.sparkSession
-    parts = None
-    for ds in datasets:
-        for arc in ds.archives:
-            rows = members.filter(F.col("archive") == arc.file)
-            rows = apply_rules(rows, arc.rules).filter(F.col("rule_skip").isNull())
-            has_label = F.coalesce("raw_label", F.lit("")) != ""
-            labelled = (F.col("rule_no") != NO_RULE) & F.col("rule_exclude").isNull() & has_label
-            rows = rows.withColumns({
-                "dataset_id": F.lit(ds.id), "crop": F.lit(ds.crop), "has_label": has_label,
-                "source_label": F.when(labelled, normalise_label(F.col("raw_label"), ds.strip_suffixes))})
-            parts = rows if parts is None else parts.unionByName(rows)
-    if parts is None:
+    passes = _listings(datasets)
+    if not passes:
         raise ValueError("the registry lists no archive")
+    parts = reduce(DataFrame.unionByName, [_label_rows(members, listed) for listed in passes])
     joined = map_labels(parts, class_map_table(spark, datasets), severity_table(spark, datasets))
     verdict = decide(F.col("mapped"), F.col("target"), F.col("rule_no") != NO_RULE, F.col("rule_exclude"), F.col("has_label"))
     named = joined.withColumns(verdict).withColumn(

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.fingerprints import from_hex
 from sievework.functions.text import cache_key, is_image_path
-from sievework.operators.classify import apply_rules, classify_members
+from sievework.operators.classify import apply_archive_rules, classify_members
 from sievework.operators.duplicates import DEFAULT_THRESHOLD, duplicate_report, resolve_duplicates
 from sievework.operators.images import hash_images, mark_unreadable, thumbnails
 from sievework.operators.incremental import cache_hits, cache_misses, next_index, to_build
@@ -38,26 +40,21 @@ def list_members(spark: SparkSession, root: str, datasets: list[Dataset]) -> Dat
     missing = [a.file for d in datasets for a in d.archives if not os.path.exists(os.path.join(root, a.file))]
     if missing:
         raise FileNotFoundError(f"archives not found: {', '.join(missing)}")
-    parts = None
-    for ds in datasets:
-        for arc in ds.archives:
-            one = [Dataset(ds.id, ds.crop, ds.priority, ds.class_map, ds.severity_map, ds.strip_suffixes, (arc,))]
-            members = scan_members(spark, os.path.join(root, arc.file), one, root=root)
-            rows = classify_members(members.filter(is_image_path(F.col("member_path"))), one)
-            parts = rows if parts is None else parts.unionByName(rows)
-    return parts.withColumn("key", cache_key(F.col("archive"), F.col("member_path"), F.col("crc"), F.col("file_bytes")))
+    listed = Counter(a.file for d in datasets for a in d.archives)
+    # the skip rules of an archive go into its scan, unless another data set reads the same archive by other rules
+    scans = [scan_members(spark, os.path.join(root, a.file), a.rules if listed[a.file] == 1 else (), root=root)
+             for a in {a.file: a for d in datasets for a in d.archives}.values()]
+    members = reduce(DataFrame.unionByName, scans).filter(is_image_path(F.col("member_path")))
+    return classify_members(members, datasets).withColumn(
+        "key", cache_key(F.col("archive"), F.col("member_path"), F.col("crc"), F.col("file_bytes")))
 
 
 def member_kinds(members: DataFrame, datasets: list[Dataset]) -> DataFrame:
     """(archive, member_path, kind) for the archive report."""
-    parts = None
-    for arc in (a for d in datasets for a in d.archives):
-        rows = apply_rules(members.filter(F.col("archive") == arc.file), arc.rules)
-        kind = (F.when(F.col("rule_skip").isNotNull(), "skipped").when(~is_image_path(F.col("member_path")), "ignored")
-                .when(F.col("rule_no") < 0, "unmatched").otherwise("listed"))
-        rows = rows.select("archive", "member_path", kind.alias("kind"))
-        parts = rows if parts is None else parts.unionByName(rows)
-    return parts
+    rows = apply_archive_rules(members, datasets)
+    kind = (F.when(F.col("rule_skip").isNotNull(), "skipped").when(~is_image_path(F.col("member_path")), "ignored")
+            .when(F.col("rule_no") < 0, "unmatched").otherwise("listed"))
+    return rows.select("archive", "member_path", kind.alias("kind"))
 
 
 def curate(spark: SparkSession, root: str, datasets: list[Dataset], taxonomy: DataFrame, overrides: DataFrame | None = None,

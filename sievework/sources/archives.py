@@ -8,7 +8,8 @@ import json
 import os
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import takewhile
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sievework.functions.text import NESTED_MARK, outer_path
-from sievework.registry import Dataset
+from sievework.registry import PathRule
 
 SLICE_BYTES = 128 * 1024 * 1024
 SCHEMA = "archive STRING, member_path STRING, crc BIGINT, size BIGINT"
@@ -86,21 +87,15 @@ def _in_order(handle: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
     return sorted((i for i in handle.infolist() if not i.is_dir()), key=lambda i: i.header_offset)
 
 
-def scan_members(spark: SparkSession, path: str, datasets: list[Dataset] = (), content: bool = False, root: str = "",
+def scan_members(spark: SparkSession, path: str, rules: Sequence[PathRule] = (), content: bool = False, root: str = "",
                  slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """Members of the archives; nested zips under a skip rule are not opened.
+    """Members of the archives under `path`; nested zips under a skip rule are not opened.
 
-    A skip pattern may only be applied at the source if no earlier rule of its archive could match, so just
-    the leading skip rules of each archive are pushed; `classify_members` applies all of them in order.
+    A member may only be dropped at the source if no earlier rule could match it, so just the leading skip
+    rules are pushed down; `classify_members` applies all rules in order.
     """
     spark.dataSource.register(ZipMembers)
-    leading = []
-    archives = [a for d in datasets for a in d.archives]
-    if len(archives) == 1:  # the pattern list holds for every archive read
-        for rule in archives[0].rules:
-            if not rule.skip:
-                break
-            leading.append(rule.pattern)
+    leading = [r.pattern for r in takewhile(lambda r: r.skip, rules)]
     return (spark.read.format("zip_members").option("path", path).option("root", root)
             .option("content", str(content).lower()).option("skip", json.dumps(leading))
             .option("slice_bytes", str(slice_bytes)).load())
