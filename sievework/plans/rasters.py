@@ -49,9 +49,25 @@ def image_thumbnails(spark, sf_dir):
     return small.select("doc_id", F.octet_length("thumbnail").alias("thumbnail_bytes"), "error")
 
 
-@query()
+@query("""SELECT doc_id, 64 AS width, CAST(greatest(1, ceil(octet_length(encode(text)) / 64)) AS INTEGER) AS height,
+  'L' AS mode, true AS is_grayscale, NULL::VARCHAR AS error FROM documents""")
+def image_dimensions(spark, sf_dir):
+    return images.hash_images(pictures(spark, sf_dir), "doc_id").select("doc_id", "width", "height", "mode", "is_grayscale", "error")
+
+
+# the bytes of each text with their row and column; a byte counts once for each border strip it lies in
+BYTES_SQL = """WITH sized AS (SELECT doc_id, hex(encode(text)) AS h, CAST(greatest(1, ceil(octet_length(encode(text)) / 64)) AS BIGINT) AS height FROM documents),
+px AS (SELECT doc_id, height, i - 1 AS i, CAST('0x' || b AS INTEGER) AS v FROM (
+  SELECT doc_id, height, unnest(bs) AS b, generate_subscripts(bs, 1) AS i FROM (SELECT *, regexp_extract_all(h, '..') AS bs FROM sized))),
+w AS (SELECT *, (i // 64 < greatest(1, height // 10))::INTEGER + (i // 64 >= height - greatest(1, height // 10))::INTEGER
+  + (i % 64 < 6)::INTEGER + (i % 64 >= 58)::INTEGER AS strips FROM px)"""
+
+
+@query(BYTES_SQL + """ SELECT doc_id, 0.0::DOUBLE AS saturation, round(sum(v) / (64 * height), 4) AS value, 0.0::DOUBLE AS border_saturation,
+  round(sum(v * strips) / (128 * greatest(1, height // 10) + 12 * height), 4) AS border_value FROM w GROUP BY doc_id, height""")
 def image_colour_stats(spark, sf_dir):
-    return images.colour_stats(pictures(spark, sf_dir), "doc_id")
+    stats = images.colour_stats(pictures(spark, sf_dir), "doc_id")
+    return stats.withColumns({c: F.round(c, 4) for c in ["saturation", "value", "border_saturation", "border_value"]})
 
 
 @query()

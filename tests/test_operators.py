@@ -37,6 +37,27 @@ def test_paths(spark):
     assert text.to_java_pattern(r"(?P<a_b>x)-(?P=a_b)") == (r"(x)-\1", {"a_b": 1})
 
 
+def test_first_rule_wins_and_data_sets_may_share_an_archive(spark):
+    from sievework.operators.classify import classify_members
+    from sievework.registry import Archive, Dataset, PathRule
+    one = Dataset("one", "c", 0, {"x": "X", "fixed": "drop"}, {"x": 3}, ("_test",), (Archive("a", (
+        PathRule("/skip/", skip="s"), PathRule("/out/", exclude="e"), PathRule("/bare/"), PathRule("/fix/(?P<label>.)", label="fixed"),
+        PathRule("^(?P<split>tr|te)/(?P<label>[^/]+)/"))), Archive("b", (PathRule("(?P<label>z)"),))))
+    two = Dataset("two", "c", 1, {"y": "review"}, {}, (), (Archive("a", (PathRule("^tr/(?P<label>y)/"), PathRule("/skip/(?P<label>k)"))),))
+    paths = [("a", p) for p in ["tr/skip/k", "tr/out/1", "te/bare/1", "q/fix/1", "tr/X_test/1", "tr/y/1", "none"]] + [("b", "z"), ("c", "tr/x/1")]
+    members = spark.createDataFrame([(*p, 1, 2) for p in paths], "archive STRING, member_path STRING, crc BIGINT, size BIGINT")
+    got = {(r.dataset_id, r.member_path): r for r in classify_members(members, [one, two]).collect()}
+    state = {k: (r.status, r.reason, r.class_id, r.source_label) for k, r in got.items() if k[0] == "one"}
+    assert state == {
+        ("one", "tr/out/1"): ("exclude", "e", None, None), ("one", "te/bare/1"): ("exclude", "rule_has_no_label", None, None),
+        ("one", "q/fix/1"): ("exclude", "class_dropped", None, "fixed"), ("one", "tr/X_test/1"): ("use", None, "X", "x"),
+        ("one", "tr/y/1"): ("hold", "label_not_in_class_map", None, "y"), ("one", "none"): ("exclude", "no_rule_matched", None, None),
+        ("one", "z"): ("hold", "label_not_in_class_map", None, "z")}
+    assert got[("one", "tr/X_test/1")].severity == 3 and got[("one", "tr/X_test/1")].split_source == "tr"
+    assert got[("two", "tr/y/1")].reason == "needs_expert_review" and got[("two", "tr/skip/k")].reason == "label_not_in_class_map"
+    assert got[("two", "none")].reason == "no_rule_matched" and len(got) == 14
+
+
 def test_ranks_hold_for_a_hot_group(spark):
     df = spark.range(3000).withColumn("g", F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 50)))
     plain = F.row_number().over(Window.partitionBy("g").orderBy(seeded_hash(1, "id"), "id"))
