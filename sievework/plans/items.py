@@ -14,6 +14,7 @@ from sievework.operators.classify import decide, map_labels
 from sievework.registry import Dataset, class_map_table, dataset_table, severity_table
 from sievework.session import small_table
 
+SMALL_TABLE_SPLITS = 64
 SOURCES = [f"src{i}" for i in range(20)]
 CLASS_MAP = {"good": "DOC_GOOD", "poor": "DOC_POOR", "toxic": "drop", "unlabelled": None}
 SEVERITY = {"poor": 1, "toxic": 2}
@@ -29,9 +30,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work on a file too small to split all cores; large inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """Give CPU-heavy work on a table of a few file splits all cores; larger tables are never moved."""
+    splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(cores, SMALL_TABLE_SPLITS)) if splits < min(cores, SMALL_TABLE_SPLITS) else df
 
 
 def taxonomy(spark: SparkSession) -> DataFrame:
