@@ -38,15 +38,15 @@ walk AS (
   SELECT CAST(0 AS BIGINT) AS rank, CAST([] AS STRUCT(r BIGINT, fp BIGINT)[]) AS leaders, CAST(NULL AS BIGINT) AS leader_rank
   UNION ALL
   SELECT rank, CASE WHEN hit IS NULL THEN list_append(leaders, {'r': rank, 'fp': fp}) ELSE leaders END, coalesce(hit, rank)
-  FROM (SELECT n.rank, n.fp, w.leaders, list_filter(w.leaders, lambda x: bit_count(xor(x.fp, n.fp)) <= 10)[1].r AS hit
+  FROM (SELECT n.rank, n.fp, w.leaders, list_filter(w.leaders, lambda x: bit_count(xor(x.fp, n.fp)) <= 6)[1].r AS hit
     FROM walk w JOIN nodes n ON n.rank = w.rank + 1)
 ) SELECT rank, leader_rank FROM walk WHERE rank <> leader_rank""")
 def wide_near_copies(spark, sf_dir):
-    """Leaders at distance 10, over all documents in id order."""
+    """Leaders at distance 6, over all documents in id order."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     prints = text_fingerprints(docs, "doc_id", "text").groupBy("phash64").agg(F.min("doc_id").alias("first"))
     nodes = dense_ids(prints, ["first"], "rank").select(F.col("phash64").alias("fp"), "rank")
-    return leader_links(nodes, 10)
+    return leader_links(nodes, 6)
 
 
 @query(CURATED_SQL + " SELECT dup_group, size, outcome, label_conflict, datasets, cross_dataset, cross_split, canonical, labels FROM report")

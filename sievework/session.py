@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Driver-side tables (rules, label maps, taxonomies) up to this many rows get a broadcast hint.
 SMALL_TABLE_ROWS = 50_000
+# Temporary folders of local runs that name none, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def build_session(app: str = "sievework", cores: str | int = "*", **conf: str) -> SparkSession:
@@ -37,11 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if folder:
         return folder
+    if spark.sparkContext.applicationId in _LOCAL_FOLDERS:
+        return _LOCAL_FOLDERS[spark.sparkContext.applicationId]
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    folder = tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    _LOCAL_FOLDERS[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL_FOLDERS[spark.sparkContext.applicationId]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -1,19 +1,31 @@
 """Where lineage is cut."""
 
 import os
+import subprocess
+import sys
 
-from sievework.session import SMALL_TABLE_ROWS, cut_lineage, shared_folder, small_table
+import pytest
 
+from sievework.session import SMALL_TABLE_ROWS, small_table
 
-def test_written_tables_go_to_the_shared_folder(spark, tmp_path):
-    before = shared_folder(spark)
-    try:
-        spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-        written = cut_lineage(spark.range(5))
-        assert len(os.listdir(tmp_path)) == 1 and written.count() == 5
-        assert str(tmp_path) in written.inputFiles()[0]
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before)
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+SCRIPT = """
+import sys
+from sievework.session import build_session, cut_lineage, shared_folder
+conf = {"spark.checkpoint.dir": sys.argv[1]} if len(sys.argv) > 1 else {}
+spark = build_session("t", 1, **conf)
+written = cut_lineage(spark.range(5))
+print("FOLDER", shared_folder(spark), written.count(), written.inputFiles()[0])
+"""
+
+
+@pytest.mark.parametrize("named", [True, False])
+def test_written_tables_go_to_the_shared_folder(tmp_path, named):
+    args = [str(tmp_path)] if named else []
+    done = subprocess.run([sys.executable, "-c", SCRIPT, *args], capture_output=True, text=True, timeout=120,
+                          env={**os.environ, "PYTHONPATH": ROOT}, cwd=str(tmp_path))
+    folder, rows, file = next(line for line in done.stdout.splitlines() if line.startswith("FOLDER")).split()[1:]
+    assert rows == "5" and folder in file and (folder == str(tmp_path)) is named
 
 
 def test_only_small_tables_are_hinted(spark):
