@@ -149,7 +149,7 @@ def pack(pieces: DataFrame, seq_len: int, order: list[str], length: str = "lengt
     starts = counts.select(length, "_slice", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy(length, "_slice").orderBy(*order))
     ranked = sliced.withColumn("_in", inside).join(starts, [length, "_slice"])
-    ranked = ranked.withColumn("_rank", F.col("_start") + F.col("_in") - 1).drop("_slice", "_in", "_start")
+    ranked = ranked.select(*pieces.columns, (F.col("_start") + F.col("_in") - 1).alias("_rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = plan[:, 0] << 44 | plan[:, 1]
@@ -159,10 +159,8 @@ def pack(pieces: DataFrame, seq_len: int, order: list[str], length: str = "lengt
             nth = rank - slot[:, 1]
             sequence = slot[:, 3] + nth % np.maximum(slot[:, 4], 1)
             offset = slot[:, 5] + size * (nth // np.maximum(slot[:, 4], 1))
-            keep = [i for i, n in enumerate(batch.schema.names) if n != "_rank"]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in keep), pa.array(sequence), pa.array(offset)],
-                [*(batch.schema.names[i] for i in keep), "sequence_id", "offset"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(offset)],
+                                             [*batch.schema.names[:-1], "sequence_id", "offset"])
 
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
     return ranked.mapInArrow(place, columns + ", sequence_id BIGINT, offset BIGINT")
