@@ -70,16 +70,18 @@ def attach(big: DataFrame, small: DataFrame, key: str, weight: str, spread: Colu
     return joined.select(*big.columns, *[found[c].alias(c) for c in rest])
 
 
-def block_pairs(rows: DataFrame, keys: Sequence[str], item: str, limit: int) -> DataFrame:
+def block_pairs(rows: DataFrame, keys: Sequence[str], item: str, limit: int, least: int = 1) -> DataFrame:
     """Deal the rows of each key into units (`_i`, `_j`) of at most about 2 * limit rows.
 
     A key with up to `limit` rows is one unit (0, 0). A larger one is cut into blocks by a hash of `item`, and
     every two blocks meet in one unit, so all pairs of rows meet and no unit grows with the key. `_b` is the
-    row's own block: a pair belongs to unit (i, j) when its blocks are i and j.
+    row's own block: a pair belongs to unit (i, j) when its blocks are i and j. Keys with fewer than `least`
+    rows are left out.
     """
-    large = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
-    large = large.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_nb"))
-    dealt = rows.join(large, list(keys), "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    counts = counts.filter(F.col("_n") >= least if least > 1 else F.col("_n") > limit)
+    blocks = counts.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_nb"))
+    dealt = rows.join(blocks, list(keys), "inner" if least > 1 else "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
     dealt = dealt.withColumn("_b", F.pmod(F.xxhash64(item), F.col("_nb")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("_o")
     dealt = dealt.select(*rows.columns, "_b", other)

@@ -60,3 +60,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.simhash import near_duplicates
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query()
+def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.cross_polytope import near_duplicate_vectors
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
