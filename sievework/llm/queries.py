@@ -66,3 +66,9 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.cross_polytope import near_duplicate_vectors
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op9_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.pruned_graph import nearest
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
