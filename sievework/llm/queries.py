@@ -72,3 +72,12 @@ def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.pruned_graph import nearest
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query()
+def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.line_crf import fit_quality, held_out, score_documents
+    docs = table(spark, sf_dir, "documents")
+    crf = fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = score_documents(docs.select("doc_id", "text"), crf)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
