@@ -81,3 +81,15 @@ def op6_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     crf = fit_quality(docs, table(spark, sf_dir, "labels"))
     scored = score_documents(docs.select("doc_id", "text"), crf)
     return scored.select("doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@query()
+def op1_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.pii import EKINDS, find_spans, fit_tagger
+    docs = table(spark, sf_dir, "documents")
+    found = find_spans(docs, fit_tagger(docs))
+    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in EKINDS]
+
+    def written(column: str):
+        return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
