@@ -88,8 +88,10 @@ def op1_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.pii import EKINDS, find_spans, fit_tagger
     docs = table(spark, sf_dir, "documents")
     found = find_spans(docs, fit_tagger(docs))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in EKINDS]
+
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
 
     def written(column: str):
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    return found.select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+    return found.select("doc_id", *map(count, EKINDS), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
