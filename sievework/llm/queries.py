@@ -95,3 +95,13 @@ def op1_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     def written(column: str):
         return F.array_join(F.transform(column, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     return found.select("doc_id", *map(count, EKINDS), F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+@query()
+def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.training_order import read_shards, write_shards
+    folder = f"{shared_folder(spark)}/shards-{uuid.uuid4().hex}"
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    write_shards(table(spark, sf_dir, "documents"), folder, ranks, public_tokenizers.PATTERN, end_id=50256, seq_len=256,
+                 shard_rows=32768, key=20240229)
+    return read_shards(spark, folder, seq_len=256, shard_rows=32768)
