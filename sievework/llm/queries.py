@@ -105,3 +105,20 @@ def op4_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_shards(table(spark, sf_dir, "documents"), folder, ranks, public_tokenizers.PATTERN, end_id=50256, seq_len=256,
                  shard_rows=32768, key=20240229)
     return read_shards(spark, folder, seq_len=256, shard_rows=32768)
+
+
+@query()
+def op7_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.licenses import scan_table
+    found = scan_table(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.size("matches").cast("bigint").alias("n_matches"),
+        F.coalesce(F.array_max("matches.coverage"), F.lit(0.0)).alias("coverage"),
+        F.array_join(F.array_sort(F.array_distinct("matches.license")), ",").alias("licenses"),
+        F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"], m["end"])), ",").alias("spans"))
+
+
+@query()
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
