@@ -11,7 +11,7 @@ A copy of a vector is no point of its own: a point lists its `k` + 1 smallest id
 
 Vectors that are null, empty, zero or hold null or non-finite numbers take no part, nor do those of another dimension
 than the most frequent one, or without an id. Repeated ids are separate candidates; a query leaves out every row with
-its own id. Extra columns are not read. Fewer than `k` candidates give fewer rows, an empty table none.
+its own id, and is asked once for each distinct vector of its id. Extra columns are not read. Fewer than `k` candidates give fewer rows, an empty table none.
 """
 
 from __future__ import annotations
@@ -154,7 +154,7 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def search_shard(x, ids, graph, query_ids, queries, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query id, id, score) of the best k ids for each query; ids[i] lists the rows of point i, ascending."""
+    """(query position, id, score) of the best k ids for each query; ids[i] lists the rows of point i, ascending."""
     points = one_length(x)
     longest = np.abs(queries).max(axis=1, keepdims=True)
     turned = np.concatenate([queries / longest, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
@@ -174,7 +174,7 @@ def search_shard(x, ids, graph, query_ids, queries, k: int, beam: int) -> tuple[
         row, score, vec_id = row[order], score[order], vec_id[order]
         first = np.searchsorted(row, row)
         best = np.arange(len(row)) - first < k
-        out.append((query_ids[part][row[best]], vec_id[best], score[best]))
+        out.append((start + row[best], vec_id[best], score[best]))
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
@@ -209,25 +209,27 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     points = cut_lineage(few.groupBy("vkey").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("id")).alias("ids")))
     shards = max(1, -(-points.count() // shard_rows))
     index = cut_lineage(build_index(points, shards, degree, alpha))
-    queries = rows.filter(is_query)
+    queries = rows.filter(is_query).withColumn("asked", F.xxhash64("v")).dropDuplicates(["id", "asked"])
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
 
     def walk(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+        schema = pa.schema([("query_id", pa.int64()), ("asked", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return schema.empty_table()
         n = right.column("n")[0].as_py()
         x = np.frombuffer(right.column("x")[0].as_py(), np.float64).reshape(n, -1)
         graph = np.frombuffer(right.column("graph")[0].as_py(), np.int32).reshape(n, -1)
         ids = [np.array(i, np.int64) for i in right.column("ids")[0].as_py()]
-        found = search_shard(x, ids, graph, left.column("id").to_numpy(), _matrix(left.column("v")), k, beam)
-        return pa.table(list(map(pa.array, found)), schema=schema)
+        own = left.column("id").to_numpy()
+        query, vec_id, score = search_shard(x, ids, graph, own, _matrix(left.column("v")), k, beam)
+        return pa.table([pa.array(own[query]), pa.array(left.column("asked").to_numpy()[query]), pa.array(vec_id), pa.array(score)],
+                        schema=schema)
 
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
-    asked = queries.select("id", "v", block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    asked = queries.select("id", "v", "asked", block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     graphs = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     found = asked.groupBy("shard", "block").cogroup(graphs.groupBy("shard", "block")).applyInArrow(
-        walk, "query_id BIGINT, vec_id BIGINT, score DOUBLE")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        walk, "query_id BIGINT, asked BIGINT, vec_id BIGINT, score DOUBLE")
+    rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id"))
     best = found.withColumn("rank", rank).filter(F.col("rank") <= k)
     return best.select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
