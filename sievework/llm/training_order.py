@@ -32,6 +32,7 @@ from sievework.session import shared_folder
 ROUNDS = 6
 HEAD = np.dtype([("doc_id", "<i8"), ("start", "<u4"), ("length", "<u4")])
 ZSTD_LEVEL = 6
+GROUP_BYTES = 16 << 20
 LEVELS = {"compression": "zstd", "parquet.compression.codec.zstd.level": str(ZSTD_LEVEL)}
 
 
@@ -114,27 +115,40 @@ def write_shards(docs: DataFrame, folder: str, rank_file: str, pattern: str, end
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         pack = zstandard.ZstdCompressor(level=ZSTD_LEVEL)
-        for batch in batches:
-            ids = [np.frombuffer(b.as_buffer(), "<u2") for b in batch.column(1)]
-            count = np.array([-(-len(i) // seq_len) for i in ids], np.int64)
+
+        def packed(documents: np.ndarray, firsts: np.ndarray, ids: list[np.ndarray]) -> pa.RecordBatch:
+            size = np.array([len(i) for i in ids], np.int64)
+            count = -(-size // seq_len)
             doc = np.repeat(np.arange(len(ids)), count)
             place = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-            slot = permute(batch.column(2).to_numpy()[doc] + place, total, key)
+            slot = permute(firsts[doc] + place, total, key)
             head = np.empty(len(doc), HEAD)
-            head["doc_id"], head["start"] = batch.column(0).to_numpy()[doc], place * seq_len
-            head["length"] = np.minimum(np.array([len(i) for i in ids], np.int64)[doc] - place * seq_len, seq_len)
+            head["doc_id"], head["start"] = documents[doc], place * seq_len
+            head["length"] = np.minimum(size[doc] - place * seq_len, seq_len)
             order = np.argsort(slot)
-            shard = slot[order] // shard_rows
-            cuts = np.flatnonzero(np.diff(shard)) + 1
+            cuts = np.flatnonzero(np.diff(slot[order] // shard_rows)) + 1
             out = []
-            for part in np.split(order, cuts) if len(order) else []:
+            for part in np.split(order, cuts):
                 body = b"".join([ids[doc[i]][s:s + n].tobytes() for i, s, n in
                                  zip(part.tolist(), head["start"][part].tolist(), head["length"][part].tolist(), strict=True)])
                 out.append((int(slot[part[0]] // shard_rows), (slot[part] % shard_rows).astype("<u4").tobytes(),
                             head[part].tobytes(), pack.compress(body)))
-            columns = zip(*out, strict=True) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
-                columns, (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["shard", "rows", "heads", "body"])
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
+                zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
+                ["shard", "rows", "heads", "body"])
+
+        # large groups, as what goes to one shard together is compressed together
+        documents, firsts, ids, held = [], [], [], 0
+        for batch in batches:
+            documents += batch.column(0).to_pylist()
+            firsts += batch.column(2).to_pylist()
+            ids += [np.frombuffer(b.as_py(), "<u2") for b in batch.column(1)]
+            held += batch.column(1).nbytes
+            if held >= GROUP_BYTES:
+                yield packed(np.array(documents, np.int64), np.array(firsts, np.int64), ids)
+                documents, firsts, ids, held = [], [], [], 0
+        if ids:
+            yield packed(np.array(documents, np.int64), np.array(firsts, np.int64), ids)
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
