@@ -30,10 +30,9 @@ from sievework.llm.warc import open_folder
 from sievework.session import shared_folder
 
 ROUNDS = 6
-HEAD = np.dtype([("doc_id", "<i8"), ("start", "<u4"), ("length", "<u4")])
+HEAD = np.dtype([("doc_id", "<i8"), ("start", "<u4"), ("length", "<u2")])
 ZSTD_LEVEL = 6
 GROUP_BYTES = 16 << 20
-LEVELS = {"compression": "zstd", "parquet.compression.codec.zstd.level": str(ZSTD_LEVEL)}
 
 
 # ---------------------------------------------------------------- permutation
@@ -74,26 +73,42 @@ def _encoding(rank_file: str, pattern: str):
 
 def write_tokens(docs: DataFrame, folder: str, rank_file: str, pattern: str, end_id: int, seq_len: int,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, its ids, and the place of its sequences: part and number within the part."""
+    """Groups of documents: their ids, sizes and tokens, packed, and the place of their sequences: part, and number
+    of the first within the part."""
     spark = docs.sparkSession
     bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
         from pyspark import TaskContext
         encode = once_per_worker(f"order {rank_file}", lambda: _encoding(rank_file, pattern)).encode_ordinary
+        pack = zstandard.ZstdCompressor(level=ZSTD_LEVEL)
         part, done = TaskContext.get().partitionId(), 0
+        documents, ids, held = [], [], 0
+
+        def group() -> pa.RecordBatch:
+            size = np.array([len(i) for i in ids], "<i8")
+            columns = (np.array(documents, "<i8").tobytes(), size.tobytes(), pack.compress(np.concatenate(ids).tobytes()))
+            return pa.RecordBatch.from_arrays(
+                [*(pa.array([c], pa.binary()) for c in columns), pa.array([part], pa.int32()), pa.array([done], pa.int64()),
+                 pa.array([int((-(-size // seq_len)).sum())], pa.int64())], ["documents", "sizes", "ids", "part", "first", "sequences"])
+
         for batch in batches:
-            ids = [np.array([*encode(t.as_py()), end_id], "<u2") for t in batch.column(1)]
-            count = np.array([-(-len(i) // seq_len) for i in ids], np.int64)
-            first = done + np.cumsum(count) - count
-            done += int(count.sum())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([i.tobytes() for i in ids], pa.binary()), pa.array(np.full(len(ids), part, np.int32)),
-                 pa.array(first), pa.array(count)], ["doc_id", "ids", "part", "first", "sequences"])
+            for document, text in zip(batch.column(0), batch.column(1), strict=True):
+                documents.append(document.as_py())
+                ids.append(np.array([*encode(text.as_py()), end_id], "<u2"))
+                held += ids[-1].nbytes
+                if held >= GROUP_BYTES:
+                    out = group()
+                    done += out.column(5)[0].as_py()
+                    documents, ids, held = [], [], 0
+                    yield out
+        if ids:
+            yield group()
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)), F.coalesce(text_col, F.lit("")).alias("_t"))
-    tokens = rows.mapInArrow(run, "doc_id BIGINT, ids BINARY, part INT, first BIGINT, sequences BIGINT")
-    tokens.write.options(**LEVELS).parquet(folder)
+    tokens = rows.mapInArrow(run, "documents BINARY, sizes BINARY, ids BINARY, part INT, first BIGINT, sequences BIGINT")
+    tokens.write.option("compression", "uncompressed").parquet(folder)
     return spark.read.parquet(folder)
 
 
@@ -102,53 +117,38 @@ def write_tokens(docs: DataFrame, folder: str, rank_file: str, pattern: str, end
 def write_shards(docs: DataFrame, folder: str, rank_file: str, pattern: str, end_id: int, seq_len: int, shard_rows: int,
                  key: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards of all documents under `folder`; a row per shard: shard, file, rows."""
-    if end_id >= 1 << 16:
-        raise ValueError("ids are stored in 16 bits")
+    if end_id >= 1 << 16 or seq_len >= 1 << 16:
+        raise ValueError("ids and lengths are stored in 16 bits")
     spark = docs.sparkSession
     tokens = write_tokens(docs, f"{shared_folder(spark)}/{uuid.uuid4().hex}", rank_file, pattern, end_id, seq_len, id_col, text_col)
     counts = tokens.groupBy("part").agg(F.sum("sequences").alias("n"))  # one row per task
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    placed = tokens.join(F.broadcast(bases), "part").select("doc_id", "ids", (F.col("base") + F.col("first")).alias("first"))
+    placed = tokens.join(F.broadcast(bases), "part").select("documents", "sizes", "ids", (F.col("base") + F.col("first")).alias("first"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
-        pack = zstandard.ZstdCompressor(level=ZSTD_LEVEL)
-
-        def packed(documents: np.ndarray, firsts: np.ndarray, ids: list[np.ndarray]) -> pa.RecordBatch:
-            size = np.array([len(i) for i in ids], np.int64)
-            count = -(-size // seq_len)
-            doc = np.repeat(np.arange(len(ids)), count)
-            place = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-            slot = permute(firsts[doc] + place, total, key)
-            head = np.empty(len(doc), HEAD)
-            head["doc_id"], head["start"] = documents[doc], place * seq_len
-            head["length"] = np.minimum(size[doc] - place * seq_len, seq_len)
-            order = np.argsort(slot)
-            cuts = np.flatnonzero(np.diff(slot[order] // shard_rows)) + 1
-            out = []
-            for part in np.split(order, cuts):
-                body = b"".join([ids[doc[i]][s:s + n].tobytes() for i, s, n in
-                                 zip(part.tolist(), head["start"][part].tolist(), head["length"][part].tolist(), strict=True)])
-                out.append((int(slot[part[0]] // shard_rows), (slot[part] % shard_rows).astype("<u4").tobytes(),
-                            head[part].tobytes(), pack.compress(body)))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(
-                zip(*out, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
-                ["shard", "rows", "heads", "body"])
-
-        # large groups, as what goes to one shard together is compressed together
-        documents, firsts, ids, held = [], [], [], 0
+        pack, unpack = zstandard.ZstdCompressor(level=ZSTD_LEVEL), zstandard.ZstdDecompressor()
         for batch in batches:
-            documents += batch.column(0).to_pylist()
-            firsts += batch.column(2).to_pylist()
-            ids += [np.frombuffer(b.as_py(), "<u2") for b in batch.column(1)]
-            held += batch.column(1).nbytes
-            if held >= GROUP_BYTES:
-                yield packed(np.array(documents, np.int64), np.array(firsts, np.int64), ids)
-                documents, firsts, ids, held = [], [], [], 0
-        if ids:
-            yield packed(np.array(documents, np.int64), np.array(firsts, np.int64), ids)
+            for documents, sizes, ids, first in zip(*batch.columns, strict=True):
+                documents, size = np.frombuffer(documents.as_buffer(), "<i8"), np.frombuffer(sizes.as_buffer(), "<i8")
+                ids = np.frombuffer(unpack.decompress(ids.as_buffer()), "<u2")
+                count = -(-size // seq_len)
+                doc = np.repeat(np.arange(len(size)), count)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * seq_len
+                length = np.minimum(size[doc] - start, seq_len)
+                at = np.repeat(np.cumsum(size) - size, count) + start
+                slot = permute(first.as_py() + np.arange(len(doc)), total, key)
+                order = np.argsort(slot)
+                out = []
+                for part in np.split(order, np.flatnonzero(np.diff(slot[order] // shard_rows)) + 1):
+                    body = [(slot[part] % shard_rows).astype("<u4"), documents[doc[part]], start[part].astype("<u4"), length[part].astype("<u2"),
+                            *(ids[a:a + n] for a, n in zip(at[part].tolist(), length[part].tolist(), strict=True))]
+                    out.append((int(slot[part[0]] // shard_rows), len(part), pack.compress(b"".join([b.tobytes() for b in body]))))
+                shard, rows, body = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(rows, pa.int64()), pa.array(body, pa.binary())],
+                                                 ["shard", "rows", "body"])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -168,23 +168,24 @@ def write_shards(docs: DataFrame, folder: str, rank_file: str, pattern: str, end
             written.append((current, name, rows))
 
         for batch in batches:
-            for shard, rows, heads, body in zip(*(batch.column(i) for i in range(4)), strict=True):
+            for shard, rows, body in zip(*batch.columns, strict=True):
                 if shard.as_py() != current:
                     if current is not None:
                         close()
                     current, held = shard.as_py(), np.zeros(shard_rows, record)
-                rows, heads = np.frombuffer(rows.as_buffer(), "<u4"), np.frombuffer(heads.as_buffer(), HEAD)
-                held["head"][rows] = heads
-                length = heads["length"].astype(np.int64)
-                ids = np.frombuffer(unpack.decompress(body.as_buffer()), "<u2")
-                row = np.repeat(rows, length)
-                held["ids"][row, np.arange(len(ids)) - np.repeat(np.cumsum(length) - length, length)] = ids
+                n, data = rows.as_py(), unpack.decompress(body.as_buffer())
+                row, length = np.frombuffer(data, "<u4", n), np.frombuffer(data, "<u2", n, 16 * n).astype(np.int64)
+                held["head"]["doc_id"][row] = np.frombuffer(data, "<i8", n, 4 * n)
+                held["head"]["start"][row] = np.frombuffer(data, "<u4", n, 12 * n)
+                held["head"]["length"][row] = length
+                ids = np.frombuffer(data, "<u2", -1, 18 * n)
+                held["ids"][np.repeat(row, length), np.arange(len(ids)) - np.repeat(np.cumsum(length) - length, length)] = ids
         if current is not None:
             close()
         yield pa.RecordBatch.from_arrays([pa.array([w[0] for w in written], pa.int64()), pa.array([w[1] for w in written], pa.string()),
                                           pa.array([w[2] for w in written], pa.int64())], ["shard", "file", "rows"])
 
-    groups = placed.mapInArrow(deal, "shard BIGINT, rows BINARY, heads BINARY, body BINARY")
+    groups = placed.mapInArrow(deal, "shard BIGINT, rows BIGINT, body BINARY")
     tasks = min(-(-total // shard_rows) or 1, 100_000)
     shards = groups.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(fill, "shard BIGINT, file STRING, rows BIGINT")
     done = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
