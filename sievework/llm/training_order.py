@@ -31,7 +31,7 @@ from sievework.session import shared_folder
 
 ROUNDS = 6
 HEAD = np.dtype([("doc_id", "<i8"), ("start", "<u4"), ("length", "<u2")])
-ZSTD_LEVEL = 6
+ZSTD_LEVEL = 9
 GROUP_BYTES = 16 << 20
 
 
