@@ -62,7 +62,21 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-@query()
+OP5_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), pairs AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS node, vec_id AS origin FROM embeddings UNION SELECT p.b, r.origin FROM reach r JOIN pairs p ON p.a = r.node
+), lowest AS (SELECT node, min(origin) AS component_id FROM reach GROUP BY 1),
+links AS (SELECT a, count(*) AS n FROM pairs GROUP BY 1)
+SELECT l.node AS vec_id, coalesce(k.n, 0) AS n_links, l.component_id, l.node = l.component_id AS kept FROM lowest l LEFT JOIN links k ON l.node = k.a
+"""
+
+
+@query(OP5_SQL)
 def op5_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sievework.llm.cross_polytope import near_duplicate_vectors
     return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))

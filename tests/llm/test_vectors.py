@@ -69,6 +69,15 @@ def test_recall_at_the_threshold():
     assert met.mean() >= 0.995
 
 
+def test_near_duplicates_match_sql(spark, tmp_path):
+    from compare import connect, duck_rows, spark_rows
+    spark.createDataFrame(as_rows(clustered(seed=4)), VECTORS).coalesce(1).write.parquet(str(tmp_path / "spark"))
+    file = next((tmp_path / "spark").glob("part-*.parquet"))
+    file.rename(tmp_path / "embeddings.parquet")
+    want, _ = duck_rows(connect(str(tmp_path)), queries.OP5_SQL)
+    assert spark_rows(queries.op5_cross_polytope(spark, str(tmp_path))) == want
+
+
 def test_hadamard_is_orthogonal():
     m = cross_polytope.hadamard(np.eye(8))
     assert np.allclose(m @ m.T, np.eye(8))
