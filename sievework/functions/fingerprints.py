@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +25,18 @@ def hamming(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
-def text_fingerprints(df: DataFrame, id_col: str, text_col: str, out: str = "phash64") -> DataFrame:
+def text_fingerprints(df: DataFrame, id_col: str, text_col: str, out: str = "phash64", carry: Sequence[str] = ()) -> DataFrame:
     """(id, fingerprint) per text: each distinct token votes on every bit with the bits of its md5.
 
     A token's hash is split in two 32-bit lanes, so 32 sums count the set bits of all 64 positions. The
     sums collapse in the map-side aggregate: one row per text is shuffled, not one per token. Texts
-    without any token have no row.
+    without any token have no row; with `carry`, columns of the id that are kept, they have a NULL fingerprint.
     """
-    words = df.select(id_col, F.explode(tokens(F.col(text_col))).alias("_t"))
-    hashed = words.select(id_col, from_hex(F.substring(F.md5("_t"), 1, 16)).alias("_h"))
+    spread = F.explode_outer if carry else F.explode
+    words = df.select(id_col, *carry, spread(tokens(F.col(text_col))).alias("_t"))
+    hashed = words.select(id_col, *carry, from_hex(F.substring(F.md5("_t"), 1, 16)).alias("_h"))
     sums = [F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(PAIR_OF_BITS))).alias(f"_s{i}") for i in range(32)]
-    votes = hashed.groupBy(id_col).agg(F.count("*").alias("_n"), *sums)
+    votes = hashed.groupBy(id_col).agg(F.count("_h").alias("_n"), *sums, *[F.first(c).alias(c) for c in carry])
 
     def bit(count: Column, position: int) -> Column:
         # more set than unset votes: 2 * count > n
@@ -43,4 +46,4 @@ def text_fingerprints(df: DataFrame, id_col: str, text_col: str, out: str = "pha
     bits += [bit(F.shiftrightunsigned(f"_s{i}", 32), i + 32) for i in range(32)]
     while len(bits) > 1:  # pairwise, so that the expression stays shallow
         bits = [a.bitwiseOR(b) for a, b in zip(bits[::2], bits[1::2])]
-    return votes.select(id_col, bits[0].alias(out))
+    return votes.select(id_col, *carry, F.when(F.col("_n") > 0, bits[0]).alias(out))

@@ -78,7 +78,7 @@ def to_java_pattern(pattern: str) -> tuple[str, dict[str, int]]:
 
 
 def label_identity(class_id: Column, dataset_id: Column, source_label: Column) -> Column:
-    """What a row claims to show: its class, or dataset and source label while it has none."""
+    """The class of a row; a row without one stands for its own source and label."""
     return F.coalesce(class_id, F.concat_ws(":", dataset_id, F.coalesce(source_label, F.lit(""))))
 
 

@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievework.functions.text import normalise_label, stable_id, to_java_pattern
+from sievework.functions.text import NESTED_MARK, normalise_label, outer_path, stable_id, to_java_pattern
 from sievework.registry import DROP, REVIEW, Dataset, PathRule, class_map_table, severity_table
 from sievework.session import first_true
 
@@ -26,24 +26,32 @@ def captured(path: Column, number: Column, rules: Sequence[PathRule], group: str
     return first_true(pairs, F.lit(""))
 
 
-def _of_rule(values: Sequence[str | None]) -> Column:
-    """The value that belongs to rule_no; NULL without a rule."""
-    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), F.col("rule_no"))
+def _of_rule(values: Sequence[str | None], number: str = "rule_no") -> Column:
+    """The value that belongs to a rule number; NULL without a rule."""
+    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), F.col(number))
 
 
 def _with_rule(members: DataFrame, placed: Sequence[tuple[str | None, PathRule]], path_col: str) -> DataFrame:
     """Add the columns of the first matching rule; a rule with an archive only looks at that archive's members."""
     path, number, rules = F.col(path_col), F.col("rule_no"), [r for _, r in placed]
+    numbered = members.withColumns({"rule_no": _first_match(path, placed), "_outer_no": F.when(
+        path.contains(NESTED_MARK), _first_match(outer_path(path), placed)).otherwise(NO_RULE)})
+    skips = [r.skip for r in rules]
+    return numbered.withColumns({
+        "rule_exclude": _of_rule([r.exclude for r in rules]),
+        # a nested archive that is skipped is skipped with all that is in it
+        "rule_skip": F.coalesce(_of_rule(skips, "_outer_no"), _of_rule(skips)),
+        "raw_label": F.coalesce(_of_rule([r.label for r in rules]), captured(path, number, rules, "label")),
+        "split_source": F.nullif(captured(path, number, rules, "split"), F.lit("")),
+    }).drop("_outer_no")
+
+
+def _first_match(path: Column, placed: Sequence[tuple[str | None, PathRule]]) -> Column:
     hits = []
     for i, (archive, rule) in enumerate(placed):
         found = path.rlike(to_java_pattern(rule.pattern)[0])
         hits.append((found if archive is None else (F.col("archive") == archive) & found, F.lit(i)))
-    return members.withColumn("rule_no", first_true(hits, F.lit(NO_RULE))).withColumns({
-        "rule_exclude": _of_rule([r.exclude for r in rules]),
-        "rule_skip": _of_rule([r.skip for r in rules]),
-        "raw_label": F.coalesce(_of_rule([r.label for r in rules]), captured(path, number, rules, "label")),
-        "split_source": F.nullif(captured(path, number, rules, "split"), F.lit("")),
-    })
+    return first_true(hits, F.lit(NO_RULE))
 
 
 def apply_rules(members: DataFrame, rules: Sequence[PathRule], path_col: str = "member_path") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.text import is_reviewed, label_identity
 from sievework.operators.near_duplicates import BUCKET_ROWS, leader_links
+from sievework.operators.quality import unknown_source
 from sievework.operators.ranks import dense_ids
 from sievework.operators.skew import HOT_ROWS, left_join_weighted
 from sievework.session import cut_lineage
@@ -49,13 +50,16 @@ def resolve_duplicates(manifest: DataFrame, priority: DataFrame, threshold: int
     """Group exact and near copies, keep one row per group, settle label conflicts.
 
     `manifest` has the manifest columns plus phash64 and should be a stored table, as it is read three
-    times; `priority` is (dataset_id, priority). All copies of one fingerprint collapse in the map-side aggregate first; groups are then put together from one
-    row per fingerprint, so a group with a third of all rows costs no more than any other.
+    times; `priority` is (dataset_id, priority), and a row of another source stops the run. All copies of one
+    fingerprint collapse in the map-side aggregate first; groups are then put together from one row per
+    fingerprint, so a group with a third of all rows costs no more than any other.
     """
     if not 0 <= threshold <= 64:
         raise ValueError("threshold must be between 0 and 64")
     columns = manifest.columns
-    ranked = manifest.join(priority, "dataset_id")
+    listed = priority.select("dataset_id", "priority", F.lit(True).alias("_listed"))
+    ranked = manifest.join(listed, "dataset_id", "left").withColumn(
+        "status", F.when(F.col("_listed").isNull(), unknown_source()).otherwise(F.col("status")))
     expert = F.when(is_reviewed(F.col("reason")) & (F.col("status") == "use"), F.col("class_id"))
     identity = label_identity(F.col("class_id"), F.col("dataset_id"), F.col("source_label"))
     split = F.nullif(F.col("split_source"), F.lit(""))

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 def class_weights(train: DataFrame, label: str = "class_id") -> DataFrame:
     """Balanced weights n / (k · n_c), with n and k from the per-class counts."""
     counts = train.groupBy(label).agg(F.count("*").alias("n"))
-    totals = counts.agg(F.sum("n").alias("total"), F.count("*").alias("classes"), F.lit(1).alias("_k"))
-    # totals is one row
-    joined = counts.withColumn("_k", F.lit(1)).join(F.broadcast(totals), "_k")
+    totals = counts.agg(F.sum("n").alias("total"), F.count("*").alias("classes"))
+    joined = counts.crossJoin(F.broadcast(totals))  # one row, put beside every class
     return joined.select(label, "n", (F.col("total") / (F.col("classes") * F.col("n"))).alias("weight"))
 
 
@@ -23,12 +22,17 @@ def confusion_counts(scored: DataFrame, truth: str = "y_true", pred: str = "y_pr
 
 
 def confusion_matrix(scored: DataFrame, labels: list, truth: str = "y_true", pred: str = "y_pred") -> DataFrame:
-    """Wide matrix over the given labels, zeros included: one row per true label."""
+    """Wide matrix over the given labels, zeros included: one row per true label. Another label stops the run."""
     spark = scored.sparkSession
     grid = spark.createDataFrame([(l,) for l in labels], scored.select(F.col(truth).alias("y_true")).schema)
+    listed = [F.coalesce(F.col(c).isin(list(labels)), F.lit(False)) for c in ("y_true", "y_pred")]
     counts = confusion_counts(scored, truth, pred).groupBy("y_true").agg(
-        *[F.sum(F.when(F.col("y_pred") == l, F.col("n"))).alias(f"pred_{l}") for l in labels])
-    return grid.join(counts, "y_true", "left").na.fill(0)
+        *[F.sum(F.when(F.col("y_pred") == l, F.col("n"))).alias(f"pred_{l}") for l in labels],
+        F.min(F.when(~(listed[0] & listed[1]), F.concat_ws("/", "y_true", "y_pred"))).alias("_other"))
+    stop = F.raise_error(F.concat(F.lit("label without a column: "), F.col("_other"))).cast("bigint")
+    wide = grid.join(counts, "y_true", "full")
+    return wide.select("y_true", *[F.when(F.col("_other").isNotNull(), stop).otherwise(F.coalesce(f"pred_{l}", F.lit(0))).alias(f"pred_{l}")
+                                   for l in labels])
 
 
 def class_report(scored: DataFrame, truth: str = "y_true", pred: str = "y_pred", by: Sequence[str] = ()) -> DataFrame:

@@ -20,7 +20,8 @@ def current_cache(cache: DataFrame, version: str) -> DataFrame:
 
 
 def cache_hits(items: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:
-    return items.join(cache.drop("hash_version"), key)
+    """Items with their cache row; a key that the cache repeats counts once, so no item is multiplied."""
+    return items.join(cache.drop("hash_version").dropDuplicates([key]), key)
 
 
 def cache_misses(items: DataFrame, cache: DataFrame, key: str = "key") -> DataFrame:

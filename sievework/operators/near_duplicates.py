@@ -8,7 +8,11 @@ Candidates come from pigeonhole keys: of m blocks of bits, two values at distanc
 m - t. More blocks give longer keys, so m grows with the number of values. A bucket that is still too big
 is split again by the same argument on its remaining bits. If a bucket cannot be split any further, only its
 first rows act as possible leaders in a round, and the rows left undecided go to the next round: nothing
-is capped, and the pairs looked at stay linear in the bucket.
+is capped, and the pairs looked at stay linear in the bucket. The last pass pairs the leaders that are left with the
+rows of their bucket; leaders are further apart than the threshold, so they are few in a tight bucket.
+
+Keys get shorter as the threshold grows: 20 bits at 4, 16 at 6, 8 at 12, 4 at 15. From 16 on the shortest key has
+three bits or fewer and the work nears that of all pairs.
 """
 
 from __future__ import annotations
@@ -26,6 +30,8 @@ from sievework.session import cut_lineage
 BUCKET_ROWS = 512
 MAX_KEYS = 100
 SPLIT_LEVELS = 3
+# Splitting gives a value threshold + 1 keys for one; it stops before a value could have more keys than this.
+MAX_SPLIT_KEYS = 500
 BUCKET = ["mask", "bits"]
 
 
@@ -78,7 +84,8 @@ def bucket_keys(nodes: DataFrame, rows: int, threshold: int, bucket_rows: int) -
         if hot.isEmpty():
             return keys if done is None else done.unionByName(keys), False
         children = {m: split_mask(m, threshold) for m in masks}
-        if level == SPLIT_LEVELS or not any(children.values()):
+        per_value = len(key_masks(rows, threshold)) * (threshold + 1) ** (level + 1)
+        if level == SPLIT_LEVELS or not any(children.values()) or per_value > MAX_SPLIT_KEYS:
             break
         cold = keys.join(hot, BUCKET, "left_anti")
         done = cold if done is None else done.unionByName(cold)

@@ -51,9 +51,11 @@ def apply_overrides(manifest: DataFrame, overrides: DataFrame, taxonomy: DataFra
 
     A class is set by `use`, cleared by `exclude` and kept by `hold`. Stops on an invalid decision.
     """
-    bad = override_violations(overrides, manifest, taxonomy).limit(20).collect()
-    if bad:
-        raise OverrideError("; ".join(f"{row.image_id}: {row.problem}" for row in bad))
+    bad = override_violations(overrides, manifest, taxonomy)
+    count = bad.count()
+    if count:
+        some = "; ".join(f"{row.image_id}: {row.problem}" for row in bad.limit(20).collect())
+        raise OverrideError(f"{count} invalid decisions (see override_violations), among them: {some}")
     return apply_valid_overrides(manifest, overrides, seq)
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -15,9 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from sievework.operators.evaluate import class_report, class_weights
-from sievework.operators.profile import scopes_with_labels
 from sievework.operators.splits import stratified_folds
-from sievework.session import cut_lineage, small_table
+from sievework.session import SMALL_TABLE_ROWS, cut_lineage, small_table
 
 # The probes of the shortcut report.
 METADATA = ["width", "height", "aspect", "brightness", "sharpness_256", "file_bytes"]
@@ -25,7 +25,7 @@ FOLDS = 5
 TREES = 300
 C = 0.5
 MAX_ITER = 2000
-ROWS_PER_TASK = 10_000
+DEPTH = 30  # the limit of MLlib: trees are grown until their leaves are pure or as deep as that
 
 
 def label_dictionary(df: DataFrame, label: str) -> list[str]:
@@ -63,8 +63,6 @@ def fold_predictions(data: DataFrame, make, folds: int = FOLDS) -> DataFrame:
     The folds are fitted side by side, as CrossValidator does; every fit is a distributed job.
     """
     total = data.count()
-    # an iterative fit pays per task and iteration, so small data gets few partitions
-    data = data.coalesce(max(1, -(-total // ROWS_PER_TASK)))
 
     def one(fold: int) -> DataFrame:
         train, held = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
@@ -84,49 +82,61 @@ def cross_validated_f1(df: DataFrame, label: str, id_col: str, make, folds: int
     return report.groupBy("fold").agg(F.avg("f1").alias("f1")).agg(F.bround(F.avg("f1"), 3).alias("macro_f1"))
 
 
-def _counts_note(df: DataFrame, column: str) -> str:
-    rows = df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).collect()
-    return ", ".join(f"{row[column]} {row['n']}" for row in rows)
+@dataclass(frozen=True)
+class Probe:
+    """Predict `label` within each value of `scope` that has several labels."""
+
+    name: str
+    scope: str
+    label: str
+    make: Callable[[int], Pipeline]
+
+
+def probe_table(trees: int = TREES, depth: int = DEPTH) -> list[Probe]:
+    return [Probe("class_by_metadata", "crop", "class_id", lambda n: _metadata_probe(n, trees, depth)),
+            Probe("class_by_features", "crop", "class_id", _linear_probe),
+            Probe("source_by_features", "class_id", "dataset_id", _linear_probe)]
+
+
+def label_shares(rows: DataFrame, scope: str, label: str) -> DataFrame:
+    """(scope, note) for scopes with two labels or more: 'label share' of each label, the most frequent first."""
+    counts = rows.filter(F.col(scope).isNotNull() & F.col(label).isNotNull()).groupBy(scope, label).agg(F.count("*").alias("n"))
+    ordered = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(label).alias("label"))))
+    listed = counts.groupBy(scope).agg(F.sum("n").alias("total"), ordered.alias("all"), F.count("*").alias("labels")).filter("labels > 1")
+    shares = F.transform("all", lambda x: F.concat(x["label"], F.lit(" "), F.format_number(F.bround(-x["n"] / F.col("total"), 3), 3)))
+    return listed.select(F.col(scope).alias("scope"), F.concat_ws(", ", shares).alias("note"))
 
 
 def shortcut_report(items: DataFrame, id_col: str = "image_id", features: str = "features", folds: int = FOLDS,
-                    trees: int = TREES, depth: int = 10) -> DataFrame:
-    """(test, scope, macro_f1, note). `items` are usable rows with crop, class_id, dataset_id, METADATA, features.
+                    probes: Sequence[Probe] | None = None) -> DataFrame:
+    """(probe, scope, macro_f1, note). `items` are usable rows with crop, class_id, dataset_id, METADATA, features.
 
-    Crops and classes come from the taxonomy, so the loop over them is short; every model is trained on
+    Scopes come from the taxonomy and are few (more than SMALL_TABLE_ROWS are refused); every model is trained on
     the cluster.
     """
+    spark = items.sparkSession
     rows = cut_lineage(with_vectors(items.na.fill(0.0, METADATA), features).select(
         id_col, "crop", "class_id", "dataset_id", "vec", *METADATA))
     results = []
-
-    def add(test: str, scope: str, f1: DataFrame, note: str) -> None:
-        results.append(f1.select(F.lit(test).alias("test"), F.lit(scope).alias("scope"), "macro_f1", F.lit(note).alias("note")))
-
-    for crop in sorted(r["crop"] for r in scopes_with_labels(rows, "crop", "class_id").collect()):
-        part = rows.filter(F.col("crop") == crop)
-        counts = part.groupBy("class_id").agg(F.count("*").alias("n")).agg(F.max("n") / F.sum("n")).first()
-        add("class from metadata only", crop,
-            cross_validated_f1(part, "class_id", id_col, lambda n: _metadata_probe(n, trees, depth), folds),
-            f"majority-class share {counts[0]:.2f}")
-        add("class from embedding (linear probe)", crop, cross_validated_f1(part, "class_id", id_col, _linear_probe, folds), "")
-    for cls in sorted(r["class_id"] for r in scopes_with_labels(rows, "class_id", "dataset_id").collect()):
-        part = rows.filter(F.col("class_id") == cls)
-        add("source dataset from embedding", cls, cross_validated_f1(part, "dataset_id", id_col, _linear_probe, folds),
-            _counts_note(part, "dataset_id"))
-    if not results:
-        return small_table(items.sparkSession, [], "test STRING, scope STRING, macro_f1 DOUBLE, note STRING")
-    return reduce(DataFrame.unionByName, results)
+    for probe in probe_table() if probes is None else probes:
+        notes = label_shares(rows, probe.scope, probe.label).limit(SMALL_TABLE_ROWS + 1).collect()
+        if len(notes) > SMALL_TABLE_ROWS:
+            raise ValueError(f"too many scopes for {probe.name}")
+        for scope, note in sorted(map(tuple, notes)):
+            part = rows.filter((F.col(probe.scope) == scope) & F.col(probe.label).isNotNull())
+            f1 = cross_validated_f1(part, probe.label, id_col, probe.make, folds)
+            results.append(f1.select(F.lit(probe.name).alias("probe"), F.lit(scope).alias("scope"), "macro_f1", F.lit(note).alias("note")))
+    empty = small_table(spark, [], "probe STRING, scope STRING, macro_f1 DOUBLE, note STRING")
+    return reduce(DataFrame.unionByName, results, empty)
 
 
 def train_head(feature_rows: DataFrame, features: str = "features", reg: float = 1e-4):
     """Class-weighted softmax on the train rows of (features, split, class_id): (labels, fitted pipeline)."""
     labels = label_dictionary(feature_rows, "class_id")
     train = feature_rows.filter(F.col("split") == "train")
-    weighted = train.join(F.broadcast(class_weights(train).select("class_id", "weight")), "class_id")  # one row per class
+    weighted = train.join(class_weights(train).select("class_id", "weight"), "class_id")
     index = F.array_position(F.array(*[F.lit(l) for l in labels]), F.col("class_id"))
     data = cut_lineage(with_vectors(weighted, features).select("vec", "weight", (index - 1).cast("double").alias("y")))
-    data = data.coalesce(max(1, -(-data.count() // ROWS_PER_TASK)))
     model = Pipeline(stages=[
         StandardScaler(withMean=True, inputCol="vec", outputCol="scaled"),
         LogisticRegression(featuresCol="scaled", labelCol="y", weightCol="weight", family="multinomial",

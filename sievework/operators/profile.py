@@ -49,8 +49,11 @@ def exclusion_reasons(manifest: DataFrame) -> DataFrame:
 
 
 def count_matrix(df: DataFrame, rows: str, columns: str, values: Sequence[str]) -> DataFrame:
-    """Count per row key and listed column value, 0 where there is none."""
-    return df.groupBy(rows).agg(*[F.count_if(F.col(columns) == v).alias(v) for v in values])
+    """Count per row key and listed column value, 0 where there is none. A value that is not listed stops the run."""
+    other = F.min(F.when(~F.coalesce(F.col(columns).isin(list(values)), F.lit(False)), F.coalesce(F.col(columns).cast("string"), F.lit("NULL"))))
+    counted = df.groupBy(rows).agg(*[F.count_if(F.col(columns) == v).alias(v) for v in values], other.alias("_other"))
+    stop = F.raise_error(F.concat(F.lit(f"value of {columns} without a column: "), F.col("_other"))).cast("bigint")
+    return counted.withColumns({v: F.when(F.col("_other").isNotNull(), stop).otherwise(F.col(v)) for v in values}).drop("_other")
 
 
 def class_by_dataset(manifest: DataFrame, datasets: Sequence[str]) -> DataFrame:
@@ -158,8 +161,7 @@ def quality_flags(manifest: DataFrame, short_side: int = 224) -> DataFrame:
     steps = exact_quantiles(rows, [], {"sharpness_256": [.5, .05]}, how=ORDER)
     picked = steps.agg(F.max(F.when(F.col("prob") == .5, F.col("value"))).alias("sharpness_median"),
                        F.max(F.when(F.col("prob") == .05, F.col("value"))).alias("sharpness_p05"))
-    one = F.lit(1).alias("_k")
-    return counts.select("*", one).join(F.broadcast(picked.select("*", one)), "_k").drop("_k")
+    return counts.crossJoin(F.broadcast(picked))  # one row beside one row
 
 
 def coverage_gaps(taxonomy: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -1,75 +1,147 @@
 """Exact quantiles of groups of any size.
 
-Spark's own `percentile` keeps every distinct value of a group in one task. Here a mergeable sketch first
-gives, per probability, a narrow value band that holds the wanted order statistics; one more pass counts
-what lies below the band and the distinct values inside it, all pre-aggregated before the shuffle.
+Spark's own `percentile` keeps every distinct value of a group in one task. Here each wanted order statistic has a
+value band that holds it. One aggregate per round counts the rows below and inside each band and sketches the inside
+at a fixed grid of ranks, from which the next, narrower band is read; all of it collapses before the shuffle. When
+no band holds more than BAND_ROWS rows, or a band is a single value, the distinct values inside are counted and picked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sievework.operators.ranks import group_key
 from sievework.session import cut_lineage
 
 LINEAR = "linear"
 ORDER = "order"
+BAND_ROWS = 10_000
+GRID = 128
+ACCURACY = 4000
+# a sketch is off by 1/ACCURACY of the ranks at most; twice that on either side is left as a margin
+MARGIN = 2.0 / ACCURACY
+
+
+class BandError(RuntimeError):
+    pass
 
 
 def exact_quantiles(df: DataFrame, groups: Sequence[str], wanted: Mapping[str, Sequence[float]],
-                    how: str = LINEAR, accuracy: int = 2000) -> DataFrame:
+                    how: str = LINEAR, band_rows: int = BAND_ROWS) -> DataFrame:
     """One row per group, value column and probability: (groups…, column, prob, value, n).
 
-    `wanted` lists the probabilities per value column; all of them share the same two passes over `df`.
-    NULL values are left out. LINEAR interpolates at p·(n−1); ORDER takes the element with zero-based
-    index floor(n·p). Group columns must not be NULL.
+    `wanted` lists the probabilities per value column; all of them share the same passes over `df`. NULL values
+    are left out; NULL is a group value like any other. LINEAR interpolates at p·(n−1); ORDER takes the element
+    with zero-based index floor(n·p).
     """
-    groups = list(groups)
-    keys = groups or ["_all"]
     columns = list(wanted)
     specs = [(j, float(p)) for j, c in enumerate(columns) for p in wanted[c]]
-    data = df.select(*(groups or [F.lit(0).alias("_all")]), *[F.col(c).cast("double").alias(f"_v{j}") for j, c in enumerate(columns)])
-    margin = 4.0 / accuracy
-    sketches = []
-    for j, c in enumerate(columns):
-        edges = [edge for p in wanted[c] for edge in (max(0.0, p - margin), min(1.0, p + margin))]
-        sketches += [F.count(f"_v{j}").alias(f"_n{j}"), F.min(f"_v{j}").alias(f"_min{j}"), F.max(f"_v{j}").alias(f"_max{j}"),
-                     F.percentile_approx(f"_v{j}", edges, accuracy).alias(f"_e{j}")]
-    sketch = cut_lineage(data.groupBy(*keys).agg(*sketches))
-    bands = []
-    for i, (j, p) in enumerate(specs):
-        place = list(wanted[columns[j]]).index(p)
-        v, n, edge = F.col(f"_v{j}"), F.col(f"_n{j}"), F.col(f"_e{j}")
-        # in a group no larger than `accuracy` the band is the whole group
-        low = F.when((n <= accuracy) | F.lit(p <= margin), F.col(f"_min{j}")).otherwise(edge[2 * place])
-        high = F.when((n <= accuracy) | F.lit(p + margin >= 1), F.col(f"_max{j}")).otherwise(edge[2 * place + 1])
-        # NULL stands for "below the band"
-        bands.append(F.when(v <= high, F.struct(F.lit(i).alias("i"), n.alias("n"), F.when(v >= low, v).alias("v"))))
-    # one row for an ungrouped call; else the planner broadcasts it only if the written size is small
-    sized = sketch if groups else F.broadcast(sketch)
+    data = df.select(group_key(groups).alias("_g"), *[F.col(c).cast("double").alias(f"_v{j}") for j, c in enumerate(columns)])
+    bands = narrowed_bands(data, specs, how, band_rows)
+    inside = []
+    for i, (j, _) in enumerate(specs):
+        v, b = F.col(f"_v{j}"), F.col("_b")[i]
+        inside.append(F.when((b["low"] < b["high"]) & (v >= b["low"]) & (v <= b["high"]), F.struct(F.lit(i).alias("i"), v.alias("v"))))
     counted = (
-        data.join(sized, keys)
-        .select(*keys, F.explode(F.array_compact(F.array(*bands))).alias("_b"))
-        .groupBy(*keys, F.col("_b.i").alias("_i"), F.col("_b.n").alias("_n"), F.col("_b.v").alias("_v"))
-        .agg(F.count("*").alias("_c")))
-    upto = Window.partitionBy(*keys, "_i").orderBy(F.col("_v").asc_nulls_first())
-    cum = counted.withColumn("_cum", F.sum("_c").over(upto))
-    p = F.element_at(F.array(*[F.lit(q) for _, q in specs]), F.col("_i") + 1)
+        _beside(data, bands, groups).select("_g", F.explode(F.array_compact(F.array(*inside))).alias("_s"))
+        .groupBy("_g", F.col("_s.i").alias("_i"), F.col("_s.v").alias("_v")).agg(F.count("*").alias("_c")))
+    upto = F.sum("_c").over(Window.partitionBy("_g", "_i").orderBy("_v"))
+    steps = counted.withColumn("_upto", upto)
+    flat = bands.select("_g", F.posexplode("_b").alias("_i", "_w"))
+    hits = steps.join(flat, ["_g", "_i"]).groupBy("_g", "_i").agg(*[
+        F.max(F.when((F.col("_w.below") + F.col("_upto") > F.col(k)) & (F.col("_w.below") + F.col("_upto") - F.col("_c") <= F.col(k)),
+                     F.col("_v"))).alias(name) for k, name in (("_w.first", "_low"), ("_w.last", "_high"))])
+    found = flat.filter("_w.n > 0").join(hits, ["_g", "_i"], "left")
+    single = F.col("_w.low") == F.col("_w.high")
+    low, high = (F.when(single, F.col("_w.low")).otherwise(F.col(c)) for c in ("_low", "_high"))
+    stop = F.raise_error(F.lit("an order statistic fell outside its band")).cast("double")
+    value = F.when(low == high, low).otherwise(low + (high - low) * F.col("_w.part"))
     name = F.element_at(F.array(*[F.lit(columns[j]) for j, _ in specs]), F.col("_i") + 1)
-    last = (F.col("_n") - 1).cast("double")
-    place = p * last if how == LINEAR else F.least(F.floor(p * F.col("_n")).cast("double"), last)
-
-    def at(index):
-        hit = (F.col("_cum") > index) & (F.col("_cum") - F.col("_c") <= index)
-        return F.max(F.when(hit, F.col("_v")))
-
-    low, high = F.floor(place), F.ceil(place)
-    picked = cum.groupBy(*keys, "_i").agg(
-        F.first("_n").alias("n"), F.first(p).alias("prob"), F.first(name).alias("column"),
-        at(low).alias("_low"), at(high).alias("_high"), F.first(place - low).alias("_f"))
-    missed = F.col("_low").isNull() | F.col("_high").isNull()
-    result = F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_f")
-    failure = F.raise_error(F.lit("quantile outside its band: raise accuracy")).cast("double")
-    return picked.select(*groups, "column", "prob", F.when(missed, failure).otherwise(result).alias("value"), "n")
+    prob = F.element_at(F.array(*[F.lit(p) for _, p in specs]), F.col("_i") + 1)
+    keys = [F.col(f"_g.{g}").alias(g) for g in groups]
+    return found.select(*keys, name.alias("column"), prob.alias("prob"),
+                        F.when(low.isNull() | high.isNull(), stop).otherwise(value).alias("value"), F.col("_w.n").alias("n"))
+
+
+def _beside(data: DataFrame, bands: DataFrame, groups: Sequence[str]) -> DataFrame:
+    # one row for an ungrouped call; else the planner broadcasts it only if the written size is small
+    return data.join(bands if groups else F.broadcast(bands), "_g")
+
+
+def _ranks(n: Column, p: float, how: str) -> tuple[Column, Column, Column]:
+    """First and last wanted rank and the part of the way between them."""
+    last = (n - 1).cast("double")
+    place = F.lit(p) * last if how == LINEAR else F.least(F.floor(F.lit(p) * n).cast("double"), last)
+    return F.floor(place), F.ceil(place), place - F.floor(place)
+
+
+def narrowed_bands(data: DataFrame, specs: Sequence[tuple[int, float]], how: str, band_rows: int) -> DataFrame:
+    """(_g, _b): per group an array with, for each spec, low, high, below, inside, n, first, last, part."""
+    grid = [i / GRID for i in range(GRID + 1)]
+    used = sorted({j for j, _ in specs})
+    first_pass = [f for j in used for f in (
+        F.count(f"_v{j}").alias(f"_n{j}"), F.min(f"_v{j}").alias(f"_min{j}"), F.max(f"_v{j}").alias(f"_max{j}"),
+        F.percentile_approx(f"_v{j}", grid, ACCURACY).alias(f"_q{j}"))]
+    start = cut_lineage(data.groupBy("_g").agg(*first_pass))
+    whole = []
+    for j, p in specs:
+        n = F.col(f"_n{j}")
+        first, last, part = _ranks(n, p, how)
+        end = F.when(F.lit(p == 0.0), F.col(f"_min{j}")).when(F.lit(p == 1.0) & F.lit(how == LINEAR), F.col(f"_max{j}"))
+        whole.append(_band(F.coalesce(end, F.col(f"_min{j}")), F.coalesce(end, F.col(f"_max{j}")), F.lit(0).cast("bigint"), n, n,
+                           first, last, part, F.col(f"_q{j}")))
+    bands = cut_lineage(start.select("_g", F.array(*whole).alias("_b")))
+    widest = _widest(bands)
+    while widest > band_rows:
+        edges = F.transform("_b", lambda b: F.when((b["inside"] > band_rows) & (b["low"] < b["high"]), _cut(b)).otherwise(_kept(b)))
+        bands = cut_lineage(_counted(data, bands.select("_g", edges.alias("_b")), specs))
+        before, widest = widest, _widest(bands)
+        if widest >= before:
+            raise BandError("the bands of the wanted quantiles do not get narrower")
+    return bands
+
+
+def _band(low, high, below, inside, n, first, last, part, grid) -> Column:
+    return F.struct(low.alias("low"), high.alias("high"), below.alias("below"), inside.alias("inside"), n.alias("n"),
+                    first.alias("first"), last.alias("last"), part.alias("part"), grid.alias("grid"))
+
+
+def _kept(b: Column) -> Column:
+    return _band(*[b[k] for k in ("low", "high", "below", "inside", "n", "first", "last", "part", "grid")])
+
+
+def _cut(b: Column) -> Column:
+    """The band between the grid values on either side of the wanted ranks."""
+    def at(rank: Column, slack: float) -> Column:
+        return ((rank - b["below"]) / b["inside"] + slack) * GRID
+
+    low = F.greatest(F.floor(at(b["first"], -MARGIN)) - 1, F.lit(0)).cast("int")
+    high = F.least(F.ceil(at(b["last"] + 1, MARGIN)) + 1, F.lit(GRID)).cast("int")
+    return _band(F.greatest(b["low"], F.when(low == 0, b["low"]).otherwise(F.get(b["grid"], low))),
+                 F.least(b["high"], F.when(high == GRID, b["high"]).otherwise(F.get(b["grid"], high))),
+                 b["below"], b["inside"], b["n"], b["first"], b["last"], b["part"], b["grid"])
+
+
+def _counted(data: DataFrame, bands: DataFrame, specs: Sequence[tuple[int, float]]) -> DataFrame:
+    """The bands with their counts and grids taken anew: one aggregate, nothing is exploded."""
+    grid = [i / GRID for i in range(GRID + 1)]
+    joined = data.join(bands, "_g")
+    takes = [F.first("_b").alias("_b")]
+    for i, (j, _) in enumerate(specs):
+        v, b = F.col(f"_v{j}"), F.col("_b")[i]
+        within = (v >= b["low"]) & (v <= b["high"])
+        takes += [F.count_if(v < b["low"]).alias(f"_below{i}"), F.count_if(within).alias(f"_in{i}"),
+                  F.percentile_approx(F.when(within, v), grid, ACCURACY).alias(f"_q{i}")]
+    fresh = joined.groupBy("_g").agg(*takes)
+    return fresh.select("_g", F.array(*[
+        _band(b["low"], b["high"], F.col(f"_below{i}"), F.col(f"_in{i}"), b["n"], b["first"], b["last"], b["part"], F.col(f"_q{i}"))
+        for i, b in ((i, F.col("_b")[i]) for i in range(len(specs)))]).alias("_b"))
+
+
+def _widest(bands: DataFrame) -> int:
+    """The most rows in a band that is not a single value."""
+    open_rows = F.transform("_b", lambda b: F.when(b["low"] < b["high"], b["inside"]).otherwise(0))
+    return bands.agg(F.max(F.array_max(open_rows))).first()[0] or 0

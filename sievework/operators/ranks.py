@@ -15,25 +15,30 @@ def seeded_hash(seed: int | str, id_col: str) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string")))
 
 
+def group_key(groups: Sequence[str]) -> Column:
+    """One key for some columns: a struct is never NULL, so NULL values join and group like others."""
+    return F.struct(*groups) if groups else F.lit(0)
+
+
 def hash_ranked(df: DataFrame, groups: Sequence[str], id_col: str, seed: int | str,
                 rank: str = "_rank", size: str = "_size", digits: int = 3) -> DataFrame:
     """Add the exact 1-based rank of each row in its group by seeded hash order, and the group size.
 
     Hashes are uniform, so a group is cut by the first `digits` hex digits into equal slices. A slice's
     first rank follows from the (pre-aggregated) slice counts, and rows are only sorted within a slice:
-    a group with a third of all rows is spread over 16**digits slices. Group columns must not be NULL.
+    a group with a third of all rows is spread over 16**digits slices. NULL is a group value like any other.
     """
-    groups = list(groups)
-    slices = [*groups, "_slice"]
-    keyed = df.withColumn("_hash", seeded_hash(seed, id_col)).withColumn("_slice", F.substring("_hash", 1, digits))
+    slices = ["_group", "_slice"]
+    keyed = df.withColumns({"_group": group_key(groups), "_hash": seeded_hash(seed, id_col)}).withColumn(
+        "_slice", F.coalesce(F.substring("_hash", 1, digits), F.lit("")))
     counts = keyed.groupBy(*slices).agg(F.count("*").alias("_c"))
-    whole = Window.partitionBy(*groups)
+    whole = Window.partitionBy("_group")
     before = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*slices, F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"),
                            F.sum("_c").over(whole).alias(size))
     in_slice = Window.partitionBy(*slices).orderBy("_hash", id_col)
     ranked = keyed.withColumn("_in_slice", F.row_number().over(in_slice)).join(starts, slices)
-    return ranked.withColumn(rank, F.col("_start") + F.col("_in_slice")).drop("_hash", "_slice", "_in_slice", "_start")
+    return ranked.withColumn(rank, F.col("_start") + F.col("_in_slice")).drop("_group", "_hash", "_slice", "_in_slice", "_start")
 
 
 def first_per_group(df: DataFrame, groups: Sequence[str], order: Sequence, n: int) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions.text import NO_CLASS, class_or_none
 from sievework.schema import FORM, OVERRIDES, names
-from sievework.session import small_table
+from sievework.session import SMALL_TABLE_ROWS, small_table
 
 # Verdict -> (action, or None for no change; whether correct_class must be filled).
 VERDICTS: dict[str, tuple[str | None, bool]] = {
@@ -41,9 +41,27 @@ def taxonomy_crop(crop: Column, aliases: Mapping[str, str] = CROP_ALIASES) -> Co
 def classes_by_crop(taxonomy: DataFrame) -> DataFrame:
     """(crop, class_id) of model classes; classes for all crops also listed under each crop."""
     rows = taxonomy.filter("in_model").select("crop", "class_id")
-    shared = rows.filter(F.col("crop") == ALL_CROPS).select("class_id", F.lit(1).alias("k"))
-    crops = rows.select("crop").distinct().withColumn("k", F.lit(1))
-    return rows.unionByName(crops.join(shared, "k").select("crop", "class_id")).distinct()
+    # a taxonomy is small: its crops beside its shared classes
+    shared = F.broadcast(rows.filter(F.col("crop") == ALL_CROPS).select("class_id").distinct())
+    return rows.unionByName(rows.select("crop").distinct().crossJoin(shared)).distinct()
+
+
+def permitted_classes(taxonomy: DataFrame) -> dict[str, list[str]]:
+    """Classes by crop as driver-side configuration; a taxonomy of more rows than that is refused."""
+    found = classes_by_crop(taxonomy).limit(SMALL_TABLE_ROWS + 1).collect()
+    if len(found) > SMALL_TABLE_ROWS:
+        raise FormError(f"the taxonomy has more than {SMALL_TABLE_ROWS} classes")
+    table: dict[str, list[str]] = {ALL_CROPS: []}
+    for row in sorted(found):
+        table.setdefault(row.crop, []).append(row.class_id)
+    return table
+
+
+def is_permitted(class_id: Column, crop: Column, permitted: Mapping[str, list[str]], aliases: Mapping[str, str]) -> Column:
+    """Whether a crop may have a class; a crop the taxonomy lacks gets the shared classes only."""
+    lists = F.create_map(*[x for c, ids in permitted.items() for x in (F.lit(c), F.array(*[F.lit(i) for i in ids]).cast("array<string>"))])
+    own = F.coalesce(F.element_at(lists, taxonomy_crop(crop, aliases)), F.element_at(lists, F.lit(ALL_CROPS)))
+    return F.coalesce(F.array_contains(own, class_id), F.lit(False))
 
 
 def allowed_classes(items: DataFrame, taxonomy: DataFrame, aliases: Mapping[str, str] = CROP_ALIASES) -> DataFrame:
@@ -68,10 +86,8 @@ def check_form(form: DataFrame, manifest: DataFrame, taxonomy: DataFrame, versio
     verdicts = small_table(spark, [(v, a, n) for v, (a, n) in VERDICTS.items()],
                            "verdict STRING, action STRING, needs_class BOOLEAN").withColumn("known_verdict", F.lit(True))
     known = manifest.select("image_id", F.col("crop").alias("known_crop"))
-    permitted = allowed_classes(manifest, taxonomy, aliases).select(
-        F.col("crop").alias("known_crop"), F.col("class_id").alias("correct_class"), F.lit(True).alias("permitted"))
-    rows = (form.withColumns(text).join(verdicts, "verdict", "left").join(known, "image_id", "left")
-            .join(permitted, ["known_crop", "correct_class"], "left"))
+    rows = form.withColumns(text).join(verdicts, "verdict", "left").join(known, "image_id", "left")
+    permitted = is_permitted(F.col("correct_class"), F.col("known_crop"), permitted_classes(taxonomy), aliases)
     stop = (
         F.when(F.col("known_verdict").isNull(), "unknown_verdict")
         .when(F.col("known_crop").isNull(), "unknown_item")
@@ -80,7 +96,7 @@ def check_form(form: DataFrame, manifest: DataFrame, taxonomy: DataFrame, versio
     about_class = (
         F.when(F.col("needs_class") & ~filled, "class_required")
         .when(~F.col("needs_class") & filled, "class_must_be_empty")
-        .when(filled & F.col("permitted").isNull(), "class_not_valid_for_crop"))
+        .when(filled & ~permitted, "class_not_valid_for_crop"))
     no_class = F.when((F.col("verdict") == "correct") & F.col("current_class").isin("", NO_CLASS), "item_has_no_class")
     none = F.array().cast("array<string>")
     errors = (
@@ -107,10 +123,12 @@ def form_decisions(checked: DataFrame, form_name: str, decided_by: str, decided_
 
 
 def import_form(checked: DataFrame, form_name: str, decided_by: str, decided_at: Column | None = None) -> DataFrame:
-    """Decisions of a form, all or none: one invalid row refuses the whole form."""
-    problems = form_errors(checked).limit(40).collect()
-    if problems:
-        raise FormError("nothing imported: " + "; ".join(f"{p.image_id}: {p.error}" for p in problems))
+    """Decisions of a form, all or none: one invalid row refuses the whole form; `form_errors` lists all faults."""
+    faults = form_errors(checked)
+    count = faults.count()
+    if count:
+        some = "; ".join(f"{p.image_id}: {p.error}" for p in faults.limit(20).collect())
+        raise FormError(f"nothing imported, {count} faults (see form_errors), among them: {some}")
     return form_decisions(checked, form_name, decided_by, F.current_timestamp() if decided_at is None else decided_at)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievework.session import SMALL_TABLE_ROWS
+
 TOP_K = 3
 MIN_CONFIDENCE = 0.35
 # Accepted content types, size limit in bytes, and the texts of the answers.
@@ -13,6 +15,9 @@ MAX_BYTES = 10 * 1024 * 1024
 NOT_SURE_MESSAGE = "Not confident enough to name a disease. Try a clearer, closer photo."
 
 
+NAMES = ("name_en", "name_hi", "crop")
+
+
 class TaxonomyError(ValueError):
     pass
 
@@ -35,26 +40,29 @@ def missing_labels(labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return labels.join(taxonomy.filter("in_model"), "class_id", "left_anti")
 
 
-def name_alternatives(scored: DataFrame, id_col: str, labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
-    """One row per item and place: (id, place, class_id, names, crop, confidence)."""
-    unknown = missing_labels(labels, taxonomy).limit(5).collect()
-    if unknown:
-        raise TaxonomyError(f"labels without a class: {', '.join(r.class_id for r in unknown)}")
-    info = labels.join(taxonomy.select("class_id", "name_en", "name_hi", "crop"), "class_id")
-    flat = scored.select(id_col, F.posexplode("top").alias("place", "t")).select(
-        id_col, F.col("place"), F.col("t.class_index"), F.col("t.confidence"))
-    return flat.join(info, "class_index").drop("class_index")
-
-
-def gate(named: DataFrame, id_col: str, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """One answer per item: status, top, alternatives, message. At most k alternatives meet per item."""
-    ranked = F.array_sort(F.collect_list(F.struct("place", "class_id", "name_en", "name_hi", "crop", "confidence")))
-    grouped = named.groupBy(id_col).agg(ranked.alias("all"))
-    sure = F.col("all")[0]["confidence"] >= min_confidence
-    return grouped.select(
-        id_col, F.when(sure, "ok").otherwise("not_sure").alias("status"), F.when(sure, F.col("all")[0]).alias("top"),
-        F.when(sure, F.slice("all", F.lit(2), F.size("all"))).otherwise(F.col("all")).alias("alternatives"),
-        F.when(~sure, F.lit(NOT_SURE_MESSAGE)).alias("message"))
+def name_alternatives(scored: DataFrame, labels: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """Add `named`: for each place of `top` its class, names, crop and confidence, looked up within the row."""
+    unknown = missing_labels(labels, taxonomy)
+    count = unknown.count()
+    if count:
+        some = ", ".join(r.class_id for r in unknown.limit(20).collect())
+        raise TaxonomyError(f"{count} labels without a class (see missing_labels): {some}")
+    info = labels.join(taxonomy.select("class_id", *NAMES), "class_id").limit(SMALL_TABLE_ROWS + 1).collect()
+    if len(info) > SMALL_TABLE_ROWS:
+        raise TaxonomyError(f"more than {SMALL_TABLE_ROWS} labels")
+    entries = [x for r in info for x in (F.lit(r.class_index), F.struct(*[F.lit(r[c]).cast("string").alias(c) for c in ("class_id", *NAMES)]))]
+    table = F.create_map(*entries)
+    return scored.withColumn("named", F.transform("top", lambda t: F.struct(
+        *[table[t["class_index"]][c].alias(c) for c in ("class_id", *NAMES)], t["confidence"].alias("confidence"))))
+
+
+def gate(named: DataFrame, id_col: str, min_confidence: float = MIN_CONFIDENCE, message: str = NOT_SURE_MESSAGE) -> DataFrame:
+    """One answer per item: status, top, alternatives, message."""
+    sure = F.get("named", F.lit(0))["confidence"] >= min_confidence
+    return named.select(
+        id_col, F.when(sure, "ok").otherwise("not_sure").alias("status"), F.when(sure, F.get("named", F.lit(0))).alias("top"),
+        F.when(sure, F.slice("named", F.lit(2), F.greatest(F.size("named"), F.lit(1)))).otherwise(F.col("named")).alias("alternatives"),
+        F.when(~sure, F.lit(message)).alias("message"))
 
 
 def input_error(content_type: Column, n_bytes: Column, readable: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.session import cut_lineage
+
 HOT_SHARE = 0.001
 HOT_ROWS = 100_000
 
@@ -16,6 +18,7 @@ def left_join_weighted(big: DataFrame, small: DataFrame, key: str, weight: str,
     A key is hot above `share` of all counted rows, so there are at most 1/share hot keys: these are
     broadcast and their rows stay where they are. Only rows with other keys are shuffled by key.
     """
+    small = cut_lineage(small)  # read four times
     total = small.agg(F.sum(weight)).first()[0] or 0
     limit = max(floor, int(total * share))
     hot = small.filter(F.col(weight) > limit).drop(weight)

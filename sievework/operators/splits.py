@@ -32,9 +32,11 @@ def stratified_split(items: DataFrame, seed: int | str, strata: Sequence[str] =
     train_rank = F.col("_rank") - test - val
     split = F.when(F.col("_rank") <= test, "test").when(train_rank <= 0, "val")
     if caps:
-        rows = [(*key, limit) for key, limit in caps.items()]
-        table = small_table(items.sparkSession, rows, ", ".join(f"{c} STRING" for c in strata) + ", _cap INT")
-        ranked = ranked.join(table, list(strata), "left")
+        # strata of any type and NULL strata are named by their text
+        rows = [(*(None if k is None else str(k) for k in key), limit) for key, limit in caps.items()]
+        table = small_table(items.sparkSession, rows, ", ".join(f"`{c}` STRING" for c in strata) + ", _cap INT")
+        table = table.select(F.struct(*strata).alias("_stratum"), "_cap")
+        ranked = ranked.withColumn("_stratum", F.struct(*[F.col(c).cast("string").alias(c) for c in strata])).join(table, "_stratum", "left")
         split = split.when(train_rank > F.col("_cap"), "unused")
     return ranked.withColumn("split", split.otherwise("train")).select(*items.columns, "split")
 

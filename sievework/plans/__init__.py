@@ -7,7 +7,7 @@ from importlib import import_module
 from sievework.plans.catalogue import QUERIES, Query
 
 SUBJECTS = ["classification", "counts", "profiles", "samples", "duplicate_groups", "reviews", "reruns", "evaluation",
-            "probes", "rasters"]
+            "probes"]
 
 
 def all_queries() -> dict[str, Query]:

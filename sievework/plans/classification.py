@@ -7,7 +7,8 @@ from sievework.functions import text as tx
 from sievework.operators.classify import classify_members, match_rule_table, skipped_members
 from sievework.operators.scoring import input_error
 from sievework.plans.catalogue import query
-from sievework.plans.items import FINGERPRINTS_SQL, ITEMS_SQL, items, spread, table
+from sievework.plans.items import FINGERPRINTS_SQL, ITEMS_SQL, items, table
+from sievework.plans.staged import STAGED_SQL, staged
 from sievework.registry import Archive, Dataset, PathRule
 from sievework.session import small_table
 
@@ -109,13 +110,14 @@ def ids_and_hashes(spark, sf_dir):
         tx.content_hash(F.col("html")).alias("sha256"))
 
 
-@query("WITH " + ITEMS_SQL + """
+@query("WITH " + STAGED_SQL + """
 SELECT image_id, coalesce(class_id, dataset_id || ':' || source_label) AS identity, coalesce(class_id, '(none)') AS shown_class,
   coalesce(class_id, 'hold:' || source_label) AS plot_label,
-  substr(replace(dataset_id || '_' || crop, '_', ' '), 1, 18) || ' · ' || source_label AS caption, false AS reviewed FROM items""")
+  substr(replace(dataset_id || '_' || crop, '_', ' '), 1, 18) || ' · ' || source_label AS caption,
+  starts_with(coalesce(reason, ''), 'review:') AS reviewed FROM staged""")
 def label_columns(spark, sf_dir):
     c = F.col
-    return items(spark, sf_dir).select(
+    return staged(spark, sf_dir).select(
         "image_id", tx.label_identity(c("class_id"), c("dataset_id"), c("source_label")).alias("identity"),
         tx.class_or_none(c("class_id")).alias("shown_class"), tx.class_or_hold(c("class_id"), c("source_label")).alias("plot_label"),
         tx.group_caption(F.concat_ws("_", "dataset_id", "crop"), c("source_label")).alias("caption"),
@@ -129,7 +131,7 @@ def class_per_group(spark, sf_dir):
 
 @query("WITH " + FINGERPRINTS_SQL + " SELECT doc_id, phash64, lower(printf('%016x', phash64)) AS phash FROM fps")
 def text_fingerprint(spark, sf_dir):
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return fp.text_fingerprints(docs, "doc_id", "text").withColumn("phash", fp.to_hex(F.col("phash64")))
 
 
@@ -152,5 +154,5 @@ def input_errors(spark, sf_dir):
 b AS (SELECT image_id, greatest(1, floor(w * s + 0.5))::INTEGER AS box_width, greatest(1, floor(h * s + 0.5))::INTEGER AS box_height FROM g)
 SELECT image_id, box_width, box_height, ((224 - box_width) // 2)::INTEGER AS offset_x, ((224 - box_height) // 2)::INTEGER AS offset_y FROM b""")
 def letterbox_geometry(spark, sf_dir):
-    from sievework.functions.images import letterbox_columns
+    from sievework.functions.geometry import letterbox_columns
     return letterbox_columns(items(spark, sf_dir).select("image_id", "width", "height")).drop("width", "height")

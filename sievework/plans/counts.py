@@ -57,6 +57,12 @@ def exclusion_matrix(spark, sf_dir):
     return profile.count_matrix(out, "dataset_id", "reason", REASONS)
 
 
+@query("WITH " + PAGE_SQL + """ SELECT 'pages' AS archive, 'rule 0' AS skip_reason, count(*) AS members FROM rules WHERE rule_no = 0 GROUP BY 1, 2""")
+def skip_reasons(spark, sf_dir):
+    pages = apply_rules(page_members(spark, sf_dir), PAGE_RULES).filter(F.col("rule_skip").isNotNull())
+    return pages.groupBy("archive", F.concat(F.lit("rule "), F.col("rule_no").cast("string")).alias("skip_reason")).agg(F.count("*").alias("members"))
+
+
 @query("WITH " + PAGE_SQL + """, m AS (
   SELECT 'pages' AS archive, url, CASE WHEN rule_no = 0 THEN 'skipped' WHEN regexp_matches(url, '\\.html$') THEN 'ignored'
     WHEN rule_no = -1 THEN 'unmatched' ELSE 'listed' END AS kind FROM rules)

@@ -8,7 +8,7 @@ from sievework.operators.near_duplicates import leader_links
 from sievework.operators.ranks import dense_ids
 from sievework.operators.skew import left_join_weighted
 from sievework.plans.catalogue import query
-from sievework.plans.items import FINGERPRINTS_SQL, ITEMS_SQL, items, spread, table
+from sievework.plans.items import FINGERPRINTS_SQL, ITEMS_SQL, items, table
 from sievework.plans.staged import CURATED_SQL, curated
 from sievework.session import cut_lineage
 
@@ -43,7 +43,7 @@ walk AS (
 ) SELECT rank, leader_rank FROM walk WHERE rank <> leader_rank""")
 def wide_near_copies(spark, sf_dir):
     """Leaders at distance 6, over all documents in id order."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     prints = text_fingerprints(docs, "doc_id", "text").groupBy("phash64").agg(F.min("doc_id").alias("first"))
     nodes = dense_ids(prints, ["first"], "rank").select(F.col("phash64").alias("fp"), "rank")
     return leader_links(nodes, 6)

@@ -114,6 +114,6 @@ FROM named GROUP BY vec_id""")
 def gated_predictions(spark, sf_dir):
     labels = small_table(spark, [(i, f"NATION_{i}") for i in range(10)], "class_index INT, class_id STRING")
     best = scoring.top_k(scored_embeddings(spark, sf_dir), "probs")
-    answers = scoring.gate(scoring.name_alternatives(best, "vec_id", labels, nation_taxonomy(spark, sf_dir)), "vec_id")
+    answers = scoring.gate(scoring.name_alternatives(best, labels, nation_taxonomy(spark, sf_dir)), "vec_id")
     return answers.select("vec_id", "status", F.col("top.class_id").alias("top_class"), F.col("top.crop").alias("top_crop"),
                           F.concat_ws(",", "alternatives.class_id").alias("alternatives"), "message")

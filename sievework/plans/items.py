@@ -8,13 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.functions.fingerprints import text_fingerprints, to_hex
+from sievework.functions.fingerprints import text_fingerprints
 from sievework.functions.text import content_hash, stable_id, tokens, words
 from sievework.operators.classify import decide, map_labels
 from sievework.registry import Dataset, class_map_table, dataset_table, severity_table
 from sievework.session import small_table
 
-SMALL_TABLE_SPLITS = 64
 SOURCES = [f"src{i}" for i in range(20)]
 CLASS_MAP = {"good": "DOC_GOOD", "poor": "DOC_POOR", "toxic": "drop", "unlabelled": None}
 SEVERITY = {"poor": 1, "toxic": 2}
@@ -29,12 +28,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give CPU-heavy work on a table of a few file splits all cores; larger tables are never moved."""
-    splits, cores = df.rdd.getNumPartitions(), df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(min(cores, SMALL_TABLE_SPLITS)) if splits < min(cores, SMALL_TABLE_SPLITS) else df
-
-
 def taxonomy(spark: SparkSession) -> DataFrame:
     return small_table(spark, TAXONOMY, "class_id STRING, crop STRING, name_en STRING, name_hi STRING, "
                                         "visible_on_leaf BOOLEAN, in_model BOOLEAN, status STRING")
@@ -44,26 +37,35 @@ def datasets(spark: SparkSession) -> DataFrame:
     return dataset_table(spark, DATASETS)
 
 
-def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Manifest rows before quality, overrides and duplicates; columns not asked for cost nothing."""
-    docs = spread(table(spark, sf_dir, "documents"))
-    labels = table(spark, sf_dir, "labels")
+def measured_documents(spark: SparkSession, sf_dir: str, prints: bool = False) -> DataFrame:
+    """One row per document without its text: everything that is taken from the text, in one scan and before any
+    join or shuffle. With `prints` also phash64, which is NULL for a text without a token."""
+    docs = table(spark, sf_dir, "documents")
     mark = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1)
     share = F.try_divide(F.lit(100.0) * F.size(tokens(F.col("text"))), F.size(words(F.col("text"))))
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     blanks = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
-    rows = docs.join(labels, "doc_id", "left").select(
-        "doc_id", stable_id(F.lit("corpus"), F.lit("documents"), F.col("doc_id").cast("string")).alias("image_id"),
+    columns = [
+        stable_id(F.lit("corpus"), F.lit("documents"), F.col("doc_id").cast("string")).alias("image_id"),
         F.col("source").alias("dataset_id"), F.col("lang").alias("crop"), F.lit("documents").alias("archive"),
         F.concat(F.col("lang"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("member_path"),
         F.when(mark.isin("0", "1"), "test").when(mark.isin("2", "3"), "valid").when(mark != "f", "train").alias("split_source"),
-        F.when(F.col("quality").isNull(), "unlabelled").when(F.col("toxic") == 1, "toxic")
-        .when(F.col("quality") == 1, "good").otherwise("poor").alias("source_label"),
         content_hash(F.col("text")).alias("sha256"), F.col("n_chars").cast("int").alias("width"), lines.alias("height"),
         F.when(F.octet_length("text") == F.length("text"), "L").otherwise("RGB").alias("mode"),
         (F.octet_length("text") == F.length("text")).alias("is_grayscale"),
         F.octet_length("text").cast("bigint").alias("file_bytes"), F.bround(share, 1).alias("sharpness_256"),
-        F.bround(F.try_divide(F.lit(255.0) * blanks, F.length("text")), 1).alias("brightness"))
+        F.bround(F.try_divide(F.lit(255.0) * blanks, F.length("text")), 1).alias("brightness")]
+    if not prints:
+        return docs.select("doc_id", *columns)
+    packed = docs.select("doc_id", "text", F.struct(*columns).alias("_m"))
+    return text_fingerprints(packed, "doc_id", "text", carry=["_m"]).select("doc_id", "_m.*", "phash64")
+
+
+def items(spark: SparkSession, sf_dir: str, prints: bool = False) -> DataFrame:
+    """Manifest rows before quality, overrides and duplicates; columns not asked for cost nothing."""
+    rows = measured_documents(spark, sf_dir, prints).join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn(
+        "source_label", F.when(F.col("quality").isNull(), "unlabelled").when(F.col("toxic") == 1, "toxic")
+        .when(F.col("quality") == 1, "good").otherwise("poor")).drop("quality", "toxic")
     mapped = map_labels(rows, class_map_table(spark, DATASETS), severity_table(spark, DATASETS))
     none = F.lit(None).cast("string")
     verdict = decide(F.col("mapped"), F.col("target"), F.lit(True), none, F.lit(True))
@@ -71,12 +73,6 @@ def items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "mapped", "target")
 
 
-def with_fingerprints(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    """Add phash64 and phash; texts without a token have neither."""
-    texts = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return rows.join(text_fingerprints(texts, "doc_id", "text"), "doc_id", "left").withColumn("phash", to_hex(F.col("phash64")))
-
-
 ITEMS_SQL = r"""
 raw AS (
   SELECT d.doc_id, substr(sha1('corpus|documents|' || d.doc_id), 1, 16) AS image_id, d.source AS dataset_id,

@@ -66,6 +66,15 @@ def part_ratio_boxplots(spark, sf_dir):
     return rounded(profile.five_numbers(rows, ["p_type"], "ratio"), list(profile.FIVE_NUMBERS))
 
 
+@query(ACTIVE_SQL + """ SELECT split_source, round(quantile_cont(width::DOUBLE, 0.5), 4) AS median_width, round(quantile_cont(width::DOUBLE, 0.9), 4) AS p90
+FROM act GROUP BY 1""")
+def width_by_origin(spark, sf_dir):
+    """Quantiles of groups of which one is NULL."""
+    rows = profile.active(staged(spark, sf_dir)).select("split_source", "width")
+    named = {"median_width": ("width", .5), "p90": ("width", .9)}
+    return rounded(profile.wide_quantiles(cut_lineage(rows), ["split_source"], named), list(named))
+
+
 @query("""SELECT round(quantile_cont(l_extendedprice, 0.5), 4) AS value, 0.5::DOUBLE AS prob, count(*) AS n FROM lineitem
 UNION ALL SELECT round(quantile_cont(l_extendedprice, 0.95), 4), 0.95::DOUBLE, count(*) FROM lineitem""")
 def price_quantiles(spark, sf_dir):

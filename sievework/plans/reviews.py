@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from sievework.operators import overrides, review
 from sievework.plans.catalogue import query
-from sievework.plans.items import FINGERPRINTS_SQL, ITEMS_SQL, items, table, taxonomy, with_fingerprints
+from sievework.plans.items import FINGERPRINTS_SQL, ITEMS_SQL, items, table, taxonomy
 from sievework.plans.staged import DECISIONS_SQL, STAGED_SQL, decisions, staged
 
 VERSION = "v1"
@@ -37,12 +37,21 @@ def unknown_decisions(spark, sf_dir):
 
 
 @query("WITH " + ITEMS_SQL + "," + DECISIONS_SQL + "," + FINGERPRINTS_SQL + """
-SELECT d.image_id, 'item was never hashed' AS problem FROM decisions d JOIN items i ON d.image_id = i.image_id
-LEFT JOIN fps f ON i.doc_id = f.doc_id WHERE d.action = 'use' AND f.phash64 IS NULL
-UNION ALL SELECT image_id, '''use'' needs a class of the taxonomy' FROM decisions WHERE action = 'use' AND class_id NOT IN ('DOC_GOOD', 'DOC_POOR')""")
+SELECT d.image_id, CASE WHEN d.value > 8 AND d.action = 'use' THEN 'unknown action'
+    WHEN d.action = 'use' AND d.value > 6 THEN '''use'' needs a class of the taxonomy'
+    WHEN d.action = 'use' AND i.image_id IS NOT NULL AND (f.phash64 IS NULL OR i.crop = 'fr') THEN 'item was never hashed' END AS problem
+FROM (SELECT d.*, e.value FROM decisions d JOIN events e ON d.seq = e.event_id) d
+LEFT JOIN items i ON d.image_id = i.image_id LEFT JOIN fps f ON i.doc_id = f.doc_id
+WHERE problem IS NOT NULL""")
 def decision_problems(spark, sf_dir):
-    rows = with_fingerprints(spark, sf_dir, items(spark, sf_dir)).select("image_id", "phash64")
-    return overrides.override_violations(decisions(spark, sf_dir), rows, taxonomy(spark))
+    """Decisions made faulty by the value of their event: an action that does not exist, a class outside the taxonomy,
+    a use of an item without a fingerprint (here: French texts)."""
+    value = table(spark, sf_dir, "events").select(F.col("event_id").alias("seq"), "value")
+    faulty = decisions(spark, sf_dir).join(value, "seq").withColumns({
+        "action": F.when((F.col("action") == "use") & (F.col("value") > 8), "keep").otherwise(F.col("action")),
+        "class_id": F.when((F.col("action") == "use") & (F.col("value") > 6), "DOC_NONE").otherwise(F.col("class_id"))}).drop("value")
+    rows = items(spark, sf_dir, prints=True).select("image_id", F.when(F.col("crop") != "fr", F.col("phash64")).alias("phash64"))
+    return overrides.override_violations(faulty, rows, taxonomy(spark))
 
 
 @query("WITH " + DECISIONS_SQL + """, cur AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY decided_at DESC) AS rn FROM decisions WHERE action = 'use') WHERE rn = 1),

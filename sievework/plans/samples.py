@@ -37,6 +37,16 @@ def item_splits(spark, sf_dir):
     return splits.stratified_split(use, SEED)
 
 
+@query("WITH " + STAGED_SQL + """, src AS (SELECT image_id AS id, split_source AS s1, crop AS s2 FROM staged),""" + SPLIT_SQL + """
+SELECT id AS image_id, s1 AS split_source, CASE WHEN r <= n_test THEN 'test' WHEN r <= n_test + n_val THEN 'val'
+  WHEN s1 IS NULL AND s2 = 'en' AND r - n_test - n_val > 3 THEN 'unused' ELSE 'train' END AS split FROM cut""")
+def split_by_origin(spark, sf_dir):
+    """Strata by the split a source came with, which many items lack: NULL is a stratum, and may be capped."""
+    rows = cut_lineage(staged(spark, sf_dir).select("image_id", "split_source", "crop"))
+    done = splits.stratified_split(rows, SEED, ["split_source", "crop"], caps={(None, "en"): 3})
+    return done.select("image_id", "split_source", "split")
+
+
 ITEM_SPLIT_SQL = "WITH " + STAGED_SQL + "," + ITEMS_SRC + "," + SPLIT_SQL + """, done AS (
   SELECT id AS image_id, s1 AS dataset_id, s2 AS class_id,
     CASE WHEN r <= n_test THEN 'test' WHEN r <= n_test + n_val THEN 'val' ELSE 'train' END AS split FROM cut)"""

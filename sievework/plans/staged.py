@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievework.functions.fingerprints import to_hex
 from sievework.functions.text import stable_id
 from sievework.operators.duplicates import DuplicateResult, resolve_duplicates
 from sievework.operators.overrides import apply_valid_overrides
@@ -28,25 +29,19 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("seq"))
 
 
-def checked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_quality_rules(source.items(spark, sf_dir), source.datasets(spark))
+def checked_items(spark: SparkSession, sf_dir: str, prints: bool = False) -> DataFrame:
+    return apply_quality_rules(source.items(spark, sf_dir, prints), source.datasets(spark))
 
 
-def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return apply_valid_overrides(checked_items(spark, sf_dir), decisions(spark, sf_dir), "seq")
-
-
-_CURATED: dict[tuple[str, str], DuplicateResult] = {}
+def staged(spark: SparkSession, sf_dir: str, prints: bool = False) -> DataFrame:
+    return apply_valid_overrides(checked_items(spark, sf_dir, prints), decisions(spark, sf_dir), "seq")
 
 
 def curated(spark: SparkSession, sf_dir: str) -> DuplicateResult:
-    """The settled manifest. Its parts are written tables, so one session resolves each input once."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _CURATED:
-        # written once: resolving reads the manifest three times
-        rows = cut_lineage(source.with_fingerprints(spark, sf_dir, staged(spark, sf_dir)))
-        _CURATED[key] = resolve_duplicates(rows, source.datasets(spark).select("dataset_id", "priority"))
-    return _CURATED[key]
+    """The settled manifest, from the files."""
+    # written once: resolving reads the manifest three times
+    rows = cut_lineage(staged(spark, sf_dir, prints=True).withColumn("phash", to_hex(F.col("phash64"))))
+    return resolve_duplicates(rows, source.datasets(spark).select("dataset_id", "priority"))
 
 
 QUALITY_SQL = source.ITEMS_SQL + r""",

@@ -20,7 +20,6 @@ OVERRIDES = (
     "image_id STRING, action STRING, class_id STRING, reason STRING, decided_by STRING, decided_at TIMESTAMP, "
     "status STRING")
 MEMBERS = "archive STRING, member_path STRING, crc BIGINT, size BIGINT"
-THUMBNAIL_INDEX = "image_id STRING, sha256 STRING"
 FEATURES = "image_id STRING, features ARRAY<FLOAT>, split STRING, class_id STRING, dataset_id STRING"
 
 

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Driver-side tables (rules, label maps, taxonomies) up to this many rows get a broadcast hint.
 SMALL_TABLE_ROWS = 50_000
+# The tables written in the current `scratch` scope.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 # Temporary folders of local runs that name none, by application.
 _LOCAL_FOLDERS: dict[str, str] = {}
 
@@ -47,6 +52,20 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL_FOLDERS[spark.sparkContext.applicationId]
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that `cut_lineage` writes inside are deleted at the end. Results that read them must be written before."""
+    written: list[str] = []
+    mark = _SCOPE.set(written)
+    try:
+        yield
+    finally:
+        _SCOPE.reset(mark)
+        for path in written:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
@@ -55,6 +74,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -3,24 +3,25 @@
 from __future__ import annotations
 
 import glob
-import io
 import json
 import os
 import re
 import zipfile
-from collections.abc import Iterator, Sequence
-from itertools import takewhile
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import ExitStack
+from datetime import datetime, timezone
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from sievework.functions.text import NESTED_MARK, outer_path
+from sievework.functions.text import NESTED_MARK
 from sievework.registry import PathRule
+from sievework.schema import MEMBERS
 
 SLICE_BYTES = 128 * 1024 * 1024
-SCHEMA = "archive STRING, member_path STRING, crc BIGINT, size BIGINT"
 
 
 class MemberSlice(InputPartition):
@@ -31,9 +32,9 @@ class MemberSlice(InputPartition):
 class ZipMembers(DataSource):
     """`spark.read.format("zip_members")`: one row per file in the archives under `path` (a glob).
 
-    Options: `content` ("true" adds the bytes), `skip` (JSON list of patterns; matching members are never
-    opened, which saves whole nested archives), `slice_bytes` (archive bytes per task). Nested zips are
-    opened one level deep as "outer.zip!/inner". Column names below `archive` are file names under `root`.
+    Options: `content` ("true" adds the bytes), `rules` (JSON list of [pattern, is_skip] in order: a nested zip
+    whose first matching rule is a skip rule is listed as one member and not opened), `slice_bytes` (archive bytes
+    per task). Nested zips are opened one level deep as "outer.zip!/inner". Archive names are relative to `root`.
     """
 
     @classmethod
@@ -41,7 +42,7 @@ class ZipMembers(DataSource):
         return "zip_members"
 
     def schema(self) -> str:
-        return SCHEMA + (", content BINARY" if self.options.get("content", "false") == "true" else "")
+        return MEMBERS + (", content BINARY" if self.options.get("content", "false") == "true" else "")
 
     def reader(self, schema) -> DataSourceReader:
         return ZipMemberReader(dict(self.options))
@@ -52,7 +53,7 @@ class ZipMemberReader(DataSourceReader):
         self.pattern = options["path"]
         self.root = options.get("root") or ""
         self.content = options.get("content", "false") == "true"
-        self.skip = json.loads(options.get("skip") or "[]")
+        self.rules = json.loads(options.get("rules") or "[]")
         self.slice_bytes = int(options.get("slice_bytes") or SLICE_BYTES)
 
     def partitions(self) -> list[MemberSlice]:
@@ -65,22 +66,25 @@ class ZipMemberReader(DataSourceReader):
         return slices
 
     def read(self, part: MemberSlice) -> Iterator[tuple]:
-        skip = [re.compile(p) for p in self.skip]
-
-        def rows(files: list, handle: zipfile.ZipFile, prefix: str):
-            for info in files:
-                path = prefix + info.filename
-                if any(p.search(path) for p in skip):
-                    continue
-                if not prefix and path.lower().endswith(".zip"):
-                    with handle.open(info) as packed, zipfile.ZipFile(packed) as inner:
-                        yield from rows(_in_order(inner), inner, path + NESTED_MARK)
-                else:
-                    row = (part.archive, path, info.CRC, info.file_size)
-                    yield (*row, handle.read(info)) if self.content else row
+        rules = [(re.compile(p), skip) for p, skip in self.rules]
+
+        def closed(path: str) -> bool:
+            return next((skip for p, skip in rules if p.search(path)), False)
+
+        def row(handle: zipfile.ZipFile, info: zipfile.ZipInfo, path: str, opened: bool) -> tuple:
+            head = (part.archive, path, info.CRC, info.file_size)
+            return (*head, handle.read(info) if opened else None) if self.content else head
 
         with zipfile.ZipFile(part.path) as outer:
-            yield from rows(_in_order(outer)[part.number::part.of], outer, "")
+            for info in _in_order(outer)[part.number::part.of]:
+                if not info.filename.lower().endswith(".zip"):
+                    yield row(outer, info, info.filename, True)
+                elif closed(info.filename):
+                    yield row(outer, info, info.filename, False)
+                else:
+                    with outer.open(info) as packed, zipfile.ZipFile(packed) as inner:
+                        for member in _in_order(inner):
+                            yield row(inner, member, info.filename + NESTED_MARK + member.filename, True)
 
 
 def _in_order(handle: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
@@ -89,60 +93,101 @@ def _in_order(handle: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
 
 def scan_members(spark: SparkSession, path: str, rules: Sequence[PathRule] = (), content: bool = False, root: str = "",
                  slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """Members of the archives under `path`; nested zips under a skip rule are not opened.
-
-    A member may only be dropped at the source if no earlier rule could match it, so just the leading skip
-    rules are pushed down; `classify_members` applies all rules in order.
-    """
+    """Members of the archives under `path`. `rules` only say which nested zips stay closed; `classify_members`
+    applies them to all members."""
     spark.dataSource.register(ZipMembers)
-    leading = [r.pattern for r in takewhile(lambda r: r.skip, rules)]
+    listed = json.dumps([[r.pattern, bool(r.skip)] for r in rules])
     return (spark.read.format("zip_members").option("path", path).option("root", root)
-            .option("content", str(content).lower()).option("skip", json.dumps(leading))
+            .option("content", str(content).lower()).option("rules", listed)
             .option("slice_bytes", str(slice_bytes)).load())
 
 
-def read_selected(rows: DataFrame, root: str, key: str = "image_id", spread: int = 32) -> DataFrame:
+def archive_files(spark: SparkSession, root: str, files: Sequence[tuple[str, str | None]]) -> DataFrame:
+    """(archive, file_bytes, modified, downloaded) of named archive files; there are as many rows as names."""
+    rows = []
+    for file, downloaded in files:
+        found = os.stat(os.path.join(root, file))
+        rows.append((file, found.st_size, datetime.fromtimestamp(found.st_mtime, timezone.utc).date(), downloaded))
+    return spark.createDataFrame(rows, "archive STRING, file_bytes BIGINT, modified DATE, downloaded STRING")
+
+
+def read_selected(rows: DataFrame, root: str, key: str = "image_id", groups: int = 32) -> DataFrame:
     """(key, content, error) of chosen members (key, archive, member_path); a bad row never stops the job.
 
-    An archive is shared out over `spread` tasks, members of one nested zip staying together, so that a
-    single large archive is not read by one task.
+    An archive is shared out over `groups` tasks by a hash of the member, so that one large archive, or one large
+    nested archive, is not read by one task. A task reads its members in archive order with all files left open.
     """
-    work = rows.select(key, "archive", "member_path").withColumn(
-        "_part", F.pmod(F.xxhash64(F.when(F.col("member_path").contains(NESTED_MARK), outer_path(F.col("member_path")))
-                                   .otherwise(F.col("member_path"))), F.lit(spread)))
+    work = rows.select(key, "archive", "member_path").withColumn("_part", F.pmod(F.xxhash64("member_path"), F.lit(groups)))
     key_type = rows.schema[key].dataType.simpleString()
-    mark = NESTED_MARK
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for archive, chosen in frame.groupby("archive", sort=False):
-                for at in range(0, len(chosen), 64):  # bytes of at most 64 members at a time
-                    part = chosen.iloc[at:at + 64]
-                    found = _contents(os.path.join(root, archive), part["member_path"].tolist(), mark)
+        with MemberReader(root) as reader:
+            for frame in frames:
+                for at in range(0, len(frame), 64):  # the bytes of at most 64 members at a time
+                    part = frame.iloc[at:at + 64]
+                    found = reader.read_all(list(zip(part["archive"], part["member_path"], strict=True)))
                     yield pd.DataFrame({key: part[key], "content": [c for c, _ in found], "error": [e for _, e in found]})
 
     ordered = work.repartition("archive", "_part").sortWithinPartitions("archive", "member_path")
     return ordered.mapInPandas(read, f"{key} {key_type}, content BINARY, error STRING")
 
 
-def _contents(path: str, members: list[str], mark: str) -> list[tuple[bytes | None, str | None]]:
-    if not os.path.exists(path):
-        return [(None, f"archive not found: {path}")] * len(members)
-    out: list[tuple[bytes | None, str | None]] = []
-    inner: tuple[str, zipfile.ZipFile] | None = None
-    with zipfile.ZipFile(path) as outer:
-        for member in members:
-            head, nested, tail = member.partition(mark)
-            try:
-                if not nested:
-                    out.append((outer.read(head), None))
-                    continue
-                if inner is None or inner[0] != head:
-                    inner = (head, zipfile.ZipFile(io.BytesIO(outer.read(head))))
-                out.append((inner[1].read(tail), None))
-            except KeyError:
-                lost = nested and (inner is None or inner[0] != head)
-                out.append((None, f"nested zip not found in archive: {head}" if lost else f"member not found in archive: {member}"))
-            except (zipfile.BadZipFile, OSError, zipfile.zlib.error) as err:
-                out.append((None, f"{type(err).__name__}: {err}"))
-    return out
+class MemberReader:
+    """Keeps the last archive and its last nested archive open: sorted members open each of them once.
+
+    A nested archive is read through the stream of the outer one and never held as a whole.
+    """
+
+    def __init__(self, root: str):
+        self.root = root
+        self.open: list[tuple[str, ExitStack, zipfile.ZipFile]] = []
+
+    def __enter__(self) -> MemberReader:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._keep(0)
+
+    def _keep(self, levels: int) -> None:
+        while len(self.open) > levels:
+            self.open.pop()[1].close()
+
+    def _level(self, depth: int, name: str, source: Callable[[ExitStack], object]) -> zipfile.ZipFile:
+        if len(self.open) > depth and self.open[depth][0] == name:
+            return self.open[depth][2]
+        self._keep(depth)
+        stack = ExitStack()
+        handle = stack.enter_context(zipfile.ZipFile(source(stack)))
+        self.open.append((name, stack, handle))
+        return handle
+
+    def read_all(self, members: list[tuple[str, str]]) -> list[tuple[bytes | None, str | None]]:
+        """Content or error of each member; those of one nested archive are read in its own order, forward only."""
+        found: dict[int, tuple[bytes | None, str | None]] = {}
+        places = [(a, m.partition(NESTED_MARK)[0], i) for i, (a, m) in enumerate(members)]
+        for _, chosen in groupby(sorted(places), key=lambda p: p[:2]):
+            rows = [p[2] for p in chosen]
+            found[rows[0]] = self.read(*members[rows[0]])
+            last = self.open[-1][2].NameToInfo if self.open else {}
+            rest = [(getattr(last.get(members[i][1].partition(NESTED_MARK)[2]), "header_offset", -1), i) for i in rows[1:]]
+            for _, i in sorted(rest):
+                found[i] = self.read(*members[i])
+        return [found[i] for i in range(len(members))]
+
+    def read(self, archive: str, member: str) -> tuple[bytes | None, str | None]:
+        path = os.path.join(self.root, archive)
+        outer_name, nested, inner_name = member.partition(NESTED_MARK)
+        if not os.path.exists(path):
+            return None, f"no such archive: {path}"
+        try:
+            outer = self._level(0, path, lambda _: path)
+            if outer_name not in outer.NameToInfo:
+                return None, f"{archive} has no {'nested archive' if nested else 'member'} {outer_name}"
+            if not nested:
+                return outer.read(outer_name), None
+            inner = self._level(1, outer_name, lambda stack: stack.enter_context(outer.open(outer_name)))
+            if inner_name not in inner.NameToInfo:
+                return None, f"{archive} has no member {member}"
+            return inner.read(inner_name), None
+        except (zipfile.BadZipFile, OSError, zipfile.zlib.error) as err:
+            return None, f"{type(err).__name__}: {err}"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievework.operators.incremental import FIRST_VERSION, current_cache
-from sievework.schema import HASH_CACHE, TAXONOMY, names
+from sievework.schema import FEATURES, HASH_CACHE, SPLITS, TAXONOMY, names
 from sievework.session import cut_lineage
 
 
@@ -26,6 +26,26 @@ def write_table(df: DataFrame, path: str, layout: str, fmt: str = "parquet", mod
     writer.save(path)
 
 
+def table_exists(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
+def write_splits(splits: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """The split table, in the order of data set, class and item."""
+    write_table(splits.orderBy("dataset_id", "class_id", "image_id"), path, SPLITS, fmt)
+
+
+def write_features(features: DataFrame, splits: DataFrame, path: str) -> None:
+    """Features of the items that a split uses, with split, class and source; one row per item of `splits`."""
+    rows = splits.filter("split <> 'unused'").join(features.select("image_id", "features"), "image_id")
+    write_table(rows.withColumn("features", F.col("features").cast("array<float>")), path, FEATURES)
+
+
+def read_features(spark: SparkSession, path: str) -> DataFrame:
+    return read_table(spark, path, FEATURES)
+
+
 def read_taxonomy(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, TAXONOMY, "csv")
 

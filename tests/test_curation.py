@@ -1,175 +1,204 @@
-"""Whole runs over two generated archives: rules, nested archives, hashes, duplicates, re-runs, thumbnails."""
+"""Whole runs over generated archives of poems: rules, nested archives, hashes, duplicates, re-runs, reports."""
 
 import io
+import random
 import zipfile
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.functions.images import _png_pixels, decode, resize, to_png
-from sievework.plans.curation import build_thumbnails, curate, list_members, member_kinds
-from sievework.registry import choose, parse_registry, RegistryError
+from sievework.operators.classify import classify_members
+from sievework.plans import curation
+from sievework.registry import RegistryError, choose, parse_registry, registry_problems
 from sievework.session import small_table
 from sievework.sources.archives import read_selected, scan_members
+from sievework.sources.tables import read_table
+from sievework.schema import MANIFEST
 
-CLASSES = {"A_HEALTHY", "A_RUST", "X_RUST", "X_OTHER"}
+CLASSES = {"VERSE_CALM", "VERSE_STORM", "VERSE_OTHER"}
 
 
-def picture(seed, width=300, height=200):
-    rng = np.random.default_rng(seed)
-    return np.clip(resize(rng.integers(0, 255, (6, 8, 3)).astype(float), width, height), 0, 255).astype(np.uint8)
+def poem(seed, words=80, changed=0):
+    rng = random.Random(seed)
+    text = [f"w{rng.randrange(10_000)}" for _ in range(words)]
+    for i in range(changed):
+        text[-1 - i] = f"o{i}"
+    return " ".join(text)
 
 
-def png(seed, width=300, height=200, size=None):
-    pixels = picture(seed, width, height)
-    return to_png(np.clip(resize(pixels, *size), 0, 255).astype(np.uint8) if size else pixels)
-
-
-def tweak(seed):
-    pixels = picture(seed).copy()
-    pixels[:3, :3] = 0
-    return to_png(pixels)
+def packed(members):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in members.items():
+            z.writestr(name, content)
+    return out.getvalue()
 
 
 @pytest.fixture(scope="module")
-def world(tmp_path_factory):
-    root = tmp_path_factory.mktemp("archives")
-    with zipfile.ZipFile(root / "a.zip", "w") as a:
-        a.writestr("A/train/Healthy/1.png", png(1))
-        a.writestr("A/train/Healthy/1_copy.png", png(1))
-        a.writestr("A/test/healthy_test/1_small.png", png(1, size=(150, 100)))
-        a.writestr("A/train/Rust/2.png", png(2))
-        a.writestr("A/train/Aphid/3.png", png(3))
-        a.writestr("A/aug/Healthy/9.png", png(9))
-        a.writestr("A/train/Mystery/4.png", png(4))
-        a.writestr("A/train/Rust/broken.png", b"not an image")
-        a.writestr("A/readme.txt", "hello")
-    inner = io.BytesIO()
-    with zipfile.ZipFile(inner, "w") as n:
-        n.writestr("x.png", tweak(2))
-        n.writestr("y.png", png(7))
-    uav = io.BytesIO()
-    with zipfile.ZipFile(uav, "w") as n:
-        n.writestr("u.png", png(8))
-    with zipfile.ZipFile(root / "b.zip", "w") as b:
-        b.writestr("B/UAV/uav.zip", uav.getvalue())
-        b.writestr("B/Leaf/Leaf_Rust.zip", inner.getvalue())
+def shelf(tmp_path_factory):
+    """Two archives: the names end in .webp as only picture names count as items; their content is text."""
+    root = tmp_path_factory.mktemp("shelf")
+    (root / "north.zip").write_bytes(packed({
+        "north/first/Still Water/p1.webp": poem(1, 90), "north/first/Still Water/p1_again.webp": poem(1, 90),
+        "north/second/still_water_late/p1 short.webp": poem(1, 90, changed=1), "north/first/Gale/p2.webp": poem(2),
+        "north/first/Blank/p3.webp": poem(3), "north/drafts/Gale/p4.webp": poem(4), "north/first/Unclear/p5.webp": poem(5),
+        "north/first/Gale/torn.webp": b"\xff\xfe\xff", "north/first/Elsewhere/p6.webp": poem(6), "north/loose.webp": poem(7),
+        "north/notes.txt": "notes"}))
+    (root / "south.zip").write_bytes(packed({
+        "south/sealed/box.zip": packed({"hidden.webp": poem(8)}),
+        "south/open/verses.zip": packed({"calm-a.webp": poem(2, changed=1), "storm-b.webp": poem(9), "other-c.webp": poem(10)})}))
     return str(root)
 
 
-REGISTRY = {"datasets": [
-    {"id": "ds_a", "crop": "wheat", "class_map": {"Healthy": "A_HEALTHY", "Rust": "A_RUST", "Aphid": "drop", "Mystery": None},
-     "severity_map": {"Rust": 2}, "local": {"label_strip_suffixes": ["_valid", "_test"], "archives": [{"file": "a.zip", "rules": [
-         {"pattern": "^A/aug/", "exclude": "augmented_copy"},
-         {"pattern": "^A/(?P<split>train|test)/(?P<label>[^/]+)/"}]}]}},
-    {"id": "ds_b", "crop": "wheat", "class_map": {"x": "X_RUST", "y": "X_OTHER"}, "local": {"archives": [{"file": "b.zip", "rules": [
-        {"pattern": "/UAV/", "skip": "uav_not_used"},
-        {"pattern": r"Leaf_Rust\.zip!/(?P<label>[a-z])\.png$"}]}]}}]}
+DOC = {"datasets": [
+    {"id": "north", "crop": "verse", "class_map": {"Still Water": "VERSE_CALM", "Gale": "VERSE_STORM", "Blank": "drop", "Unclear": None},
+     "severity_map": {"GALE": 4}, "local": {"label_strip_suffixes": ["_late"], "archives": [{"file": "north.zip", "downloaded": "2020-02-02", "rules": [
+         {"pattern": "/drafts/", "exclude": "draft"}, {"pattern": "^north/(?P<split>first|second)/(?P<label>[^/]+)/"}]}]}},
+    {"id": "south", "crop": "verse", "class_map": {"calm": "VERSE_CALM", "storm": "VERSE_STORM", "other": "VERSE_OTHER"}, "local": {"archives": [
+        {"file": "south.zip", "rules": [{"pattern": r"verses\.zip!/(?P<label>[a-z]+)-"}, {"pattern": "/sealed/", "skip": "sealed_box"}]}]}}]}
 
 
-def tax(spark):
-    return small_table(spark, [(c, "wheat", True) for c in sorted(CLASSES)], "class_id STRING, crop STRING, in_model BOOLEAN")
+def classes(spark):
+    return small_table(spark, [(c, "verse", True) for c in sorted(CLASSES)], "class_id STRING, crop STRING, in_model BOOLEAN")
 
 
 def by_name(run):
-    return {r.member_path.split("/")[-1].split("!")[-1]: r for r in run.manifest.collect()}
+    return {r.member_path.split("/")[-1]: r for r in run.manifest.collect()}
+
 
+def as_text(df):
+    return sorted(map(str, df.collect()))
 
-def test_registry_reports_all_problems():
-    bad = {"datasets": [{"id": "p", "crop": "c"},
-                        {"id": "q", "crop": "c", "class_map": {"a": "NOPE"}, "local": {"archives": [{"file": "f", "rules": [{"pattern": "("}]}]}}]}
-    with pytest.raises(RegistryError) as err:
-        parse_registry(bad, CLASSES)
-    assert all(word in str(err.value) for word in ["p:", "NOPE", "does not compile"])
-    good = parse_registry(REGISTRY, CLASSES)
-    assert [d.priority for d in good] == [0, 1] and [d.id for d in choose(good, ["ds_b"])] == ["ds_b"]
+
+def test_registry():
+    doc = {"datasets": [{"id": "a", "crop": "c"}, {"id": "b", "crop": "c", "class_map": {"x": "NONE_SUCH", "y": "drop", "z": None}, "local": {
+        "archives": [{"file": "f", "rules": [{"pattern": "(?P<label>"}, {"pattern": "fine"}, {"skip": "no pattern"}]}]}}]}
+    problems = registry_problems(doc, CLASSES)
+    assert len(problems) == 4 and ["a" in problems[0], "NONE_SUCH" in problems[1], "rule 0" in problems[2], "rule 2" in problems[3]] == [True] * 4
+    with pytest.raises(RegistryError, match="NONE_SUCH"):
+        parse_registry(doc, CLASSES)
+    assert parse_registry({}, CLASSES) == []
+    north, south = parse_registry(DOC, CLASSES)
+    assert (north.priority, south.priority, north.archives[0].downloaded, south.archives[0].downloaded) == (0, 1, "2020-02-02", None)
+    assert [d.id for d in choose([north, south], ["south"])] == ["south"] and choose([north], None) == [north]
     with pytest.raises(RegistryError):
-        choose(good, ["other"])
+        choose([north], ["west"])
 
 
-def test_run_rerun_and_overrides(spark, world, tmp_path):
-    datasets = parse_registry(REGISTRY, CLASSES)
-    cache = str(tmp_path / "cache")
-    run = curate(spark, world, datasets, tax(spark), cache_path=cache)
+def test_run_and_repeated_run(spark, shelf, tmp_path):
+    datasets, cache = parse_registry(DOC, CLASSES), str(tmp_path / "cache")
+    run = curation.curate(spark, shelf, datasets, classes(spark), cache_path=cache)
     rows = by_name(run)
-    assert set(rows) == {"1.png", "1_copy.png", "1_small.png", "2.png", "3.png", "9.png", "4.png", "broken.png", "x.png", "y.png"}
-    assert rows["1.png"].status == "use" and rows["1.png"].split_source == "train"
-    assert (rows["1_copy.png"].reason, rows["1_copy.png"].duplicate_of) == ("exact_duplicate", rows["1.png"].image_id)
-    assert rows["1_small.png"].reason == "near_duplicate" and rows["1_small.png"].source_label == "healthy"
-    assert rows["3.png"].reason == "class_dropped" and rows["3.png"].sha256 is None
-    assert rows["9.png"].reason == "augmented_copy" and rows["9.png"].phash is None
-    assert (rows["4.png"].status, rows["4.png"].reason) == ("hold", "pending_taxonomy")
-    assert (rows["y.png"].status, rows["y.png"].class_id) == ("use", "X_OTHER")
-    assert {rows["2.png"].reason, rows["x.png"].reason} == {"duplicate_label_conflict"}
-    assert rows["2.png"].dup_group == rows["x.png"].dup_group is not None
-    assert rows["2.png"].severity == 2 and (rows["2.png"].width, rows["2.png"].height) == (300, 200)
-    assert rows["broken.png"].reason == "unreadable_image" and rows["broken.png"].sha256 and rows["broken.png"].error_detail
-    report = {r.outcome: r for r in run.duplicates.collect()}
-    assert report["kept_one"].size == 3 and report["kept_one"].cross_split and not report["kept_one"].cross_dataset
-    assert report["label_conflict"].cross_dataset and report["label_conflict"].canonical is None
-
-    again = curate(spark, world, datasets, tax(spark), cache_path=cache)
-    assert run.hashed == 8 and again.hashed == 0
-    assert sorted(map(str, again.manifest.collect())) == sorted(map(str, run.manifest.collect()))
+    assert len(rows) == 13
+    assert (rows["p1.webp"].status, rows["p1.webp"].class_id, rows["p1.webp"].split_source) == ("use", "VERSE_CALM", "first")
+    assert (rows["p1_again.webp"].reason, rows["p1_again.webp"].duplicate_of) == ("exact_duplicate", rows["p1.webp"].image_id)
+    assert (rows["p1 short.webp"].reason, rows["p1 short.webp"].source_label) == ("near_duplicate", "still_water")
+    assert {rows["p2.webp"].reason, rows["calm-a.webp"].reason} == {"duplicate_label_conflict"}
+    assert rows["p2.webp"].dup_group == rows["calm-a.webp"].dup_group is not None and rows["p2.webp"].severity == 4
+    assert (rows["p3.webp"].reason, rows["p3.webp"].sha256) == ("class_dropped", None)
+    assert (rows["p4.webp"].reason, rows["p4.webp"].phash) == ("draft", None)
+    assert (rows["p5.webp"].status, rows["p5.webp"].reason) == ("hold", "pending_taxonomy")
+    assert (rows["p6.webp"].status, rows["p6.webp"].reason) == ("hold", "label_not_in_class_map")
+    assert rows["loose.webp"].reason == "no_rule_matched"
+    assert rows["torn.webp"].reason == "unreadable_image" and rows["torn.webp"].error_detail
+    assert rows["other-c.webp"].class_id == "VERSE_OTHER"
+    outcome = {r.outcome: r for r in run.duplicates.collect()}
+    assert outcome["kept_one"].size == 3 and outcome["kept_one"].cross_split and outcome["label_conflict"].cross_dataset
+
+    again = curation.curate(spark, shelf, datasets, classes(spark), cache_path=cache)
+    assert run.hashed == 10 and again.hashed == 0 and as_text(again.manifest) == as_text(run.manifest)
+
+    seen = {(r.kind, r.dataset_id): r.items for r in curation.warnings(run.manifest).collect()}
+    assert seen == {("label without a class map entry", "north"): 1, ("unreadable", "north"): 1, ("no rule matched", "north"): 1}
 
     decided = spark.createDataFrame(
-        [(rows["1.png"].image_id, "exclude", None, "not_a_leaf", 1), (rows["x.png"].image_id, "use", "A_RUST", None, 2),
-         ("unknown", "hold", None, "?", 3)], "image_id STRING, action STRING, class_id STRING, reason STRING, seq INT")
-    after = by_name(curate(spark, world, datasets, tax(spark), overrides=decided, cache_path=cache))
-    assert after["1_copy.png"].reason == after["1_small.png"].reason == "duplicate_of_rejected"
-    assert (after["x.png"].status, after["x.png"].class_id, after["x.png"].reason) == ("use", "A_RUST", "review:unspecified")
-    assert after["2.png"].status == "exclude" and after["2.png"].duplicate_of == after["x.png"].image_id
-
-
-def test_list_only_and_counts(spark, world):
-    datasets = parse_registry(REGISTRY, CLASSES)
-    listed = curate(spark, world, datasets, tax(spark), list_only=True).manifest
-    assert listed.count() == 10 and listed.filter("sha256 IS NOT NULL").count() == 0
-    kinds = member_kinds(scan_members(spark, f"{world}/*.zip", root=world), datasets)
-    got = {(r.archive, r.kind): r.n for r in kinds.groupBy("archive", "kind").agg(F.count("*").alias("n")).collect()}
-    assert got == {("a.zip", "listed"): 8, ("a.zip", "ignored"): 1, ("b.zip", "listed"): 2, ("b.zip", "skipped"): 1}
+        [(rows["p1.webp"].image_id, "exclude", None, "unfit", 1), (rows["calm-a.webp"].image_id, "use", "VERSE_STORM", None, 2),
+         ("nobody", "hold", None, "?", 3)], "image_id STRING, action STRING, class_id STRING, reason STRING, seq INT")
+    after = by_name(curation.curate(spark, shelf, datasets, classes(spark), overrides=decided, cache_path=cache))
+    assert after["p1_again.webp"].reason == after["p1 short.webp"].reason == "duplicate_of_rejected"
+    assert (after["calm-a.webp"].status, after["calm-a.webp"].class_id) == ("use", "VERSE_STORM")
+    assert after["p2.webp"].duplicate_of == after["calm-a.webp"].image_id
+
+
+def test_a_damaged_cache_stops_the_run(spark, shelf, tmp_path):
+    (tmp_path / "cache").mkdir()
+    (tmp_path / "cache" / "part-0.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception, match="FAILED_READ_FILE|CANNOT_READ"):
+        curation.curate(spark, shelf, parse_registry(DOC, CLASSES), classes(spark), cache_path=str(tmp_path / "cache")).manifest.count()
+
+
+def test_data_sets_that_share_an_archive(spark, shelf, tmp_path):
+    """A cached run has the rows of the first one, and a row that one data set leaves out gets no hashes from the other."""
+    rules = {"file": "south.zip", "rules": DOC["datasets"][1]["local"]["archives"][0]["rules"]}
+    strict = {"file": "south.zip", "rules": [{"pattern": r"verses\.zip!/storm", "exclude": "stormy"}, *rules["rules"]]}
+    doc = {"datasets": [{**DOC["datasets"][1], "id": "one", "local": {"archives": [rules]}}, {**DOC["datasets"][1], "id": "two", "local": {"archives": [strict]}}]}
+    datasets, cache = parse_registry(doc, CLASSES), str(tmp_path / "cache")
+    first = curation.curate(spark, shelf, datasets, classes(spark), cache_path=cache)
+    again = curation.curate(spark, shelf, datasets, classes(spark), cache_path=cache)
+    assert first.manifest.count() == 6 and (first.hashed, again.hashed) == (3, 0)
+    assert as_text(first.manifest) == as_text(again.manifest)
+    stormy = first.manifest.filter("reason = 'stormy'").collect()
+    assert [(r.dataset_id, r.sha256) for r in stormy] == [("two", None)]
+
+
+def test_partial_run_and_ordered_output(spark, shelf, tmp_path):
+    datasets = parse_registry(DOC, CLASSES)
+    part = curation.curate(spark, shelf, datasets, classes(spark), only=["south"])
+    assert part.partial and {r.dataset_id for r in part.manifest.collect()} == {"south"}
+    target = curation.write_manifest(part, str(tmp_path / "manifest"), "csv")
+    assert target.endswith("manifest_partial")
+    paths = [r.member_path for r in read_table(spark, target, MANIFEST, "csv").collect()]
+    assert paths == sorted(paths) and len(paths) == 3
+    with pytest.raises(RegistryError):
+        curation.curate(spark, shelf, datasets, classes(spark), only=["south", "east"])
+
+
+def test_list_only_and_archive_report(spark, shelf):
+    datasets = parse_registry(DOC, CLASSES)
+    listed = curation.curate(spark, shelf, datasets, classes(spark), list_only=True).manifest
+    assert listed.count() == 13 and listed.filter("sha256 IS NOT NULL").count() == 0
+    counts, skips, ignored = curation.archive_report(spark, shelf, datasets)
+    got = {r.archive: (r.listed, r.skipped, r.ignored, r.unmatched, r.example) for r in counts.collect()}
+    assert got == {"north.zip": (10, 0, 1, 1, "north/loose.webp"), "south.zip": (3, 1, 0, 0, None)}
+    dated = {r.archive: r.dated for r in counts.collect()}
+    assert dated["north.zip"] == "2020-02-02" and len(dated["south.zip"]) == 10
+    assert [(r.archive, r.skip_reason, r.members) for r in skips.collect()] == [("south.zip", "sealed_box", 1)]
+    assert [(r.archive, r.ext, r.members) for r in ignored.collect()] == [("north.zip", ".txt", 1)]
     with pytest.raises(FileNotFoundError):
-        list_members(spark, world + "/nowhere", datasets)
-
-
-def test_archive_slices_hold_every_member(spark, world):
-    whole = scan_members(spark, f"{world}/*.zip", root=world)
-    sliced = scan_members(spark, f"{world}/*.zip", root=world, slice_bytes=20_000, content=True)
+        curation.list_members(spark, shelf + "/nowhere", datasets)
+
+
+def test_a_skipped_nested_archive_stays_closed(spark, shelf):
+    """The skip rule stands behind another rule; the outer path alone decides, whether the source or the rules apply it."""
+    south = parse_registry(DOC, CLASSES)[1]
+    closed = scan_members(spark, f"{shelf}/south.zip", south.archives[0].rules, root=shelf)
+    assert "south/sealed/box.zip" in [r.member_path for r in closed.collect()]
+    opened = scan_members(spark, f"{shelf}/south.zip", root=shelf)
+    assert "south/sealed/box.zip!/hidden.webp" in [r.member_path for r in opened.collect()]
+    for members in (closed, opened):
+        kept = classify_members(members.filter(F.col("member_path").endswith(".webp")), [south])
+        assert sorted(r.member_path.split("/")[-1] for r in kept.collect()) == ["calm-a.webp", "other-c.webp", "storm-b.webp"]
+        kinds = [r.member_path for r in curation.member_kinds(members, [south]).filter("kind = 'skipped'").collect()]
+        assert kinds == ["south/sealed/box.zip"]
+
+
+def test_archive_slices_hold_every_member(spark, shelf):
+    whole = scan_members(spark, f"{shelf}/*.zip", root=shelf)
+    sliced = scan_members(spark, f"{shelf}/*.zip", root=shelf, slice_bytes=500, content=True)
     assert sliced.rdd.getNumPartitions() > 2
     assert sorted(r.member_path for r in whole.collect()) == sorted(r.member_path for r in sliced.collect())
     assert sliced.filter(F.length("content") != F.col("size")).count() == 0
-    assert scan_members(spark, f"{world}/*.zip", root=world).filter("archive = 'b.zip'").count() == 3
-
-
-def test_read_selected_keeps_errors_as_rows(spark, world):
-    wanted = spark.createDataFrame(
-        [("ok", "a.zip", "A/readme.txt"), ("in", "b.zip", "B/Leaf/Leaf_Rust.zip!/y.png"), ("m", "a.zip", "A/none.png"),
-         ("n", "b.zip", "B/none.zip!/y.png"), ("i", "b.zip", "B/Leaf/Leaf_Rust.zip!/none.png"), ("z", "c.zip", "x")],
-        "image_id STRING, archive STRING, member_path STRING")
-    got = {r.image_id: r for r in read_selected(wanted, world).collect()}
-    assert bytes(got["ok"].content) == b"hello" and bytes(got["in"].content) == png(7)
-    assert "member not found" in got["m"].error and "member not found" in got["i"].error
-    assert "nested zip not found" in got["n"].error and "archive not found" in got["z"].error
-
-
-def test_thumbnails_are_incremental(spark, world):
-    rows = [("i1", "a.zip", "A/train/Healthy/1.png", "use", "s1"), ("i2", "b.zip", "B/Leaf/Leaf_Rust.zip!/y.png", "hold", "s2"),
-            ("i3", "a.zip", "A/none.png", "use", "s3"), ("i4", "a.zip", "A/train/Rust/broken.png", "use", "s4"),
-            ("i5", "a.zip", "A/train/Aphid/3.png", "exclude", "s5")]
-    manifest = spark.createDataFrame(rows, "image_id STRING, archive STRING, member_path STRING, status STRING, sha256 STRING")
-    built, failed, index = build_thumbnails(spark, world, manifest, None)
-    assert {r.image_id for r in built.collect()} == {"i1", "i2"} and {r.image_id for r in failed.collect()} == {"i3", "i4"}
-    pixels, _, width, height = decode(bytes(built.filter("image_id = 'i1'").first().thumbnail))
-    assert (width, height) == (300, 200)
-    built2, _, _ = build_thumbnails(spark, world, manifest.filter("image_id IN ('i1', 'i2')"), index)
-    assert built2.count() == 0
-    changed = manifest.withColumn("sha256", F.when(F.col("image_id") == "i1", "new").otherwise(F.col("sha256"))).filter("image_id = 'i1'")
-    built3, _, kept = build_thumbnails(spark, world, changed, index)
-    assert [r.image_id for r in built3.collect()] == ["i1"] and kept.count() == 2
-    _, _, pruned = build_thumbnails(spark, world, changed, index, prune=True)
-    assert [(r.image_id, r.sha256) for r in pruned.collect()] == [("i1", "new")]
-
-
-def test_png_filters():
-    assert np.array_equal(_png_pixels(png(5))[0], picture(5))
+
+
+def test_chosen_members_and_errors(spark, shelf):
+    wanted = [("plain", "north.zip", "north/notes.txt"), ("inner", "south.zip", "south/open/verses.zip!/storm-b.webp"),
+              ("twice", "south.zip", "south/open/verses.zip!/calm-a.webp"), ("member", "north.zip", "north/none.webp"),
+              ("nested", "south.zip", "south/none.zip!/x.webp"), ("deep", "south.zip", "south/open/verses.zip!/none.webp"),
+              ("bad", "north.zip", "north/notes.txt!/x"), ("archive", "west.zip", "x")]
+    rows = spark.createDataFrame(wanted, "image_id STRING, archive STRING, member_path STRING")
+    for groups in (1, 8):
+        got = {r.image_id: r for r in read_selected(rows, shelf, groups=groups).collect()}
+        assert bytes(got["plain"].content) == b"notes" and bytes(got["inner"].content) == poem(9).encode()
+        assert bytes(got["twice"].content) == poem(2, changed=1).encode()
+        assert all(got[k].content is None and got[k].error for k in ("member", "nested", "deep", "bad", "archive"))
+        assert "nested archive" in got["nested"].error and "no such archive" in got["archive"].error

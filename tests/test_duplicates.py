@@ -6,7 +6,7 @@ import pytest
 
 from sievework.functions.fingerprints import from_hex
 from sievework.operators.duplicates import duplicate_report, duplicate_totals, resolve_duplicates
-from sievework.operators.near_duplicates import key_masks, leader_links, split_mask
+from sievework.operators.near_duplicates import MAX_SPLIT_KEYS, bucket_keys, key_masks, leader_links, split_mask
 from pyspark.sql import functions as F
 
 
@@ -134,3 +134,17 @@ def test_order_and_partitions_do_not_matter(spark):
     rng.shuffle(rows)
     second, _ = resolve(spark, rows, hot_rows=5)
     assert first == second
+
+
+@pytest.mark.parametrize("threshold", [4, 6, 12])
+def test_a_tight_ball_is_exact_and_its_keys_stay_few(spark, threshold):
+    """Values that share most of their bits overfill every bucket; a value has at most MAX_SPLIT_KEYS keys all the same."""
+    rng = random.Random(threshold)
+    centre = rng.getrandbits(64)
+    values = list(dict.fromkeys(centre ^ sum(1 << b for b in rng.sample(range(12), rng.randint(0, 9))) for _ in range(250)))
+    values += [rng.getrandbits(64) for _ in range(60)]
+    assert links_of(spark, values, threshold, 20) == sequential(values, threshold)
+    nodes = spark.createDataFrame([(signed(v), i) for i, v in enumerate(values)], "fp BIGINT, rank BIGINT")
+    keys, _ = bucket_keys(nodes, len(values), threshold, 20)
+    most = keys.groupBy("rank").count().agg({"count": "max"}).first()[0]
+    assert most <= max(MAX_SPLIT_KEYS, len(key_masks(len(values), threshold)))

@@ -6,8 +6,6 @@ from compare import connect, duck_rows, spark_rows
 import __spark_entry__ as entry_points
 
 QUERIES, SQL = entry_points.queries(), entry_points.oracle_sql()
-# long MLlib runs; the driver runs them all
-SLOW = {"shortcut_report"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +19,7 @@ def test_matches_sql(spark, sf_dir, con, name):
     assert spark_rows(QUERIES[name](spark, sf_dir)) == expected
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() > 0
 
