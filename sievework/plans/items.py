@@ -38,15 +38,18 @@ def datasets(spark: SparkSession) -> DataFrame:
 
 
 def measured_documents(spark: SparkSession, sf_dir: str, prints: bool = False) -> DataFrame:
-    """One row per document without its text: everything that is taken from the text, in one scan and before any
-    join or shuffle. With `prints` also phash64, which is NULL for a text without a token."""
+    """One row per document without its text: everything that is taken from the text, before any join or shuffle.
+
+    With `prints` also phash64, which is NULL for a text without a token. Fingerprints scan the text on their own:
+    their tokens cost far more than the scan, and would have to carry the measures along.
+    """
     docs = table(spark, sf_dir, "documents")
     mark = F.substring(F.md5(F.col("doc_id").cast("string")), 1, 1)
     share = F.try_divide(F.lit(100.0) * F.size(tokens(F.col("text"))), F.size(words(F.col("text"))))
     lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
     blanks = F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit("")))
-    columns = [
-        stable_id(F.lit("corpus"), F.lit("documents"), F.col("doc_id").cast("string")).alias("image_id"),
+    rows = docs.select(
+        "doc_id", stable_id(F.lit("corpus"), F.lit("documents"), F.col("doc_id").cast("string")).alias("image_id"),
         F.col("source").alias("dataset_id"), F.col("lang").alias("crop"), F.lit("documents").alias("archive"),
         F.concat(F.col("lang"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("member_path"),
         F.when(mark.isin("0", "1"), "test").when(mark.isin("2", "3"), "valid").when(mark != "f", "train").alias("split_source"),
@@ -54,11 +57,8 @@ def measured_documents(spark: SparkSession, sf_dir: str, prints: bool = False) -
         F.when(F.octet_length("text") == F.length("text"), "L").otherwise("RGB").alias("mode"),
         (F.octet_length("text") == F.length("text")).alias("is_grayscale"),
         F.octet_length("text").cast("bigint").alias("file_bytes"), F.bround(share, 1).alias("sharpness_256"),
-        F.bround(F.try_divide(F.lit(255.0) * blanks, F.length("text")), 1).alias("brightness")]
-    if not prints:
-        return docs.select("doc_id", *columns)
-    packed = docs.select("doc_id", "text", F.struct(*columns).alias("_m"))
-    return text_fingerprints(packed, "doc_id", "text", carry=["_m"]).select("doc_id", "_m.*", "phash64")
+        F.bround(F.try_divide(F.lit(255.0) * blanks, F.length("text")), 1).alias("brightness"))
+    return rows.join(text_fingerprints(docs, "doc_id", "text"), "doc_id", "left") if prints else rows
 
 
 def items(spark: SparkSession, sf_dir: str, prints: bool = False) -> DataFrame:
