@@ -1,9 +1,11 @@
 """Exact quantiles of groups of any size.
 
 Spark's own `percentile` keeps every distinct value of a group in one task. Here each wanted order statistic has a
-value band that holds it. One aggregate per round counts the rows below and inside each band and sketches the inside
-at a fixed grid of ranks, from which the next, narrower band is read; all of it collapses before the shuffle. When
-no band holds more than BAND_ROWS rows, or a band is a single value, the distinct values inside are counted and picked.
+value band that holds it. One aggregate per round counts the rows below and inside each band and sketches what lies
+strictly between its ends at a fixed grid of ranks, from which the next, narrower band is read; all of it collapses
+before the shuffle. Rows that tie with an end of a band are only counted: they are one value, whatever their number.
+When no band has more than BAND_ROWS rows between its ends, or a band is a single value, the distinct values inside, at
+most BAND_ROWS + 2, are counted and picked. A band that a round does not narrow is finished in that way too.
 """
 
 from __future__ import annotations
@@ -25,10 +27,6 @@ ACCURACY = 4000
 MARGIN = 2.0 / ACCURACY
 
 
-class BandError(RuntimeError):
-    pass
-
-
 def exact_quantiles(df: DataFrame, groups: Sequence[str], wanted: Mapping[str, Sequence[float]],
                     how: str = LINEAR, band_rows: int = BAND_ROWS) -> DataFrame:
     """One row per group, value column and probability: (groups…, column, prob, value, n).
@@ -91,57 +89,70 @@ def narrowed_bands(data: DataFrame, specs: Sequence[tuple[int, float]], how: str
         n = F.col(f"_n{j}")
         first, last, part = _ranks(n, p, how)
         end = F.when(F.lit(p == 0.0), F.col(f"_min{j}")).when(F.lit(p == 1.0) & F.lit(how == LINEAR), F.col(f"_max{j}"))
-        whole.append(_band(F.coalesce(end, F.col(f"_min{j}")), F.coalesce(end, F.col(f"_max{j}")), F.lit(0).cast("bigint"), n, n,
-                           first, last, part, F.col(f"_q{j}")))
+        whole.append(_band(F.coalesce(end, F.col(f"_min{j}")), F.coalesce(end, F.col(f"_max{j}")), F.lit(0).cast("bigint"), n,
+                           F.lit(0).cast("bigint"), n, F.lit(False), n, first, last, part, F.col(f"_q{j}")))
     bands = cut_lineage(start.select("_g", F.array(*whole).alias("_b")))
-    widest = _widest(bands)
-    while widest > band_rows:
-        edges = F.transform("_b", lambda b: F.when((b["inside"] > band_rows) & (b["low"] < b["high"]), _cut(b)).otherwise(_kept(b)))
-        bands = cut_lineage(_counted(data, bands.select("_g", edges.alias("_b")), specs))
-        before, widest = widest, _widest(bands)
-        if widest >= before:
-            raise BandError("the bands of the wanted quantiles do not get narrower")
+    while _widest(bands) > band_rows:
+        edges = F.transform("_b", lambda b: F.when(_open(b) > band_rows, _cut(b)).otherwise(_kept(b)))
+        bands = cut_lineage(_counted(data, bands.select("_g", edges.alias("_b")), specs, band_rows))
     return bands
 
 
-def _band(low, high, below, inside, n, first, last, part, grid) -> Column:
-    return F.struct(low.alias("low"), high.alias("high"), below.alias("below"), inside.alias("inside"), n.alias("n"),
-                    first.alias("first"), last.alias("last"), part.alias("part"), grid.alias("grid"))
+FIELDS = ("low", "high", "below", "inside", "ties", "between", "stuck", "n", "first", "last", "part", "grid")
+
+
+def _band(*values: Column) -> Column:
+    """low and high; the rows below, inside, equal to low and strictly between (of which `grid` is a sketch); ranks."""
+    return F.struct(*[v.alias(k) for k, v in zip(FIELDS, values, strict=True)])
 
 
 def _kept(b: Column) -> Column:
-    return _band(*[b[k] for k in ("low", "high", "below", "inside", "n", "first", "last", "part", "grid")])
+    return _band(*[b[k] for k in FIELDS])
+
+
+def _open(b: Column) -> Column:
+    """The rows between the ends of a band that can still be narrowed."""
+    return F.when((b["low"] < b["high"]) & ~b["stuck"], b["between"]).otherwise(0)
 
 
 def _cut(b: Column) -> Column:
-    """The band between the grid values on either side of the wanted ranks."""
+    """The band between the grid values on either side of the wanted ranks; an end stays where a rank ties with it."""
+    before = b["below"] + b["ties"]
+
     def at(rank: Column, slack: float) -> Column:
-        return ((rank - b["below"]) / b["inside"] + slack) * GRID
+        return ((rank - before) / b["between"] + slack) * GRID
 
     low = F.greatest(F.floor(at(b["first"], -MARGIN)) - 1, F.lit(0)).cast("int")
     high = F.least(F.ceil(at(b["last"] + 1, MARGIN)) + 1, F.lit(GRID)).cast("int")
     return _band(F.greatest(b["low"], F.when(low == 0, b["low"]).otherwise(F.get(b["grid"], low))),
                  F.least(b["high"], F.when(high == GRID, b["high"]).otherwise(F.get(b["grid"], high))),
-                 b["below"], b["inside"], b["n"], b["first"], b["last"], b["part"], b["grid"])
+                 *[b[k] for k in FIELDS[2:]])
 
 
-def _counted(data: DataFrame, bands: DataFrame, specs: Sequence[tuple[int, float]]) -> DataFrame:
+def _counted(data: DataFrame, bands: DataFrame, specs: Sequence[tuple[int, float]], band_rows: int) -> DataFrame:
     """The bands with their counts and grids taken anew: one aggregate, nothing is exploded."""
     grid = [i / GRID for i in range(GRID + 1)]
     joined = data.join(bands, "_g")
     takes = [F.first("_b").alias("_b")]
     for i, (j, _) in enumerate(specs):
         v, b = F.col(f"_v{j}"), F.col("_b")[i]
-        within = (v >= b["low"]) & (v <= b["high"])
-        takes += [F.count_if(v < b["low"]).alias(f"_below{i}"), F.count_if(within).alias(f"_in{i}"),
-                  F.percentile_approx(F.when(within, v), grid, ACCURACY).alias(f"_q{i}")]
+        between = (v > b["low"]) & (v < b["high"])
+        takes += [F.count_if(v < b["low"]).alias(f"_below{i}"), F.count_if((v >= b["low"]) & (v <= b["high"])).alias(f"_in{i}"),
+                  F.count_if(v == b["low"]).alias(f"_ties{i}"), F.count_if(between).alias(f"_between{i}"),
+                  F.percentile_approx(F.when(between, v), grid, ACCURACY).alias(f"_q{i}")]
     fresh = joined.groupBy("_g").agg(*takes)
-    return fresh.select("_g", F.array(*[
-        _band(b["low"], b["high"], F.col(f"_below{i}"), F.col(f"_in{i}"), b["n"], b["first"], b["last"], b["part"], F.col(f"_q{i}"))
-        for i, b in ((i, F.col("_b")[i]) for i in range(len(specs)))]).alias("_b"))
+    out = []
+    for i in range(len(specs)):
+        b, (below, inside, ties, between, sketch) = F.col("_b")[i], (F.col(f"_{k}{i}") for k in ("below", "in", "ties", "between", "q"))
+        # all wanted ranks tie with one end: the band is that value
+        at_low = (b["first"] >= below) & (b["last"] < below + ties)
+        at_high = (b["first"] >= below + ties + between) & (b["last"] < below + inside)
+        stuck = b["stuck"] | ((b["between"] > band_rows) & (between >= b["between"]))
+        out.append(_band(F.when(at_high, b["high"]).otherwise(b["low"]), F.when(at_low, b["low"]).otherwise(b["high"]),
+                         below, inside, ties, between, stuck, *[b[k] for k in FIELDS[7:11]], sketch))
+    return fresh.select("_g", F.array(*out).alias("_b"))
 
 
 def _widest(bands: DataFrame) -> int:
-    """The most rows in a band that is not a single value."""
-    open_rows = F.transform("_b", lambda b: F.when(b["low"] < b["high"], b["inside"]).otherwise(0))
-    return bands.agg(F.max(F.array_max(open_rows))).first()[0] or 0
+    """The most rows between the ends of a band that can still be narrowed."""
+    return bands.agg(F.max(F.array_max(F.transform("_b", _open)))).first()[0] or 0

@@ -271,6 +271,23 @@ def test_quantiles_of_one_large_group(spark, band_rows):
         assert b.low == b.high or b.inside <= band_rows
 
 
+@pytest.mark.parametrize("band_rows", [50, 10_000])
+def test_quantiles_between_heavy_ties(spark, band_rows):
+    """Wanted ranks at the boundary of two tied values, next to each other or with other values between."""
+    groups = {"pair": [0.0] * 10_000 + [1.0] * 10_000, "odd": [3.0] * 10_001 + [4.0] * 10_000,
+              "gap": [0.0] * 10_000 + [i / 100 for i in range(1, 100)] + [1.0] * 10_000,
+              "tenths": np.random.default_rng(4).normal(size=30_000).round(1).tolist(), "one": [7.0] * 20_001}
+    df = spark.createDataFrame([(g, v) for g, values in groups.items() for v in values], "g STRING, v DOUBLE").repartition(5)
+    probs = [0.0, .05, .25, .49, .5, .51, .9, 1.0]
+    for how in (LINEAR, ORDER):
+        found = exact_quantiles(df, ["g"], {"v": probs}, how, band_rows).collect()
+        assert len(found) == len(groups) * len(probs)
+        for r in found:
+            v = np.sort(groups[r.g])
+            want = np.quantile(v, r.prob) if how == LINEAR else v[min(int(r.prob * len(v)), len(v) - 1)]
+            assert r.value == pytest.approx(want, abs=1e-9) and r.n == len(v), (how, r)
+
+
 def test_unknown_sources_stop_the_run(spark):
     columns = ("image_id STRING, dataset_id STRING, status STRING, reason STRING, width INT, height INT, sharpness_256 DOUBLE, class_id STRING, "
                "source_label STRING, split_source STRING, phash64 BIGINT, sha256 STRING, member_path STRING, archive STRING, duplicate_of STRING, dup_group STRING")
