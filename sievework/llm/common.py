@@ -16,6 +16,8 @@ from sievework.session import cut_lineage
 # A key is hot above this share of all rows, so at most 1 / HOT_SHARE hot keys are ever broadcast.
 HOT_SHARE = 0.001
 BATCH_ROWS = 1024
+# Whitespace runs from this length on do not go through tiktoken's split; 600,000 characters were found to work.
+LONG_RUN = 1 << 18
 
 
 def once_per_worker(key: str, build: Callable[[], Any]) -> Any:
@@ -37,6 +39,25 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def whole_encoder(quick, pattern: str) -> Callable[[str], list[int]]:
+    """The ids of a text by a tiktoken encoding with the split `pattern`, whatever the text.
+
+    tiktoken's own split overflows its stack where a lookahead follows some 1,000,000 whitespace characters. A text with a
+    run of LONG_RUN or more is split by `regex`, and each match is merged alone.
+    """
+    import re
+
+    import regex
+    # `\s` of `re` holds all that of the pattern does
+    long_run, split = re.compile(rf"(?<!\s)\s{{{LONG_RUN}}}"), regex.compile(pattern)
+
+    def encode(text: str) -> list[int]:
+        if len(text) < LONG_RUN or not long_run.search(text):
+            return quick.encode_ordinary(text)
+        return [i for piece in split.finditer(text) for i in quick._encode_single_piece(piece.group())]
+    return encode
+
+
 def text_groups(texts: Sequence[str], chars: int) -> Iterator[tuple[int, int]]:
     """Ranges of texts that hold about `chars` characters together; a longer text stands alone."""
     start, held = 0, 0

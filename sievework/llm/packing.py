@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sievework.llm.common import bounded_batches, once_per_worker
+from sievework.llm.common import bounded_batches, once_per_worker, whole_encoder
 from sievework.session import cut_lineage
 
 # Slices of the pieces of one length; ranks are counted inside slices.
@@ -30,7 +30,7 @@ def fast_encoder(tokenizer_file: str) -> Callable[[str], list[int]]:
     """The ids that `tokenizers` gives for a byte-level BPE file, without special tokens.
 
     The merges run in tiktoken over the same vocabulary, which is several times faster. A text that holds the
-    string of an added token goes through `tokenizers` itself.
+    string of an added token goes through `tokenizers` itself; one with a very long run of whitespace is split by `regex`.
     """
     import json
 
@@ -44,11 +44,12 @@ def fast_encoder(tokenizer_file: str) -> Callable[[str], list[int]]:
     shown = _shown_bytes()
     ranks = {bytes(shown[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in added}
     quick = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    whole = whole_encoder(quick, public_tokenizers.PATTERN)
 
     def encode(text: str) -> list[int]:
         if any(a in text for a in added):
             return own.encode(text, add_special_tokens=False).ids
-        return quick.encode_ordinary(text)
+        return whole(text)
     return encode
 
 

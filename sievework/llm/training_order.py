@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from sievework.llm.common import bounded_batches, once_per_worker
+from sievework.llm.common import bounded_batches, once_per_worker, whole_encoder
 from sievework.llm.warc import open_folder
 from sievework.session import shared_folder
 
@@ -64,11 +64,11 @@ def permute(values: np.ndarray, size: int, key: int) -> np.ndarray:
 
 # ---------------------------------------------------------------- tokens
 
-def _encoding(rank_file: str, pattern: str):
+def _encoder(rank_file: str, pattern: str):
     import tiktoken
     with open(rank_file, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("order", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return whole_encoder(tiktoken.Encoding("order", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), pattern)
 
 
 def write_tokens(docs: DataFrame, folder: str, rank_file: str, pattern: str, end_id: int, seq_len: int,
@@ -81,7 +81,7 @@ def write_tokens(docs: DataFrame, folder: str, rank_file: str, pattern: str, end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
         from pyspark import TaskContext
-        encode = once_per_worker(f"order {rank_file}", lambda: _encoding(rank_file, pattern)).encode_ordinary
+        encode = once_per_worker(f"order {rank_file}", lambda: _encoder(rank_file, pattern))
         pack = zstandard.ZstdCompressor(level=ZSTD_LEVEL)
         part, done = TaskContext.get().partitionId(), 0
         documents, ids, held = [], [], 0

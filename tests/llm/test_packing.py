@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -73,3 +74,10 @@ def test_odd_rows(spark):
         (str(d), [*own.encode(t, add_special_tokens=False).ids, 1])
         for d, t in [(1, ""), (2, ""), (3, "a <|endoftext|> b"), (3, "a <|endoftext|> b"), (None, "x")])
     assert packing.pack_documents(docs.limit(0), FILE).count() == 0
+
+
+@pytest.mark.parametrize("run", [" " * 3_000_000, "\n" * 3_000_000, "\u3000" * 1_200_000, " \n" * 1_000_000])
+def test_long_runs_of_whitespace(run):
+    encode, own = packing.fast_encoder(FILE), Tokenizer.from_file(FILE)
+    text = f"It's a run:{run}x{run[:300_000]}é 12 !?{run[:5]}"
+    assert encode(text) == own.encode(text, add_special_tokens=False).ids

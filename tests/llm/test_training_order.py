@@ -11,6 +11,7 @@ import pytest
 import tiktoken
 
 from sievework.llm import training_order as order
+from sievework.llm.byte_bpe import ByteBpe
 
 FILE = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -82,3 +83,10 @@ def test_empty_table_and_wide_ids(spark, tmp_path):
     assert order.read_shards(spark, folder, 16, 50).count() == 0
     with pytest.raises(ValueError):
         order.write_shards(docs, folder, FILE, public_tokenizers.PATTERN, 1 << 16, 16, 50, 1)
+
+
+@pytest.mark.parametrize("run", [" " * 1_100_000, "\n" * 1_100_000])
+def test_long_runs_of_whitespace(run):
+    """As the merges of op3 give them, which share nothing with the library."""
+    text = f"It's a run:{run}x"
+    assert order._encoder(FILE, public_tokenizers.PATTERN)(text) == ByteBpe(FILE, public_tokenizers.PATTERN).encode(text)
