@@ -52,6 +52,36 @@ NOTICES = [
         following disclaimer in the documentation and/or other materials provided with the distribution."""),
     ("ISC", "purpose fee", """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted,
         provided that the above copyright notice and this permission notice appear in all copies."""),
+    ("LGPL-3.0", "gnu lesser general 3", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-2.1", "gnu lesser general 2 1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0", "gnu affero general 3", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("GPL-2.0", "gnu general 2", "This work is licensed under the GNU General Public License, version 2."),
+    *[(f"{name}-or-later", f"gnu general {must} later", f"""This {what} is free software: you can redistribute it and/or modify it under the terms of
+        the GNU {kind} General Public License as published by the Free Software Foundation, either version {number} of the License, or (at your
+        option) any later version.""") for name, must, what, kind, number in [
+            ("LGPL-3.0", "lesser 3", "program", "Lesser", "3"), ("LGPL-2.1", "lesser 2 1", "library", "Lesser", "2.1"),
+            ("AGPL-3.0", "affero 3", "program", "Affero", "3"), ("GPL-2.0", "2", "program", "", "2")]],
+    ("MPL-2.0", "mozilla 2", """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not
+        distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."""),
+    ("EPL-2.0", "eclipse 2", """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which
+        is available at https://www.eclipse.org/legal/epl-2.0/"""),
+    ("BSD-3-Clause", "redistributions binary neither endorse", """Redistribution and use in source and binary forms, with or without modification, are
+        permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list
+        of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of
+        conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of
+        the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without
+        specific prior written permission."""),
+    ("Unlicense", "unencumbered", """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish,
+        use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or
+        non-commercial, and by any means."""),
+    *[(f"CC-{kind.upper().replace(' ', '-')}-4.0", f"cc {kind} 4", f"Licensed under CC {kind} 4.0.")
+      for kind in ("by", "by sa", "by nd", "by nc sa", "by nc nd")],
+    *[(f"CC-{kind.upper().replace(' ', '-')}-4.0", f"creative commons {name.lower()} 4",
+       f"This work is licensed under a Creative Commons {name} 4.0 International License.") for kind, name in [
+        ("by sa", "Attribution-ShareAlike"), ("by nd", "Attribution-NoDerivatives"), ("by nc", "Attribution-NonCommercial"),
+        ("by nc sa", "Attribution-NonCommercial-ShareAlike"), ("by nc nd", "Attribution-NonCommercial-NoDerivatives")]],
+    ("CC0-1.0", "cc0 1", "Licensed under CC0 1.0."),
+    ("CC0-1.0", "cc0 universal", "This work is dedicated to the public domain under CC0 1.0 Universal."),
 ]
 
 
@@ -119,6 +149,10 @@ class Template:
 
     def matches(self, words: list[str]) -> Iterator[tuple[int, int, int]]:
         """(first word, behind the last word, matched words) of each match, from left to right."""
+        return ((at[0], at[-1] + 1, len(at)) for at in self.matched(words))
+
+    def matched(self, words: list[str]) -> Iterator[list[int]]:
+        """The places of the matched words of each match, from left to right."""
         places = [i for i, w in enumerate(words) if w in self.count]
         held: Counter = Counter()
         shared, right, least = 0, 0, 0
@@ -131,7 +165,7 @@ class Template:
             if at >= least and shared >= self.need:
                 found = align(words[at:at + self.window], self.words)
                 if len(found) >= self.need and self.must <= {self.words[j] for _, j in found}:
-                    yield at + found[0][0], at + found[-1][0] + 1, len(found)
+                    yield [at + i for i, _ in found]
                     least = at + found[-1][0] + 1
             w = words[at]
             shared -= held[w] <= self.count[w]
@@ -141,7 +175,8 @@ class Template:
 def scan(text: str, templates: Sequence[Template]) -> list[tuple[str, int, int, int, int, float]]:
     """(license, template, start, end, matched words, coverage) of every match; code points, end exclusive.
 
-    Of matches of one license that overlap, those with more matched words stay, ties to the earlier template.
+    Of matches of one license that overlap, those with more matched words stay, ties to the earlier template. Of matches
+    of different licenses that share at least half of the words of one, the same holds: the most specific text wins.
     """
     lower = text.lower()
     if len(lower) != len(text):  # a few characters get longer in lower case
@@ -151,15 +186,15 @@ def scan(text: str, templates: Sequence[Template]) -> list[tuple[str, int, int,
     found = []
     for number, template in enumerate(templates):
         if template.possible(present):
-            found += [(template.name, number, a, b, n) for a, b, n in template.matches(words)]
+            found += [(template.name, number, at[0], at[-1] + 1, len(at), set(at)) for at in template.matched(words)]
     if not found:
         return []
-    kept: list[tuple[str, int, int, int, int]] = []
+    kept: list[tuple[str, int, int, int, int, set[int]]] = []
     for f in sorted(found, key=lambda f: (-f[4], f[1], f[2])):
-        if all(f[0] != k[0] or f[3] <= k[2] or k[3] <= f[2] for k in kept):
+        if not any(f[2] < k[3] and k[2] < f[3] and (f[0] == k[0] or 2 * len(f[5] & k[5]) >= f[4]) for k in kept):
             kept.append(f)
     spans = [m.span() for m in _WORD.finditer(lower)]
-    return sorted((name, number, spans[a][0], spans[b - 1][1], n, n / len(templates[number].words)) for name, number, a, b, n in kept)
+    return sorted((name, number, spans[a][0], spans[b - 1][1], n, n / len(templates[number].words)) for name, number, a, b, n, _ in kept)
 
 
 def scan_table(docs: DataFrame, notices: Sequence[tuple[str, str, str]] = tuple(NOTICES), id_col: str = "doc_id",

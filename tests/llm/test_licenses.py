@@ -94,3 +94,12 @@ def test_odd_rows(spark):
     assert found == [("1", []), ("2", []), ("4", twice), ("4", twice), ("5", [("MIT", 100_000, 100_000 + n, 1.0)]), ("6", []),
                      ("None", [("MIT", 2, 2 + n, 1.0)])]
     assert licenses.scan_table(docs.limit(0)).count() == 0
+
+
+def test_the_most_specific_license_wins():
+    def names(text):
+        return [m[0] for m in licenses.scan(text, TEMPLATES)]
+    for name, _, text in licenses.NOTICES:
+        assert names(f"before {text} after") == [name], text
+    assert names("Licensed under CC BY-NC-SA 4.0") == ["CC-BY-NC-SA-4.0"]
+    assert names("Released under the MIT License. Licensed under the Apache License, Version 2.0.") == ["Apache-2.0", "MIT"]
