@@ -132,6 +132,13 @@ def op7_patience_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"], m["end"])), ",").alias("spans"))
 
 
+@query()
+def op11_pointer_jumping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sievework.llm.alignment import cross_align
+    return cross_align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                       public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
