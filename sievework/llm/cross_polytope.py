@@ -9,9 +9,9 @@ Buckets with one vector are dropped before any vector is moved, larger ones are
 pairwise, and a pair is counted in the first bucket that it shares only. Each bucket gives a number of links per
 vector and a spanning forest, never its pairs.
 
-Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing; so do vectors of another
-dimension than the most frequent one, ties to the larger. Rows without an id count as copies but are not named.
-Repeated ids are separate vectors. Extra columns are not read. An empty table gives an empty result.
+Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing. Vectors of different dimensions
+do not meet: the dimension is part of a vector's class and of a bucket's key. Rows without an id count as copies but are
+not named. Repeated ids are separate vectors. Extra columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,10 +37,10 @@ def valid_vector(column: str) -> Column:
     return F.coalesce(fine & F.exists(column, lambda x: x != 0), F.lit(False))
 
 
-def usual_dimension(vectors: DataFrame, column: str) -> int:
-    """The most frequent vector length; one small aggregate over the valid rows."""
-    row = vectors.groupBy(F.size(column).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return row[0] if row else 0
+def vector_key(column: str) -> Column:
+    """A name for equal vectors: their dimension and 128 bits of hash. Adding zero makes the two zeros one."""
+    plain = F.transform(column, lambda x: x + F.lit(0.0))
+    return F.concat_ws("-", F.size(column), F.hex(F.xxhash64(plain)), F.hex(F.xxhash64(F.lit("second"), plain)))
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -88,9 +88,13 @@ def vector_classes(rows: DataFrame, tables: int, hashes: int, probes: int) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column("v"))
-            keys = probe_keys(x / np.linalg.norm(x, axis=1, keepdims=True), tables, hashes, probes)
-            keys = keys * tables + np.arange(tables)[:, None]
+            keys = np.empty((batch.num_rows, tables * probes), np.int64)
+            sizes = np.diff(batch.column("v").offsets.to_numpy())
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                x = _matrix(batch.column("v").take(pa.array(at)))
+                own = probe_keys(_unit(x), tables, hashes, probes)
+                keys[at] = (own * tables + np.arange(tables)[:, None]).reshape(len(at), -1)
             flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables * probes, dtype=np.int32), keys.ravel())
             yield pa.RecordBatch.from_arrays([*batch.columns, flat], [*batch.schema.names, "keys"])
 
@@ -98,6 +102,12 @@ def vector_classes(rows: DataFrame, tables: int, hashes: int, probes: int) -> Da
     return classes.mapInArrow(run, schema)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one, whatever their size."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
@@ -139,35 +149,42 @@ def near_pairs(x: np.ndarray, starts: np.ndarray, threshold: float) -> Iterator[
 
 def bucket_links(classes: DataFrame, tables: int, probes: int, threshold: float) -> DataFrame:
     """Rows (c, links, a, b): links that class c has in one bucket, and an edge (a, b) of a spanning forest there."""
-    places = classes.select(F.explode(F.array_distinct("keys")).alias("key"), "c")
-    dealt = block_pairs(places, ["key"], "c", UNIT_ROWS, least=2)
+    places = classes.select(F.size("v").alias("d"), F.explode(F.array_distinct("keys")).alias("key"), "c")
+    dealt = block_pairs(places, ["d", "key"], "c", UNIT_ROWS, least=2)
     dealt = dealt.join(classes.select("c", "v", "keys", "n", "rep"), "c")
-    unit = ["key", "_i", "_j"]
+    unit = ["d", "key", "_i", "_j"]
+
+    def links_of(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        x = _unit(_matrix(rows.column("v")))
+        keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(x), tables, probes)
+        key, n, c = (rows.column(k).to_numpy() for k in ("key", "n", "c"))
+        block, crossed = rows.column("_b").to_numpy(), (rows.column("_i").to_numpy() != rows.column("_j").to_numpy())
+        rep = rows.column("rep").to_numpy(zero_copy_only=False)
+        links, label, found = np.zeros(len(x), np.int64), np.arange(len(x)), []
+        for a, b in near_pairs(x, starts, threshold):
+            keep = ~crossed[a] | (block[a] != block[b])
+            a, b = a[keep], b[keep]
+            found += [a, b]
+            if sum(map(len, found)) > 1 << 20:
+                label = forest(len(x), np.concatenate([label, *found[::2]]), np.concatenate([np.arange(len(x)), *found[1::2]]))
+                found = []
+            first = first_meetings(key[a], a, b, keys)
+            np.add.at(links, a[first], n[b[first]])
+            np.add.at(links, b[first], n[a[first]])
+        label = forest(len(x), np.concatenate([label, *found[::2]]), np.concatenate([np.arange(len(x)), *found[1::2]]))
+        out = np.flatnonzero((links > 0) | (label != np.arange(len(x))))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c[out]), pa.array(links[out]), pa.array(rep[out], pa.int64(), from_pandas=True),
+             pa.array(rep[label[out]], pa.int64(), from_pandas=True)], ["c", "links", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, starts in whole_units(batches, unit):
-            x = _matrix(rows.column("v"))
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            keys = rows.column("keys").combine_chunks().flatten().to_numpy().reshape(len(x), tables, probes)
-            key, n, c = (rows.column(k).to_numpy() for k in ("key", "n", "c"))
-            block, crossed = rows.column("_b").to_numpy(), (rows.column("_i").to_numpy() != rows.column("_j").to_numpy())
-            rep = rows.column("rep").to_numpy(zero_copy_only=False)
-            links, label, found = np.zeros(len(x), np.int64), np.arange(len(x)), []
-            for a, b in near_pairs(x, starts, threshold):
-                keep = ~crossed[a] | (block[a] != block[b])
-                a, b = a[keep], b[keep]
-                found += [a, b]
-                if sum(map(len, found)) > 1 << 20:
-                    label = forest(len(x), np.concatenate([label, *found[::2]]), np.concatenate([np.arange(len(x)), *found[1::2]]))
-                    found = []
-                first = first_meetings(key[a], a, b, keys)
-                np.add.at(links, a[first], n[b[first]])
-                np.add.at(links, b[first], n[a[first]])
-            label = forest(len(x), np.concatenate([label, *found[::2]]), np.concatenate([np.arange(len(x)), *found[1::2]]))
-            out = np.flatnonzero((links > 0) | (label != np.arange(len(x))))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c[out]), pa.array(links[out]), pa.array(rep[out], pa.int64(), from_pandas=True),
-                 pa.array(rep[label[out]], pa.int64(), from_pandas=True)], ["c", "links", "a", "b"])
+            # units are sorted by dimension, and each dimension is a matrix of its own
+            d = rows.column("d").to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(d)) + 1), len(d)]
+            for low, high in zip(edges, edges[1:], strict=False):
+                own = starts[(starts >= low) & (starts < high)] - low
+                yield links_of(rows.slice(low, high - low).combine_chunks(), own)
 
     return dealt.repartition(*unit).sortWithinPartitions(*unit).mapInArrow(run, "c BIGINT, links BIGINT, a BIGINT, b BIGINT")
 
@@ -177,13 +194,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     """Per row: id, n_links (other vectors linked directly), component_id (smallest id reached), kept."""
     bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    valid = rows.filter(valid_vector("v"))
-    size = usual_dimension(valid, "v")
-    fits = F.coalesce(valid_vector("v") & (F.size("v") == size), F.lit(False))
-    # 128 bits of hash name a vector; adding zero makes the two zeros one
-    plain = F.transform("v", lambda x: x + F.lit(0.0))
-    vkey = F.concat(F.hex(F.xxhash64(plain)), F.lit("-"), F.hex(F.xxhash64(F.lit("second"), plain)))
-    rows = rows.withColumn("vkey", F.when(fits, vkey))
+    rows = rows.withColumn("vkey", F.when(valid_vector("v"), vector_key("v")))
     classes = cut_lineage(vector_classes(rows.filter("vkey IS NOT NULL"), tables, hashes, probes))
     found = cut_lineage(bucket_links(classes, tables, probes, threshold))
     links = found.groupBy("c").agg(F.sum("links").alias("links"))

@@ -1,17 +1,23 @@
 """Nearest neighbours by largest inner product, over robust-pruned directed graphs.
 
-Distinct vectors are dealt to shards of about `shard_rows`. Each shard builds its own graph: vectors get one more
-component so that all have the same length, which turns the largest inner product into the least distance. They are
-inserted in batches; a greedy search over the graph so far proposes neighbours, and relaxed pruning keeps a
-neighbour only if no kept one is closer to it by the factor `alpha`. Back edges are added and pruned the same way. A
-query walks every shard with a beam, the best of a shard are scored in double precision on the original vectors,
-and the nearest over all shards are ranked. Queries and shards meet in blocks, so no task holds all queries.
-
-A copy of a vector is no point of its own: a point lists its `k` + 1 smallest ids, and no query can need another.
-
-Vectors that are null, empty, zero or hold null or non-finite numbers take no part, nor do those of another dimension
-than the most frequent one, or without an id. Repeated ids are separate candidates; a query leaves out every row with
-its own id, and is asked once for each distinct vector of its id. Extra columns are not read. Fewer than `k` candidates give fewer rows, an empty table none.
+Distinct vectors are dealt to bands by dimension and length, a band's longest vector being BAND times its shortest, and
+the vectors of a band to shards of about `shard_rows`. A shard's graph joins directions: vectors are scaled to length one
+and inserted in batches; a greedy search over the graph so far proposes neighbours, and relaxed pruning keeps a
+neighbour only if no kept one is closer to it by the factor `alpha`. Back edges are added and pruned the same way. Inside a
+band the lengths are alike, so that walks over directions lead to the largest products, whatever the lengths in the table.
+
+A query walks every shard of its dimension with a beam from several entries, the shard's middle and the points farthest from
+each other. Its beam is doubled until the k best found no longer change, and a shard that is small against the beam is
+scored whole. What was found is scored in double precision on the original vectors, and the nearest over all shards are
+ranked. Queries and shards meet in blocks, so no task holds all queries.
+
+A copy of a vector is no point of its own: a point lists its `k` + 1 smallest ids, and no query can need another. Equal
+scores are ranked by the smaller id; which of many points with the same score near the last rank are found depends on the walk.
+
+Vectors that are null, empty, zero or hold null or non-finite numbers take no part, nor do rows without an id. Vectors of
+different dimensions do not meet. Repeated ids are separate candidates; a query leaves out every row with its own id, and is
+asked once for each distinct vector of its id. Extra columns are not read. Fewer than `k` candidates give fewer rows, an
+empty table none.
 """
 
 from __future__ import annotations
@@ -22,27 +28,41 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sievework.llm.common import bounded_batches
-from sievework.llm.cross_polytope import _matrix, usual_dimension, valid_vector
+from sievework.llm.cross_polytope import _matrix, valid_vector, vector_key
 from sievework.session import cut_lineage
 
-DEGREE, ALPHA, BUILD_BEAM, BEAM = 32, 1.2, 64, 192
+DEGREE, ALPHA, BUILD_BEAM, BEAM = 32, 1.2, 64, 96
+BAND = 1.25
+ENTRIES = 8
 SHARD_ROWS = 8192
 QUERY_BLOCK = 2048
 AHEAD = 4
 
 
-def beam_search(points: np.ndarray, graph: np.ndarray, queries: np.ndarray, beam: int) -> np.ndarray:
-    """The `beam` points with the largest product found for each query, best first; -1 where there are fewer.
+def spread_first(u: np.ndarray, count: int = ENTRIES) -> np.ndarray:
+    """An order of unit vectors that starts with the one nearest to the mean and then, again and again, the one farthest
+    from those before; the rest keep their order."""
+    order = [int((u @ u.mean(axis=0)).argmax())]
+    far = np.square(u - u[order[0]]).sum(axis=1)
+    while len(order) < min(count, len(u)) and far.max() > 0:
+        order.append(int(far.argmax()))
+        far = np.minimum(far, np.square(u - u[order[-1]]).sum(axis=1))
+    return np.concatenate([order, np.setdiff1d(np.arange(len(u)), order)]).astype(np.int64)
 
-    `graph` lists the neighbours of each point, -1 where there are fewer. Point 0 is the entry.
+
+def beam_search(points: np.ndarray, graph: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """The `beam` points with the largest product found for each query, best first, and their products; -1 where there are fewer.
+
+    `graph` lists the neighbours of each point, -1 where there are fewer. The first ENTRIES points are the entries.
     """
     n, q = len(points), len(queries)
+    entries = min(ENTRIES, n, beam)
     ids = np.full((q, beam), -1, np.int64)
     score = np.full((q, beam), -np.inf, np.float32)
-    ids[:, 0], score[:, 0] = 0, queries @ points[0]
+    ids[:, :entries], score[:, :entries] = np.arange(entries), queries @ points[:entries].T
     opened = np.zeros((q, beam), bool)
     seen = np.zeros((q, n + 1), bool)
-    seen[:, 0] = seen[:, n] = True
+    seen[:, :entries] = seen[:, n] = True
     rows = np.arange(q)
     while len(rows):
         waiting = np.where(opened[rows] | (ids[rows] < 0), -np.inf, score[rows])
@@ -73,19 +93,22 @@ def beam_search(points: np.ndarray, graph: np.ndarray, queries: np.ndarray, beam
         score[rows] = np.take_along_axis(all_score, best, axis=1)
         opened[rows] = np.take_along_axis(all_open, best, axis=1)
     order = np.argsort(-score, axis=1, kind="stable")
-    return np.take_along_axis(ids, order, axis=1)
+    return np.take_along_axis(ids, order, axis=1), np.take_along_axis(score, order, axis=1)
 
 
 def robust_prune(points: np.ndarray, of: np.ndarray, near: np.ndarray, degree: int, alpha: float) -> np.ndarray:
-    """Neighbour lists of points `of`, chosen from candidates `near` (-1 for none); all points have one length."""
+    """Neighbour lists of points `of`, chosen from candidates `near` (-1 for none).
+
+    Distances are squared lengths of differences from the own point in double precision, so points that lie close together
+    far from the origin keep theirs.
+    """
     near = np.sort(near, axis=1)
     bad = (near < 0) | (near == of[:, None])
     bad[:, 1:] |= near[:, 1:] == near[:, :-1]
-    square = float(points[0] @ points[0])
-    own = points[of]
-    vectors = points[np.maximum(near, 0)]
-    far = np.maximum(2 * square - 2 * np.matmul(vectors, own[:, :, None])[:, :, 0], 0)
-    far[bad] = np.inf
+    offset = points[np.maximum(near, 0)].astype(np.float64) - points[of][:, None]
+    square = np.square(offset).sum(axis=2)
+    product = np.matmul(offset, offset.transpose(0, 2, 1))
+    far = np.where(bad, np.inf, square)
     out = np.full((len(of), degree), -1, np.int64)
     rows = np.arange(len(of))
     left = far.copy()
@@ -95,23 +118,26 @@ def robust_prune(points: np.ndarray, of: np.ndarray, near: np.ndarray, degree: i
         if not some.any():
             break
         out[some, k] = near[rows[some], best[some]]
-        between = np.maximum(2 * square - 2 * np.matmul(vectors, vectors[rows, best][:, :, None])[:, :, 0], 0)
+        between = np.maximum(square + square[rows, best][:, None] - 2 * product[rows, best], 0)
         left[(alpha * alpha * between <= far) & some[:, None]] = np.inf
         left[rows, best] = np.inf
     return out
 
 
 def build_graph(points: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, beam: int = BUILD_BEAM) -> np.ndarray:
-    """Neighbour lists of points of one length. Point 0 is the entry of every search."""
+    """Neighbour lists of unit vectors, inserted in their order."""
     n = len(points)
     graph = np.full((n, degree), -1, np.int64)
+    single = points.astype(np.float32)
     at = 1
     while at < n:
         end = min(n, at + min(max(at, 1), 512))
         new = np.arange(at, end)
-        found = beam_search(points[:at], graph[:at], points[new], min(beam, max(at, 1)))
+        found, _ = beam_search(single[:at], graph[:at], single[new], min(beam, at))
         found = np.concatenate([found, np.tile(new, (len(new), 1))], axis=1) if at < degree else found
-        graph[new] = robust_prune(points, new, found, degree, alpha)
+        for start in range(0, len(new), 256):
+            part = slice(start, start + 256)
+            graph[new[part]] = robust_prune(points, new[part], found[part], degree, alpha)
         _add_back_edges(points, graph, new, degree, alpha)
         at = end
     return graph
@@ -125,7 +151,7 @@ def _add_back_edges(points, graph, new, degree, alpha) -> None:
     targets, start, count = np.unique(to, return_index=True, return_counts=True)
     held = (graph[targets] >= 0).sum(axis=1)
     by_width = np.argsort(count, kind="stable")
-    for part in np.array_split(by_width, max(1, len(by_width) // 512)):
+    for part in np.array_split(by_width, max(1, len(by_width) // 256)):
         if not len(part):
             continue
         width = count[part].max()
@@ -139,10 +165,10 @@ def _add_back_edges(points, graph, new, degree, alpha) -> None:
             graph[targets[part][~room]] = robust_prune(points, targets[part][~room], both[~room], degree, alpha)
 
 
-def one_length(x: np.ndarray) -> np.ndarray:
-    """The vectors with one more component, so that all have the length of the longest."""
-    square = (x * x).sum(axis=1)
-    return np.concatenate([x, np.sqrt(np.maximum(square.max() - square, 0))[:, None]], axis=1).astype(np.float32)
+def directions(x: np.ndarray) -> np.ndarray:
+    """The vectors scaled to length one, whatever their size."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -153,19 +179,39 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def walk_shard(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, k: int, beam: int) -> np.ndarray:
+    """Points found for each query, -1 where there are fewer: the best of the whole shard where it is small against the beam,
+    else the best of a beam that is doubled until the k best products stay the same."""
+    keep = max(beam, 4 * k)
+    single = (x / np.abs(x).max()).astype(np.float32)
+    turned = (queries / np.abs(queries).max(axis=1, keepdims=True)).astype(np.float32)
+    out = np.full((len(queries), keep), -1, np.int64)
+    rows, last = np.arange(len(queries)), np.zeros((len(queries), 0), np.float32)
+    while len(rows) and 2 * beam < len(x):
+        found, score = beam_search(single, graph, turned[rows], beam)
+        best = score[:, :k]
+        settled = (best == last).all(axis=1) if last.shape == best.shape else np.zeros(len(rows), bool)
+        out[rows[settled], :min(beam, keep)] = found[settled][:, :keep]
+        rows, last, beam = rows[~settled], best[~settled], 2 * beam
+    for start in range(0, len(rows), 64):
+        part = rows[start:start + 64]
+        score = queries[part] @ x.T
+        best = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if len(x) > keep else np.tile(np.arange(len(x)), (len(part), 1))
+        out[part, :best.shape[1]] = best
+    return out
+
+
 def search_shard(x, ids, graph, query_ids, queries, k: int, beam: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query position, id, score) of the best k ids for each query; ids[i] lists the rows of point i, ascending."""
-    points = one_length(x)
-    longest = np.abs(queries).max(axis=1, keepdims=True)
-    turned = np.concatenate([queries / longest, np.zeros((len(queries), 1))], axis=1).astype(np.float32)
+    sizes = np.array([len(i) for i in ids])
     out = []
-    for start in range(0, len(queries), 512):
-        part = slice(start, start + 512)
-        found = beam_search(points, graph, turned[part], beam)
+    for start in range(0, len(queries), 256):
+        part = slice(start, start + 256)
+        found = walk_shard(x, graph, queries[part], k, beam)
         row, place = np.nonzero(found >= 0)
         point = found[row, place]
         score = products(queries[part][row], x[point])
-        size = np.array([len(i) for i in ids])[point]
+        size = sizes[point]
         row, score = np.repeat(row, size), np.repeat(score, size)
         vec_id = np.concatenate([ids[p] for p in point])
         other = query_ids[part][row] != vec_id
@@ -178,19 +224,30 @@ def search_shard(x, ids, graph, query_ids, queries, k: int, beam: int) -> tuple[
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
-def build_index(points: DataFrame, shards: int, degree: int = DEGREE, alpha: float = ALPHA) -> DataFrame:
-    """A row per shard of points (vkey, v, ids): vectors, neighbour lists and ids as binary and arrays."""
+def build_index(points: DataFrame, degree: int = DEGREE, alpha: float = ALPHA) -> DataFrame:
+    """A row per shard of points (d, band, shard, vkey, v, ids): vectors, neighbour lists and ids as binary and arrays."""
     def build(rows: pa.Table) -> pa.Table:
         rows = rows.take(pa.array(np.argsort(rows.column("vkey").to_numpy(zero_copy_only=False)))).combine_chunks()
         x = _matrix(rows.column("v"))
-        graph = build_graph(one_length(x), degree, alpha).astype(np.int32)
-        return pa.table({"shard": rows.column("shard").slice(0, 1), "x": pa.array([x.tobytes()], pa.binary()),
+        u = directions(x)
+        order = spread_first(u)
+        graph = build_graph(u[order], degree, alpha).astype(np.int32)
+        ids = rows.column("ids").to_pylist()
+        return pa.table({**{c: rows.column(c).slice(0, 1) for c in ("d", "band", "shard")}, "x": pa.array([x[order].tobytes()], pa.binary()),
                          "graph": pa.array([graph.tobytes()], pa.binary()),
-                         "ids": pa.array([rows.column("ids").to_pylist()], pa.list_(pa.list_(pa.int64()))),
+                         "ids": pa.array([[ids[i] for i in order]], pa.list_(pa.list_(pa.int64()))),
                          "n": pa.array([len(x)], pa.int64())})
 
-    dealt = points.withColumn("shard", F.pmod(F.xxhash64("vkey"), F.lit(shards)).cast("int"))
-    return dealt.groupBy("shard").applyInArrow(build, "shard INT, x BINARY, graph BINARY, ids ARRAY<ARRAY<BIGINT>>, n BIGINT")
+    return points.groupBy("d", "band", "shard").applyInArrow(
+        build, "d INT, band INT, shard INT, x BINARY, graph BINARY, ids ARRAY<ARRAY<BIGINT>>, n BIGINT")
+
+
+def length_band(column: str, ratio: float = BAND) -> Column:
+    """The number of the band of a vector's length."""
+    longest = F.array_max(F.transform(column, F.abs))
+    square = F.aggregate(column, F.lit(0.0), lambda s, x: s + (x / longest) * (x / longest))
+    # half a band is added so that vectors of length one lie inside theirs
+    return F.floor((F.log(longest) + F.log(square) / 2) / float(np.log(ratio)) + 0.5).cast("int")
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
@@ -199,16 +256,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     bounded_batches(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     rows = rows.filter(F.col("id").isNotNull() & valid_vector("v"))
-    size = usual_dimension(rows, "v")
-    rows = rows.filter(F.size("v") == size)
-    plain = F.transform("v", lambda x: x + F.lit(0.0))
-    keyed = rows.withColumn("vkey", F.concat(F.hex(F.xxhash64(plain)), F.lit("-"), F.hex(F.xxhash64(F.lit("second"), plain))))
+    keyed = rows.withColumn("vkey", vector_key("v"))
     # the group limit of Spark cuts the copies of a vector to k + 1 before they are shuffled
     place = F.row_number().over(Window.partitionBy("vkey").orderBy("id"))
     few = keyed.withColumn("_rn", place).filter(F.col("_rn") <= k + 1)
-    points = cut_lineage(few.groupBy("vkey").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("id")).alias("ids")))
-    shards = max(1, -(-points.count() // shard_rows))
-    index = cut_lineage(build_index(points, shards, degree, alpha))
+    points = few.groupBy("vkey").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("id")).alias("ids"))
+    points = cut_lineage(points.select("*", F.size("v").alias("d"), length_band("v").alias("band")))
+    sizes = cut_lineage(points.groupBy("d", "band").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")))
+    dealt = points.join(sizes, ["d", "band"]).withColumn("shard", F.pmod(F.xxhash64("vkey"), "shards").cast("int"))
+    index = cut_lineage(build_index(dealt, degree, alpha))
     queries = rows.filter(is_query).withColumn("asked", F.xxhash64("v")).dropDuplicates(["id", "asked"])
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
 
@@ -226,9 +282,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
                         schema=schema)
 
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")
-    asked = queries.select("id", "v", "asked", block, F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    # bands and dimensions are few, so a list of shards fits beside each query
+    listed = sizes.groupBy("d").agg(F.collect_list(F.struct("band", "shards")).alias("bands"))
+    asked = queries.withColumn("d", F.size("v")).join(listed, "d").select("id", "v", "asked", "d", block, F.explode("bands").alias("_b"))
+    asked = asked.select("id", "v", "asked", "d", "block", "_b.band", F.explode(F.sequence(F.lit(0), F.col("_b.shards") - 1)).alias("shard"))
     graphs = index.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    found = asked.groupBy("shard", "block").cogroup(graphs.groupBy("shard", "block")).applyInArrow(
+    unit = ["d", "band", "shard", "block"]
+    found = asked.groupBy(*unit).cogroup(graphs.groupBy(*unit)).applyInArrow(
         walk, "query_id BIGINT, asked BIGINT, vec_id BIGINT, score DOUBLE")
     rank = F.row_number().over(Window.partitionBy("query_id", "asked").orderBy(F.desc("score"), "vec_id"))
     best = found.withColumn("rank", rank).filter(F.col("rank") <= k)

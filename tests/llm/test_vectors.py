@@ -104,6 +104,62 @@ def test_search_query_recall(spark, sf_dir):
     assert hits >= 0.95 * 20 * len(asked)
 
 
+def lengths(kind, n, seed=0):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 64))
+    if kind == "log-normal":
+        x *= np.exp(rng.normal(size=(n, 1)))
+    if kind == "one long":
+        x[5] *= 2000
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize("kind,n", [("normal", 2000), ("log-normal", 2000), ("one long", 2000), ("normal", 8192), ("log-normal", 8192)])
+def test_recall_whatever_the_lengths(spark, kind, n):
+    x = lengths(kind, n)
+    table = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], VECTORS)
+    rows = pruned_graph.nearest(table, F.col("id") % 40 == 0).collect()
+    asked = np.arange(0, n, 40)
+    score = x[asked].astype(float) @ x.T.astype(float)
+    score[np.arange(len(asked)), asked] = -np.inf
+    want = {(int(q), int(i)) for q, s in zip(asked, score, strict=True) for i in np.argsort(-s)[:20]}
+    got = {(r.query_id, r.vec_id) for r in rows}
+    assert len(rows) == len(want) and len(got & want) >= 0.97 * len(want)
+
+
+def test_search_in_tight_balls():
+    """Points a hundred-thousandth apart far from the origin keep their own neighbours."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(20, 32))[rng.integers(0, 20, 1500)] + 1e-5 * rng.normal(size=(1500, 32))
+    u = pruned_graph.directions(x)
+    order = pruned_graph.spread_first(u)
+    assert sorted(order) == list(range(1500))
+    graph = pruned_graph.build_graph(u[order])
+    found = pruned_graph.walk_shard(x[order], graph, x[:100], 20, pruned_graph.BEAM)
+    hits = sum(len(set(np.argsort(-(x[order] @ q))[:20]) & set(sorted(f[f >= 0], key=lambda i: -(x[order][i] @ q))[:20]))
+               for q, f in zip(x[:100], found, strict=True))
+    assert hits >= 0.95 * 2000
+
+
+def test_rarer_dimensions_are_searched_and_linked(spark):
+    rng = np.random.default_rng(8)
+    vectors = {i: rng.normal(size=3 if i < 30 else 5 if i < 40 else 2) for i in range(44)}
+    vectors[33], vectors[41] = vectors[30] * 2, vectors[40] * 3
+    table = spark.createDataFrame(as_rows(vectors), "vec_id BIGINT, embedding ARRAY<DOUBLE>, label INT")
+    got = pruned_graph.nearest(table, F.col("id") % 10 == 0, k=4).collect()
+    for q in range(0, 44, 10):
+        same = {i: v for i, v in vectors.items() if len(v) == len(vectors[q])}
+        best, score = plain_nearest(same, q, 4)
+        own = sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)
+        assert [r.vec_id for r in own] == best and all(abs(r.score - score[r.vec_id]) < 1e-12 for r in own)
+    want = {}
+    for d in (2, 3, 5):
+        want |= plain_links({i: v for i, v in vectors.items() if len(v) == d})
+    links = cross_polytope.near_duplicate_vectors(table).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in links} == want
+    assert want[33][0] >= 1 and want[41][0] >= 1
+
+
 def test_search_ties_copies_and_shards(spark):
     vectors = clustered(seed=9)
     table = spark.createDataFrame(as_rows(vectors), VECTORS)
