@@ -7,12 +7,14 @@ good, weighted by length. Features come from the text alone.
 
 Null texts count as empty; an empty text is one empty line and gets that line's marginal. A line of more than
 LINE_CHARS characters is cut into several. Repeated rows are scored alike, rows without an id are scored too.
-Labelled rows with a null label or id are not used; of several labels of one id the smallest counts. Without any
-labelled row every score is 0.5. Extra columns are not read. An empty table gives an empty result.
+Labelled rows with a null label or id are not used; of several labels of one id the smallest counts, of several texts the
+smallest. Without any labelled row every score is 0.5. Extra columns are not read. An empty table gives an empty result.
+A very long text is scored whole, with 48 numbers a line; for the fit it gives SAMPLE_LINES lines in a row.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -25,6 +27,7 @@ from sievework.llm.common import bounded_batches, text_groups
 LINE_CHARS = 4000
 GROUP_CHARS = 1_000_000
 SAMPLE_ROWS = 4000
+SAMPLE_LINES = 400  # of one document, at most
 KINDS = ["upper", "lower", "digit", "space", "stop", "mark", "rare", "other"]
 FEATURES = 8 + 7
 
@@ -49,6 +52,13 @@ def lines_of(text: str) -> list[str]:
     return [line[i:i + LINE_CHARS] for line in lines for i in range(0, max(1, len(line)), LINE_CHARS)]
 
 
+def some_lines(text: str) -> list[str]:
+    """The lines of a text, or SAMPLE_LINES of them in a row from a place that its hash gives."""
+    lines = lines_of(text)
+    start = zlib.crc32(text.encode("utf-8")) % max(1, len(lines) - SAMPLE_LINES + 1)
+    return lines[start:start + SAMPLE_LINES]
+
+
 def line_features(lines: Sequence[str]) -> np.ndarray:
     """A row of FEATURES numbers for each line, from the line alone."""
     raw = [line.encode("utf-8") for line in lines]
@@ -161,16 +171,18 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LineCrf:
-    """A field fitted on at most `sample_rows` labelled ids, the first by a hash, none of them held out."""
+    """A field fitted on at most `sample_rows` labelled ids, the first by a hash, none of them held out. Each id gives one
+    text, and each text at most SAMPLE_LINES lines in a row, so the sample is bounded whatever the table."""
     bounded_batches(docs.sparkSession)
     known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").filter(~held_out())
     known = known.groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)  # the documented bound
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [line_features(lines_of(t.as_py())).tobytes() for t in batch.column(1)]
+            found = [line_features(some_lines(t.as_py())).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found, pa.binary())],
                                              ["doc_id", "label", "x"])
 

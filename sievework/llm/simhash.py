@@ -24,6 +24,7 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -163,3 +164,60 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "fp", F.coalesce("component", "rep").alias("component_id"), "n"))
     spread = F.xxhash64(F.lit("spread"), id_col)
     return attach(prints, named, "fp", "n", spread).select(id_col, "fp", "component_id")
+
+
+# Words of 64 bits in the filter of dropped rows: at most so many rows are broadcast.
+FILTER_WORDS = 1 << 20
+
+
+def placed_rows(docs: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """`docs` with the file and the position of every row; a table that is no file scan is written first."""
+    try:
+        at = docs.metadataColumn("_metadata")
+        docs.select(at["row_index"])
+    except AnalysisException:
+        docs = cut_lineage(docs)
+        at = docs.metadataColumn("_metadata")
+    return docs, at["file_path"], at["row_index"]
+
+
+def dropped_rows(docs: DataFrame, file: Column, position: Column, id_col: str = "doc_id", text_col: str = "text", words: int = 3,
+                 distance: int = 3, blocks: int = 5) -> DataFrame:
+    """(file, position) of the rows that do not stay when one row of each component does: that with the smallest id, rows
+    without an id last, and of several such rows any one."""
+    at = F.struct(file.alias("file"), position.alias("position"), F.col(id_col).alias("id"))
+    prints = fingerprints(docs.select(at.alias("_at"), F.col(text_col).alias("_text")), "_at", "_text", words)
+    prints = cut_lineage(prints.select("_at.file", "_at.position", "_at.id", "fp", F.monotonically_increasing_id().alias("row")))
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row")).alias("first")
+    classes = cut_lineage(prints.groupBy("fp").agg(F.min("row").alias("rep"), F.count("*").alias("n"), first).select(
+        "fp", "rep", "n", "first", *pivot_columns()))
+    reached = components(class_links(classes, distance, blocks))
+    named = cut_lineage(classes.join(reached, F.col("rep") == F.col("node"), "left").select(
+        "fp", "n", "first", F.coalesce("component", "rep").alias("component")))
+    kept = named.groupBy("component").agg(F.min("first")["row"].alias("kept"), F.sum("n").alias("_all")).filter("_all > 1")
+    shared = cut_lineage(named.join(kept, "component").select("fp", "n", "kept"))
+    spread = F.xxhash64(F.lit("spread"), "row")
+    return attach(prints.select("file", "position", "row", "fp"), shared, "fp", "n", spread).filter("row <> kept").select("file", "position")
+
+
+def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3,
+                       blocks: int = 5, filter_words: int = FILTER_WORDS) -> DataFrame:
+    """The rows of `docs`, one of each component of near-duplicates: that with the smallest id.
+
+    Decisions are made for rows, by file and position, so repeated ids and missing ones lose no text of their own, and of equal
+    rows one stays. Texts are not shuffled: rows whose bit in a filter of the dropped rows is not set stay at once, and only
+    the others are held against the dropped rows themselves. The filter is broadcast; it has `filter_words` rows at most.
+    """
+    docs, file, position = placed_rows(docs)
+    dropped = cut_lineage(dropped_rows(docs, file, position, id_col, text_col, words, distance, blocks))
+    columns = docs.columns
+    word, bit = (lambda f, p: F.pmod(F.xxhash64(f, p), F.lit(filter_words))), (lambda f, p: F.pmod(F.xxhash64(p, f), F.lit(64)).cast("int"))
+    one = F.expr("shiftleft(1L, _bit)")
+    bits = dropped.select(word("file", "position").alias("_word"), bit("file", "position").alias("_bit")).groupBy("_word").agg(
+        F.bit_or(one).alias("_bits"))
+    packed = docs.select(F.struct(*columns).alias("_row"), file.alias("_file"), position.alias("_position"))
+    marked = packed.withColumns({"_word": word("_file", "_position"), "_bit": bit("_file", "_position")}).join(
+        F.broadcast(bits), "_word", "left")
+    listed = F.coalesce(F.col("_bits").bitwiseAND(one) != 0, F.lit(False))
+    checked = marked.filter(listed).join(dropped, (F.col("_file") == F.col("file")) & (F.col("_position") == F.col("position")), "left_anti")
+    return marked.filter(~listed).select("_row.*").union(checked.select("_row.*"))

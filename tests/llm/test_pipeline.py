@@ -54,21 +54,23 @@ def test_stages(spark, tmp_path):
 
 
 def test_odd_rows(spark, tmp_path):
-    columns = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT"
+    columns = "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT, _score STRING"
     rows = [(i, f"Words number {i} stand in this line.\nAnd {i * i} in that one.", "en", None, 50) for i in range(30)]
     rows += [(3, None, None, None, None), (40, "", "en", "s", 0), (None, "A line without an id.", "en", "s", 21),
              (41, "Mail ann@site.org now, it is about the words of this line.", "en", "s", 58),
              (41, "Mail ann@site.org now, it is about the words of this line.", "en", "s", 58)]
     sf_dir = str(tmp_path / "sf")
+    rows = [(*r, "own") for r in rows]
     spark.createDataFrame(rows, columns).write.parquet(f"{sf_dir}/documents.parquet")
     spark.createDataFrame([], "doc_id BIGINT, quality INT, toxic INT").write.parquet(f"{sf_dir}/labels.parquet")
     labelled = [(i, 1, 0) for i in range(30)]
     spark.createDataFrame(labelled, "doc_id BIGINT, quality INT, toxic INT").write.mode("overwrite").parquet(f"{sf_dir}/labels.parquet")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     good, single, masked, _ = staged(spark, docs, sf_dir, tmp_path)
-    assert good.count() == len(rows)
+    assert good.count() == len(rows) and good.columns == docs.columns and good.filter("_score = 'own'").count() == len(rows)
     assert {r.text for r in masked.collect() if r.doc_id == 41} == {"Mail <email> now, it is about the words of this line."}
-    assert single.filter("doc_id IS NULL").count() == 1
+    assert single.filter("doc_id IS NULL").count() == 1 and single.filter("doc_id = 41").count() == 1
+    assert single.filter("text IS NULL OR text = ''").count() == 1
     empty = docs.limit(0)
     for (_, stage), columns in zip(corpus_pipeline.STAGES, [docs.columns] * 3 + [None], strict=True):
         result = stage(spark, empty, sf_dir)
@@ -77,7 +79,7 @@ def test_odd_rows(spark, tmp_path):
 
 def test_registered():
     names = set(entry_points.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "personal_data", "packing"]
 
 

@@ -78,3 +78,28 @@ def test_links_of_chosen_fingerprints(spark, monkeypatch, blocks):
     edges = simhash.class_links(classes, 3, blocks)
     got = {r.node: r.component for r in common.components(edges).collect()}
     assert {i: got.get(i, i) for i in prints} == plain_components(prints)
+
+
+LONG_A, LONG_B, LONG_C = (" ".join(f"{w}{i * k % 997}" for i in range(200)) for w, k in (("a", 3), ("b", 7), ("c", 11)))
+
+
+@pytest.mark.parametrize("filter_words", [1, 4, simhash.FILTER_WORDS])
+def test_one_row_of_each_group_stays(spark, tmp_path, filter_words):
+    rows = [(1, LONG_A, "x", "p"), (5, LONG_A, "y", "q"), (5, LONG_B, "y", "r"), (7, LONG_C, "z", "s"), (7, LONG_C, "z", "s"),
+            (None, LONG_A, "n", "t"), (None, "no other text is like this one", None, None), (None, "nor like this", None, None),
+            (2, None, None, None), (3, "", None, None), *[(100 + i, LONG_B, "copy", "u") for i in range(1500)]]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, fp STRING, _row STRING")
+    docs.repartition(7).write.parquet(str(tmp_path / "docs"))
+    want = sorted([(1, LONG_A, "x", "p"), (5, LONG_B, "y", "r"), (7, LONG_C, "z", "s"), (2, None, None, None), *rows[6:8]], key=str)
+    for table in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        got = simhash.distinct_documents(table, filter_words=filter_words)
+        assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=str) == want
+    assert simhash.distinct_documents(docs.limit(0)).count() == 0
+
+
+def test_texts_that_stay_are_not_shuffled(spark, tmp_path):
+    """Of two scans of the documents only that of the rows listed by the filter feeds an exchange."""
+    spark.range(2000).selectExpr("id AS doc_id", "concat('text ', id) AS text").write.parquet(str(tmp_path / "docs"))
+    plan = simhash.distinct_documents(spark.read.parquet(str(tmp_path / "docs")))._jdf.queryExecution().sparkPlan().toString()
+    first = plan[:plan.index("LeftAnti")]
+    assert "NOT coalesce" in first and "Exchange hash" not in first and "SortMergeJoin" not in first.split("LeftAnti")[0].split("Union")[0]
