@@ -17,27 +17,40 @@ from sievework.llm.common import table
 from sievework.llm.line_crf import fit_quality, score_documents
 from sievework.llm.packing import pack_documents
 from sievework.llm.pii import fit_tagger, redact
-from sievework.llm.simhash import near_duplicates
+from sievework.llm.simhash import distinct_documents
 from sievework.session import shared_folder
 
 GOOD = 0.7
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents whose lines the field finds bad. It is fitted on a bounded sample of the labelled rows of docs."""
+    """Drop the documents whose lines the field finds bad. It is fitted on a bounded sample of the labelled rows of docs.
+
+    Null texts count as empty ones, which score as an empty line does; repeated rows and rows without an id are decided alike;
+    without labelled rows every score is 0.5 and no document stays. An empty table gives an empty one.
+    """
     crf = fit_quality(docs, table(spark, sf_dir, "labels"))
-    return score_documents(docs, crf, score_col="_score").filter(F.col("_score") >= GOOD).drop("_score")
+    score = "_score"
+    while score in docs.columns:
+        score += "_"
+    return score_documents(docs, crf, score_col=score).filter(F.col(score) >= GOOD).drop(score)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component: that with the smallest id. Rows without an id cannot be told apart by a
-    decision and stay; rows that share the kept id all stay."""
-    found = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of each component of near-duplicates: that with the smallest id, rows without an id last.
+
+    Decisions are made for rows: a text of its own stays whatever other rows share its id, of equal rows one stays, and rows
+    without an id are treated alike. Null and empty texts are one group. An empty table gives an empty one.
+    """
+    return distinct_documents(docs).select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask personal data in the texts; n_chars follows the new text."""
+    """Mask personal data in the texts; n_chars follows the new text.
+
+    Null texts stay null, repeated rows and rows without an id are masked alike, very long texts are read in windows. An
+    empty table gives an empty one.
+    """
     masked = redact(docs, fit_tagger(docs))
     if "n_chars" in docs.columns:
         masked = masked.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast("bigint")))
@@ -45,7 +58,11 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces of all documents with their sequence and offset."""
+    """Token pieces of all documents with their sequence and offset.
+
+    A null or empty text is one piece with the end id; repeated rows are packed as often as they occur, rows without an id
+    too; very long texts are cut into whole sequences and a rest. An empty table gives an empty one.
+    """
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
