@@ -5,12 +5,19 @@ position only if the header decodes and the content starts with a WARC version l
 member. It owns the records that start inside its range and reads the last one to its end, so ranges need no index
 and every record is read once.
 
+Nothing is passed over: a member that does not decode, ends early, fails its checksum, states another length than it has or
+another digest than its payload, and a place where a record should start and none does, is damage. Damage stops the job
+with the file and the byte, or, with the option damaged=keep, becomes a row with an `error`; reading goes on at the next
+member. The task that reads a record also looks at the place after it, so damage at the edge of a range is seen once.
+
 Both sides are Spark data sources: `write.format("warc_pages")` puts one file per task under an own name and
 publishes it when the job commits, so a repeated task leaves no record behind; `read.format("warc")` lists the
 files once and plans ranges. Folders are opened through `pyarrow.fs`, by path or by URI.
 
 Null payloads count as empty, null addresses are left out of the record, null page ids give records without an id
-that are never shared. Repeated page ids are written as often as they occur. Extra columns are not read.
+that are never shared. Repeated page ids are written as often as they occur. Extra columns are not read. A payload is
+held whole in one task, and rows are handed on after every 8 MB. An empty table writes no file; an empty or missing
+folder reads as an empty table.
 """
 
 from __future__ import annotations
@@ -188,21 +195,25 @@ def read_member(source: ByteSource, at: int) -> tuple[bytes, int]:
     return b"".join(parts), position - len(unpack.unused_data)
 
 
-def records(source: ByteSource, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Position, headers and block of the records that start in [start, end)."""
-    at = find_member(source, start, end)
-    while at is not None and at < end:
+def records(source: ByteSource, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes, str | None]]:
+    """Position, headers, block and damage (None for a sound record) of the records that start in [start, end)."""
+    at = start if start == 0 and source.size else find_member(source, start, end)
+    while at is not None and (at < end or at < source.size and not _is_record(source.read(at, 4096))):
+        after = None
         try:
+            if not _is_record(source.read(at, 4096)):
+                raise ValueError("no record starts here")
             data, after = read_member(source, at)
             head, _, rest = data.partition(b"\r\n\r\n")
             lines = head.decode("utf-8").split("\r\n")
             fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-            yield at, fields, rest[:int(fields["content-length"])]
-        except (zlib.error, UnicodeDecodeError, KeyError):
-            after = at + 1  # magic and first bytes by chance, inside another member
-        if after < end and source.read(after, 3) != MAGIC:
-            after = find_member(source, after, end)
-        at = after
+            block = rest[:-4]
+            if int(fields["content-length"]) != len(block) or rest[-4:] != b"\r\n\r\n":
+                raise ValueError("the record has not the length it states")
+            yield at, fields, block, None
+        except (zlib.error, EOFError, KeyError, ValueError) as damage:
+            yield at, {}, b"", f"{type(damage).__name__}: {damage}"
+        at = after if after is not None else find_member(source, at + 1, end)
 
 
 class ByteRange(InputPartition):
@@ -211,23 +222,30 @@ class ByteRange(InputPartition):
 
 
 class Warc(DataSource):
-    """`spark.read.format("warc").option("path", folder)`: a row per record; option content=true adds the payload."""
+    """`spark.read.format("warc").option("path", folder)`: a row per record; option content=true adds the payload, option
+    damaged=keep the file, the position, and the error of what is damaged."""
 
     @classmethod
     def name(cls) -> str:
         return "warc"
 
     def schema(self) -> str:
-        return RECORD + (", payload BINARY" if self.options.get("content", "false") == "true" else "")
+        return RECORD + (", payload BINARY" if self._content() else "") + (
+            ", file STRING, position BIGINT, error STRING" if self._keep() else "")
+
+    def _content(self) -> bool:
+        return self.options.get("content", "false") == "true"
+
+    def _keep(self) -> bool:
+        return self.options.get("damaged", "fail") == "keep"
 
     def reader(self, schema) -> DataSourceReader:
-        return WarcReader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)),
-                          self.options.get("content", "false") == "true")
+        return WarcReader(self.options["path"], int(self.options.get("range_bytes", RANGE_BYTES)), self._content(), self._keep())
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, folder: str, range_bytes: int, content: bool):
-        self.folder, self.range_bytes, self.content = folder, range_bytes, content
+    def __init__(self, folder: str, range_bytes: int, content: bool, keep: bool):
+        self.folder, self.range_bytes, self.content, self.keep = folder, range_bytes, content, keep
 
     def partitions(self) -> list[ByteRange]:
         from pyarrow import fs
@@ -243,10 +261,17 @@ class WarcReader(DataSourceReader):
         store, _ = open_folder(self.folder)
         with store.open_input_file(part.path) as file:
             rows, held = [], 0
-            for _, fields, block in records(ByteSource(file, part.size), part.start, part.end):
-                row = describe(fields, block)
+            for at, fields, block, error in records(ByteSource(file, part.size), part.start, part.end):
+                row: tuple = (None,) * 6 + (b"",)
+                if error is None:
+                    try:
+                        row = describe(fields, block)
+                    except (KeyError, TypeError, ValueError) as damage:
+                        error = f"{type(damage).__name__}: {damage}"
+                if error is not None and not self.keep:
+                    raise ValueError(f"damaged record in {part.path} at byte {at}: {error}")
                 held += len(row[-1])
-                rows.append(row if self.content else row[:-1])
+                rows.append((row if self.content else row[:-1]) + ((part.path, at, error) if self.keep else ()))
                 if held > 8 << 20:
                     yield self._batch(rows)
                     rows, held = [], 0
@@ -256,6 +281,7 @@ class WarcReader(DataSourceReader):
     def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
         kinds = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()),
                  ("payload_digest", pa.string()), ("payload_bytes", pa.int64())] + [("payload", pa.binary())] * self.content
+        kinds += [("file", pa.string()), ("position", pa.int64()), ("error", pa.string())] * self.keep
         return pa.RecordBatch.from_arrays([pa.array(c, k[1]) for c, k in zip(zip(*rows), kinds, strict=True)],
                                           [k[0] for k in kinds])
 
@@ -283,8 +309,10 @@ def _page_id(record_id: str) -> int | None:
     return int(found[1]) if found else None
 
 
-def read_archives(spark: SparkSession, folder: str, content: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Every record under `folder`: page_id, url, record_type, refers_to, payload_digest, payload_bytes [, payload]."""
+def read_archives(spark: SparkSession, folder: str, content: bool = False, range_bytes: int = RANGE_BYTES,
+                  damaged: str = "fail") -> DataFrame:
+    """Every record under `folder`: page_id, url, record_type, refers_to, payload_digest, payload_bytes [, payload]; with
+    damaged="keep" also file, position and error, and a row for all that is damaged."""
     spark.dataSource.register(Warc)
     return spark.read.format("warc").option("path", folder).option("range_bytes", str(range_bytes)).option(
-        "content", str(content).lower()).load()
+        "content", str(content).lower()).option("damaged", damaged).load()

@@ -79,9 +79,52 @@ def test_standard_form_and_empty_table(spark, tmp_path):
     assert "WARC-Refers-To: <urn:page:1>" in text and text.count("x" * 200) == 1
 
 
-def test_a_cut_off_record_is_an_error(tmp_path):
-    data = warc.encode_record(1, "u", b"y" * 5000, "0", None)
+def test_a_cut_off_record_is_an_error(spark, tmp_path):
+    data = warc.encode_record(1, "u", b"y" * 5000, hashlib.sha256(b"y" * 5000).hexdigest(), None)
+    (tmp_path / "a.warc.gz").write_bytes(data + data[:-9])
+    rows = warc.read_archives(spark, str(tmp_path), damaged="keep").collect()
+    assert [(r.page_id, r.position, r.error and r.error.split(":")[0]) for r in rows] == [(1, 0, None), (None, len(data), "EOFError")]
+    with pytest.raises(Exception, match=f"damaged record in .*a.warc.gz at byte {len(data)}"):
+        warc.read_archives(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("range_bytes", [90, 400, 1 << 20])
+def test_no_flipped_byte_goes_unseen(tmp_path, range_bytes):
+    """With a byte flipped at every tenth position, all five records come back or damage is reported, and at most the two
+    records around it are missing."""
+    bodies = [("".join(chr(65 + i * k % 57) for i in range(300 + 50 * k)) + "\n").encode() for k in range(1, 6)]
+    members = [warc.encode_record(k, f"u{k}", b, hashlib.sha256(b).hexdigest(), None) for k, b in enumerate(bodies)]
+    members[3] = warc.encode_record(3, "u3", bodies[2], hashlib.sha256(bodies[2]).hexdigest(), 2)
+    whole = b"".join(members)
     path = tmp_path / "a.warc.gz"
-    path.write_bytes(data[:-9])
-    with open(path, "rb") as file, pytest.raises(EOFError):
-        list(warc.records(warc.ByteSource(file, len(data) - 9), 0, len(data)))
+    sound = None
+    for flip in [None, *range(0, len(whole), 10)]:
+        data = bytearray(whole)
+        if flip is not None:
+            data[flip] ^= 0x55
+        path.write_bytes(data)
+        with open(path, "rb") as file:
+            source = warc.ByteSource(file, len(data))
+            found = [r for at in range(0, len(data), range_bytes) for r in warc.records(source, at, min(at + range_bytes, len(data)))]
+        good = {warc.describe(f, b) for _, f, b, error in found if error is None}
+        bad = [error for *_, error in found if error]
+        if flip is None:
+            sound = good
+            assert len(good) == 5 and not bad
+        else:
+            assert good <= sound and (good == sound or bad and len(good) >= 3), (flip, bad)
+        positions = [at for at, *_ in found]
+        assert len(positions) == len(set(positions))
+
+
+def test_lengths_and_digests_are_checked(spark, tmp_path):
+    """A record that is sound as gzip but states a wrong length or digest."""
+    body = b"z" * 300
+    digest = hashlib.sha256(body).hexdigest()
+    good, wrong = warc.encode_record(1, "u", body, digest, None), warc.encode_record(2, "u", body, "0" * 64, None)
+    text = gzip.decompress(warc.encode_record(3, "u", body, digest, 1))
+    for stated in (b"Content-Length: 7\r\n", b"Content-Length: x\r\n", b""):
+        broken = gzip.compress(re.sub(rb"Content-Length: \d+\r\n(?=\r\n)", stated, text, count=1))
+        (tmp_path / "a.warc.gz").write_bytes(good + broken + wrong + good)
+        rows = warc.read_archives(spark, str(tmp_path), content=True, damaged="keep").collect()
+        assert [r.page_id for r in rows] == [1, None, None, 1] and [bool(r.error) for r in rows] == [False, True, True, False]
