@@ -1,4 +1,7 @@
-"""Shortcut checks and head training with MLlib: what can be told from metadata, from features, from the source."""
+"""Shortcut checks: what can be told from metadata, from features, from the source; PCA; a linear head.
+
+Linear probes of all scopes and folds are fitted together (`regressions`); forests on metadata are MLlib's, one after the other.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from sievework.operators.evaluate import class_report, class_weights
+from sievework.operators.ranks import hash_ranked
+from sievework.operators.regressions import C, fit_many, held_out_predictions
 from sievework.operators.splits import stratified_folds
 from sievework.session import SMALL_TABLE_ROWS, cut_lineage, small_table
 
@@ -23,8 +28,6 @@ from sievework.session import SMALL_TABLE_ROWS, cut_lineage, small_table
 METADATA = ["width", "height", "aspect", "brightness", "sharpness_256", "file_bytes"]
 FOLDS = 5
 TREES = 300
-C = 0.5
-MAX_ITER = 2000
 DEPTH = 30  # the limit of MLlib: trees are grown until their leaves are pure or as deep as that
 
 
@@ -50,13 +53,6 @@ def _metadata_probe(rows: int, trees: int, depth: int) -> Pipeline:
         RandomForestClassifier(featuresCol="meta", labelCol="y", numTrees=trees, maxDepth=depth, seed=0)])
 
 
-def _linear_probe(rows: int) -> Pipeline:
-    return Pipeline(stages=[
-        StandardScaler(withMean=True, inputCol="vec", outputCol="scaled"),
-        LogisticRegression(featuresCol="scaled", labelCol="y", family="multinomial", standardization=False,
-                           maxIter=MAX_ITER, tol=1e-4, regParam=1.0 / (C * max(rows, 1)))])
-
-
 def fold_predictions(data: DataFrame, make, folds: int = FOLDS) -> DataFrame:
     """(fold, y_true, y_pred) of each fold under the model trained on the others.
 
@@ -84,18 +80,17 @@ def cross_validated_f1(df: DataFrame, label: str, id_col: str, make, folds: int
 
 @dataclass(frozen=True)
 class Probe:
-    """Predict `label` within each value of `scope` that has several labels."""
+    """Predict `label` within each value of `scope` that has several labels: by regressions on the features, or by `make`."""
 
     name: str
     scope: str
     label: str
-    make: Callable[[int], Pipeline]
+    make: Callable[[int], Pipeline] | None = None
 
 
 def probe_table(trees: int = TREES, depth: int = DEPTH) -> list[Probe]:
     return [Probe("class_by_metadata", "crop", "class_id", lambda n: _metadata_probe(n, trees, depth)),
-            Probe("class_by_features", "crop", "class_id", _linear_probe),
-            Probe("source_by_features", "class_id", "dataset_id", _linear_probe)]
+            Probe("class_by_features", "crop", "class_id"), Probe("source_by_features", "class_id", "dataset_id")]
 
 
 def label_shares(rows: DataFrame, scope: str, label: str) -> DataFrame:
@@ -107,31 +102,52 @@ def label_shares(rows: DataFrame, scope: str, label: str) -> DataFrame:
     return listed.select(F.col(scope).alias("scope"), F.concat_ws(", ", shares).alias("note"))
 
 
+def linear_f1(rows: DataFrame, linear: Sequence[Probe], id_col: str, features: str, folds: int = FOLDS, seed: int = 0,
+              c: float = C) -> DataFrame:
+    """(probe, scope, macro_f1) of all linear probes in all scopes: the mean over folds, all models fitted together."""
+    named = [rows.filter(F.col(p.scope).isNotNull() & F.col(p.label).isNotNull()).select(
+        F.concat_ws("\x1f", F.lit(p.name), p.scope).alias("group"), F.col(p.label).alias("label"), F.col(id_col).alias("id"),
+        F.col(features).alias("x")) for p in linear]
+    ranked = hash_ranked(cut_lineage(reduce(DataFrame.unionByName, named)), ["group", "label"], "id", seed)
+    fitted, data = fit_many(ranked.withColumn("fold", (F.col("_rank") - 1) % folds), "group", "label", "x", "fold", c)
+    report = class_report(held_out_predictions(fitted, data), by=["group", "fold"])
+    mean = report.groupBy("group", "fold").agg(F.avg("f1").alias("f1")).groupBy("group").agg(F.bround(F.avg("f1"), 3).alias("macro_f1"))
+    parts = F.split("group", "\x1f", 2)
+    return mean.select(parts[0].alias("probe"), parts[1].alias("scope"), "macro_f1")
+
+
 def shortcut_report(items: DataFrame, id_col: str = "image_id", features: str = "features", folds: int = FOLDS,
                     probes: Sequence[Probe] | None = None) -> DataFrame:
     """(probe, scope, macro_f1, note). `items` are usable rows with crop, class_id, dataset_id, METADATA, features.
 
     Scopes come from the taxonomy and are few (more than SMALL_TABLE_ROWS are refused); every model is trained on
-    the cluster.
+    the cluster, and the linear ones all at once.
     """
     spark = items.sparkSession
-    rows = cut_lineage(with_vectors(items.na.fill(0.0, METADATA), features).select(
-        id_col, "crop", "class_id", "dataset_id", "vec", *METADATA))
+    chosen = probe_table() if probes is None else probes
+    rows = cut_lineage(items.na.fill(0.0, METADATA).select(id_col, "crop", "class_id", "dataset_id", features, *METADATA))
     results = []
-    for probe in probe_table() if probes is None else probes:
+    for probe in chosen:
         notes = label_shares(rows, probe.scope, probe.label).limit(SMALL_TABLE_ROWS + 1).collect()
         if len(notes) > SMALL_TABLE_ROWS:
             raise ValueError(f"too many scopes for {probe.name}")
+        if probe.make is None:
+            table = small_table(spark, [(probe.name, scope, note) for scope, note in map(tuple, notes)], "probe STRING, scope STRING, note STRING")
+            results.append((probe.name, table))
+            continue
         for scope, note in sorted(map(tuple, notes)):
             part = rows.filter((F.col(probe.scope) == scope) & F.col(probe.label).isNotNull())
             f1 = cross_validated_f1(part, probe.label, id_col, probe.make, folds)
-            results.append(f1.select(F.lit(probe.name).alias("probe"), F.lit(scope).alias("scope"), "macro_f1", F.lit(note).alias("note")))
-    empty = small_table(spark, [], "probe STRING, scope STRING, macro_f1 DOUBLE, note STRING")
-    return reduce(DataFrame.unionByName, results, empty)
+            results.append((None, f1.select(F.lit(probe.name).alias("probe"), F.lit(scope).alias("scope"), "macro_f1", F.lit(note).alias("note"))))
+    linear = [p for p in chosen if p.make is None]
+    scores = cut_lineage(linear_f1(rows, linear, id_col, features, folds)) if linear else None
+    done = [t if name is None else t.join(scores, ["probe", "scope"], "left").select("probe", "scope", "macro_f1", "note") for name, t in results]
+    return reduce(DataFrame.unionByName, done, small_table(spark, [], "probe STRING, scope STRING, macro_f1 DOUBLE, note STRING"))
 
 
 def train_head(feature_rows: DataFrame, features: str = "features", reg: float = 1e-4):
-    """Class-weighted softmax on the train rows of (features, split, class_id): (labels, fitted pipeline)."""
+    """Class-weighted softmax without a hidden layer on the train rows of (features, split, class_id): (labels, fitted
+    pipeline). `heads.train_head` trains the head proper."""
     labels = label_dictionary(feature_rows, "class_id")
     train = feature_rows.filter(F.col("split") == "train")
     weighted = train.join(class_weights(train).select("class_id", "weight"), "class_id")

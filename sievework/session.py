@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -66,19 +66,29 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def shared_path(spark: SparkSession, prefix: str = "") -> str:
+    """A new path in the shared folder, deleted at the end of the current `scratch` scope."""
+    path = f"{shared_folder(spark)}/{prefix}{uuid.uuid4().hex}"
+    scope = _SCOPE.get()
+    if scope is not None:
+        scope.append(path)
+    return path
+
+
+def files_of(df: DataFrame, partition_by: Sequence[str] = ()) -> str:
+    """Write `df` once to the shared folder, in folders by `partition_by`; its path."""
+    path = shared_path(df.sparkSession)
+    df.write.partitionBy(*partition_by).parquet(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write `df` once to the shared folder and read it back.
 
     The written table survives lost executors, is computed once however often it is used, and gives
     the planner its true size, so that later joins broadcast it only when it is small.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    scope = _SCOPE.get()
-    if scope is not None:
-        scope.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(files_of(df))
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
