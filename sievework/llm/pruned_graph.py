@@ -31,7 +31,7 @@ from sievework.llm.common import bounded_batches
 from sievework.llm.cross_polytope import _matrix, valid_vector, vector_key
 from sievework.session import cut_lineage
 
-DEGREE, ALPHA, BUILD_BEAM, BEAM = 32, 1.2, 64, 96
+DEGREE, ALPHA, BUILD_BEAM, BEAM = 32, 1.2, 96, 64
 BAND = 1.25
 ENTRIES = 8
 SHARD_ROWS = 8192
@@ -50,28 +50,52 @@ def spread_first(u: np.ndarray, count: int = ENTRIES) -> np.ndarray:
     return np.concatenate([order, np.setdiff1d(np.arange(len(u)), order)]).astype(np.int64)
 
 
-def beam_search(points: np.ndarray, graph: np.ndarray, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """The `beam` points with the largest product found for each query, best first, and their products; -1 where there are fewer.
+def beam_search(points: np.ndarray, graph: np.ndarray, queries: np.ndarray, beam: int, settle: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """The points with the largest products found for each query, best first, and their products; -1 where there are fewer.
 
-    `graph` lists the neighbours of each point, -1 where there are fewer. The first ENTRIES points are the entries.
+    `graph` lists the neighbours of each point, -1 where there are fewer. The first ENTRIES points are the entries. The best
+    `beam` points found are opened. With `settle`, as many again are kept, and a walk that has come to its end goes on with
+    twice the beam, until the best `settle` products no longer change.
     """
     n, q = len(points), len(queries)
+    width = 2 * beam if settle else beam
+    out = np.full((q, width), -1, np.int64), np.full((q, width), -np.inf, np.float32)
     entries = min(ENTRIES, n, beam)
-    ids = np.full((q, beam), -1, np.int64)
-    score = np.full((q, beam), -np.inf, np.float32)
+    rows, last = np.arange(q), None
+    ids, score = np.full((q, width), -1, np.int64), np.full((q, width), -np.inf, np.float32)
     ids[:, :entries], score[:, :entries] = np.arange(entries), queries @ points[:entries].T
-    opened = np.zeros((q, beam), bool)
-    seen = np.zeros((q, n + 1), bool)
+    opened, seen = np.zeros((q, width), bool), np.zeros((q, n + 1), bool)
     seen[:, :entries] = seen[:, n] = True
-    rows = np.arange(q)
     while len(rows):
-        waiting = np.where(opened[rows] | (ids[rows] < 0), -np.inf, score[rows])
+        _walk(points, graph, queries[rows], beam, ids, score, opened, seen)
+        order = np.argsort(-score, axis=1, kind="stable")
+        best = np.take_along_axis(score, order[:, :settle], axis=1)
+        done = np.full(len(rows), True) if not settle or 2 * beam >= n else (best == last).all(axis=1) if last is not None else np.full(len(rows), False)
+        for whole, own in zip(out, (ids, score), strict=True):
+            whole[rows[done]] = np.take_along_axis(own[done], order[done], axis=1)[:, :width]
+        rows, last, beam = rows[~done], best[~done], 2 * beam
+        grow = ((0, 0), (0, 2 * beam - ids.shape[1]))
+        ids, score = np.pad(ids[~done], grow, constant_values=-1), np.pad(score[~done], grow, constant_values=-np.inf)
+        opened, seen = np.pad(opened[~done], grow), seen[~done]
+    return out
+
+
+def _walk(points, graph, queries, beam, ids, score, opened, seen) -> None:
+    """Open the best `beam` points of each list (changed in place) until all of them are opened. The first `beam` places of a
+    list hold its best."""
+    n = len(points)
+    best = np.argpartition(-score, beam - 1, axis=1)
+    for own in (ids, score, opened):
+        own[:] = np.take_along_axis(own, best, axis=1)
+    rows = np.arange(len(queries))
+    while True:
+        waiting = np.where(opened[rows, :beam] | (ids[rows, :beam] < 0), -np.inf, score[rows, :beam])
         pick = np.argpartition(-waiting, min(AHEAD, beam) - 1, axis=1)[:, :AHEAD]
         live = np.take_along_axis(waiting, pick, axis=1) > -np.inf
         some = live.any(axis=1)
         rows, pick, live = rows[some], pick[some], live[some]
         if not len(rows):
-            break
+            return
         opened[rows[:, None], pick] |= live
         near = np.where(live[:, :, None], graph[ids[rows[:, None], pick]], -1).reshape(len(rows), -1)
         near = np.sort(np.where(near < 0, n, near), axis=1)
@@ -88,12 +112,10 @@ def beam_search(points: np.ndarray, graph: np.ndarray, queries: np.ndarray, beam
         all_score = np.concatenate([score[rows], value], axis=1)
         all_ids = np.concatenate([ids[rows], np.where(fresh, near, -1)], axis=1)
         all_open = np.concatenate([opened[rows], np.zeros(near.shape, bool)], axis=1)
-        best = np.argpartition(-all_score, beam - 1, axis=1)[:, :beam]
+        best = np.argpartition(-all_score, (beam - 1, score.shape[1] - 1), axis=1)[:, :score.shape[1]]
         ids[rows] = np.take_along_axis(all_ids, best, axis=1)
         score[rows] = np.take_along_axis(all_score, best, axis=1)
         opened[rows] = np.take_along_axis(all_open, best, axis=1)
-    order = np.argsort(-score, axis=1, kind="stable")
-    return np.take_along_axis(ids, order, axis=1), np.take_along_axis(score, order, axis=1)
 
 
 def robust_prune(points: np.ndarray, of: np.ndarray, near: np.ndarray, degree: int, alpha: float) -> np.ndarray:
@@ -181,22 +203,17 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def walk_shard(x: np.ndarray, graph: np.ndarray, queries: np.ndarray, k: int, beam: int) -> np.ndarray:
     """Points found for each query, -1 where there are fewer: the best of the whole shard where it is small against the beam,
-    else the best of a beam that is doubled until the k best products stay the same."""
-    keep = max(beam, 4 * k)
-    single = (x / np.abs(x).max()).astype(np.float32)
-    turned = (queries / np.abs(queries).max(axis=1, keepdims=True)).astype(np.float32)
+    else the best of a walk whose beam grows until the k best products stay the same."""
+    keep = max(2 * beam, 4 * k)
+    if len(x) > 4 * beam:
+        single = (x / np.abs(x).max()).astype(np.float32)
+        turned = (queries / np.abs(queries).max(axis=1, keepdims=True)).astype(np.float32)
+        return beam_search(single, graph, turned, max(beam, k), settle=k)[0]
     out = np.full((len(queries), keep), -1, np.int64)
-    rows, last = np.arange(len(queries)), np.zeros((len(queries), 0), np.float32)
-    while len(rows) and 2 * beam < len(x):
-        found, score = beam_search(single, graph, turned[rows], beam)
-        best = score[:, :k]
-        settled = (best == last).all(axis=1) if last.shape == best.shape else np.zeros(len(rows), bool)
-        out[rows[settled], :min(beam, keep)] = found[settled][:, :keep]
-        rows, last, beam = rows[~settled], best[~settled], 2 * beam
-    for start in range(0, len(rows), 64):
-        part = rows[start:start + 64]
+    for start in range(0, len(queries), 64):
+        part = slice(start, start + 64)
         score = queries[part] @ x.T
-        best = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if len(x) > keep else np.tile(np.arange(len(x)), (len(part), 1))
+        best = np.argpartition(-score, keep - 1, axis=1)[:, :keep] if len(x) > keep else np.tile(np.arange(len(x)), (len(score), 1))
         out[part, :best.shape[1]] = best
     return out
 
@@ -243,11 +260,13 @@ def build_index(points: DataFrame, degree: int = DEGREE, alpha: float = ALPHA) -
 
 
 def length_band(column: str, ratio: float = BAND) -> Column:
-    """The number of the band of a vector's length."""
-    longest = F.array_max(F.transform(column, F.abs))
-    square = F.aggregate(column, F.lit(0.0), lambda s, x: s + (x / longest) * (x / longest))
-    # half a band is added so that vectors of length one lie inside theirs
-    return F.floor((F.log(longest) + F.log(square) / 2) / float(np.log(ratio)) + 0.5).cast("int")
+    """The number of the band of a vector's length; half a band is added so that vectors of length one lie inside theirs."""
+    def number(longest: Column) -> Column:
+        square = F.aggregate(column, F.lit(0.0), lambda s, x: s + (x / longest) * (x / longest))
+        return F.floor((F.log(longest) + F.log(square) / 2) / float(np.log(ratio)) + 0.5).cast("int")
+
+    # an array of one binds the largest component, which would else be sought for every component again
+    return F.get(F.transform(F.array(F.array_max(F.transform(column, F.abs))), number), F.lit(0))
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding",
