@@ -11,12 +11,16 @@ def unknown_source() -> Column:
     return F.raise_error(F.concat(F.lit("source not in the registry: "), F.coalesce("dataset_id", F.lit("NULL")))).cast("string")
 
 
+# Fixed value: characters of an error that a manifest keeps.
+ERROR_CHARS = 200
+
+
 def mark_unreadable(manifest: DataFrame) -> DataFrame:
-    """Rows whose content could not be read leave the data set, with the error kept."""
+    """Rows whose content could not be read leave the data set, with the beginning of the error kept."""
     bad = F.col("error").isNotNull()
     return manifest.withColumns({
         "status": F.when(bad, "exclude").otherwise(F.col("status")),
-        "reason": F.when(bad, "unreadable_image").otherwise(F.col("reason")), "error_detail": F.col("error")}).drop("error")
+        "reason": F.when(bad, "unreadable_image").otherwise(F.col("reason")), "error_detail": F.left("error", F.lit(ERROR_CHARS))}).drop("error")
 
 
 def apply_quality_rules(manifest: DataFrame, datasets: DataFrame) -> DataFrame:

@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import os
 from collections import Counter
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +21,8 @@ from sievework.operators.quality import apply_quality_rules, mark_unreadable
 from sievework.registry import Dataset, choose, dataset_table
 from sievework.schema import HASHES, MANIFEST, names
 from sievework.session import cut_lineage
-from sievework.sources.archives import archive_files, read_selected, scan_members
+from sievework.sources.archives import archive_files, member_index, read_selected, readable_members
+from sievework.sources.files import described, joined
 from sievework.sources.tables import append_cache, partial_path, read_cache, write_table
 
 HASH_VERSION = "1"
@@ -54,22 +53,23 @@ def measure_texts(contents: DataFrame) -> DataFrame:
     return sized.join(prints, "key", "left").select("key", *names(HASHES))
 
 
-def list_members(spark: SparkSession, root: str, datasets: list[Dataset]) -> DataFrame:
-    """Classified image members, without reading any content."""
-    members = all_members(spark, root, datasets).filter(is_image_path(F.col("member_path")))
+def list_members(spark: SparkSession, root: str, datasets: list[Dataset], index: DataFrame | None = None) -> DataFrame:
+    """Classified image members, without reading any content; from an index of the archives where there is one."""
+    members = readable_members(archive_index(spark, root, datasets) if index is None else index).filter(is_image_path(F.col("member_path")))
     return classify_members(members, datasets).withColumn(
         "key", cache_key(F.col("archive"), F.col("member_path"), F.col("crc"), F.col("file_bytes")))
 
 
-def all_members(spark: SparkSession, root: str, datasets: list[Dataset]) -> DataFrame:
-    missing = [a.file for d in datasets for a in d.archives if not os.path.exists(os.path.join(root, a.file))]
+def archive_index(spark: SparkSession, root: str, datasets: list[Dataset]) -> DataFrame:
+    """Members of all archives of the data sets and their places, by one scan."""
+    archives = {a.file: a for d in datasets for a in d.archives}
+    missing = [a for a in archives if described(joined(root, a)) is None]
     if missing:
         raise FileNotFoundError(f"archives not found: {', '.join(missing)}")
     listed = Counter(a.file for d in datasets for a in d.archives)
     # nested archives under a skip rule stay closed, unless another data set reads the same archive by other rules
-    scans = [scan_members(spark, os.path.join(root, a.file), a.rules if listed[a.file] == 1 else (), root=root)
-             for a in {a.file: a for d in datasets for a in d.archives}.values()]
-    return reduce(DataFrame.unionByName, scans)
+    rules = {a.file: a.rules if listed[a.file] == 1 else () for a in archives.values()}
+    return member_index(spark, [joined(root, a) for a in archives], root, rules)
 
 
 def member_kinds(members: DataFrame, datasets: list[Dataset]) -> DataFrame:
@@ -85,7 +85,7 @@ def member_kinds(members: DataFrame, datasets: list[Dataset]) -> DataFrame:
 
 def archive_report(spark: SparkSession, root: str, datasets: list[Dataset]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(per archive: size, date, counts and an unmatched example; members per skip reason; members per ignored extension)."""
-    members = cut_lineage(member_kinds(all_members(spark, root, datasets), datasets))
+    members = cut_lineage(member_kinds(readable_members(archive_index(spark, root, datasets)), datasets))
     files = archive_files(spark, root, sorted({(a.file, a.downloaded) for d in datasets for a in d.archives}, key=str))
     skips = members.filter("kind = 'skipped'").groupBy("archive", "skip_reason").agg(F.count("*").alias("members"))
     return profile.archive_counts(members, files), skips, profile.ignored_extensions(members.filter("kind = 'ignored'"))
@@ -107,7 +107,9 @@ def curate(spark: SparkSession, root: str, datasets: list[Dataset], taxonomy: Da
     """One run over the archives under `root`. Only members that may be used are read and hashed, and of those
     only the ones the cache does not know. `only` names the data sets of a partial run; unknown names are refused."""
     datasets = choose(datasets, only)
-    listed = list_members(spark, root, datasets)
+    index = archive_index(spark, root, datasets)
+    index = index if list_only else cut_lineage(index)
+    listed = list_members(spark, root, datasets, index)
     empty = {c: F.lit(None).cast(t) for c, t in (part.split() for part in MANIFEST.split(", "))}
     if list_only:
         rest = {c: e for c, e in empty.items() if c not in listed.columns}
@@ -116,7 +118,7 @@ def curate(spark: SparkSession, root: str, datasets: list[Dataset], taxonomy: Da
     wanted = listed.filter(F.col("status").isin("use", "hold"))
     cache = _cache(spark, cache_path)
     todo = (wanted if cache is None else cache_misses(wanted, cache)).dropDuplicates(["key"])
-    contents = cut_lineage(read_selected(todo, root, key="key"))
+    contents = cut_lineage(read_selected(todo, root, key="key", index=index))
     lost = contents.filter(F.col("error").isNotNull()).select("key", F.col("error"))
     read = measure(contents.filter(F.col("error").isNull()).drop("error"))
     fresh = cut_lineage(read.select("key", *names(HASHES)).unionByName(lost, allowMissingColumns=True))

@@ -1,193 +1,365 @@
-"""Zip archives as a Spark source, and reading chosen members back."""
+"""Zip archives as a Spark source: an index of members by tasks, and their bytes by ranges.
+
+First the directories are read, also those of nested archives, one task for each archive file: the index has a row per
+member with the place of its bytes. Members of the outer archive, and of nested archives that are stored without
+compression, have a place in the file itself. So their bytes can be read in ranges of `slice_bytes` by as many tasks as there
+are ranges, also inside one nested archive. Members of a compressed nested archive can only be reached through its stream;
+each such archive is read by one task.
+
+Files are opened through `pyarrow.fs`, by path or by URI. Conditions on archive, path, size and checksum (`where`) are applied
+while the directories are read: archives that cannot match are no partition, and nested ones that cannot match stay closed.
+They are given with the scan and not taken from the plan: in Spark 4.1 a Python source keeps the filters that were pushed
+into it, and a second query on the same DataFrame then loses rows.
+"""
 
 from __future__ import annotations
 
-import glob
+import io
 import json
-import os
 import re
+import struct
 import zipfile
-from collections.abc import Callable, Iterator, Sequence
+import zlib
+from collections.abc import Iterator, Mapping, Sequence
 from contextlib import ExitStack
-from datetime import datetime, timezone
-from itertools import groupby
+from datetime import timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from sievework.functions.text import NESTED_MARK
 from sievework.registry import PathRule
-from sievework.schema import MEMBERS
+from sievework.schema import MEMBERS, names
+from sievework.session import SMALL_TABLE_ROWS, cut_lineage
+from sievework.sources.files import described, joined, matching, open_store
 
 SLICE_BYTES = 128 * 1024 * 1024
+PLACES = "file STRING, at BIGINT, packed BIGINT, method INT, within BIGINT, inner BIGINT, error STRING"
+ENTRIES, BATCH_BYTES, BATCH_MEMBERS = 4096, 8 << 20, 64
+UNITS = 10_000  # tasks that read ranges, at most
+SHAPE = pa.schema([("archive", pa.string()), ("member_path", pa.string()), ("crc", pa.int64()), ("size", pa.int64()), ("file", pa.string()),
+                   ("at", pa.int64()), ("packed", pa.int64()), ("method", pa.int32()), ("within", pa.int64()), ("inner", pa.int64()), ("error", pa.string())])
 
 
-class MemberSlice(InputPartition):
-    def __init__(self, path: str, archive: str, number: int, of: int):
-        self.path, self.archive, self.number, self.of = path, archive, number, of
+class ArchiveFile(InputPartition):
+    def __init__(self, file: str, archive: str):
+        self.file, self.archive = file, archive
 
 
-class ZipMembers(DataSource):
-    """`spark.read.format("zip_members")`: one row per file in the archives under `path` (a glob).
+class ZipIndex(DataSource):
+    """`spark.read.format("zip_index")`: a row per file in the archives that `paths` (a JSON list of paths or patterns) name.
 
-    Options: `content` ("true" adds the bytes), `rules` (JSON list of [pattern, is_skip] in order: a nested zip
-    whose first matching rule is a skip rule is listed as one member and not opened), `slice_bytes` (archive bytes
-    per task). Nested zips are opened one level deep as "outer.zip!/inner". Archive names are relative to `root`.
+    Options: `root` (archive names are relative to it), `rules` (JSON: archive name, or "*" for all, to a list of [pattern,
+    is_skip] in order: a nested zip whose first matching rule is a skip rule is one member and not opened), `where` (JSON list
+    of [column, kind, value], see `passes`). Nested zips are opened one level deep as "outer.zip!/inner". What cannot be
+    opened is a row with an `error`.
     """
 
     @classmethod
     def name(cls) -> str:
-        return "zip_members"
+        return "zip_index"
 
     def schema(self) -> str:
-        return MEMBERS + (", content BINARY" if self.options.get("content", "false") == "true" else "")
+        return MEMBERS + ", " + PLACES
 
     def reader(self, schema) -> DataSourceReader:
-        return ZipMemberReader(dict(self.options))
+        return ZipIndexReader(dict(self.options))
 
 
-class ZipMemberReader(DataSourceReader):
+class ZipIndexReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.pattern = options["path"]
+        self.paths = json.loads(options["paths"])
         self.root = options.get("root") or ""
-        self.content = options.get("content", "false") == "true"
-        self.rules = json.loads(options.get("rules") or "[]")
-        self.slice_bytes = int(options.get("slice_bytes") or SLICE_BYTES)
-
-    def partitions(self) -> list[MemberSlice]:
-        """Slices by file size alone: the archives' directories are read by the tasks."""
-        slices = []
-        for path in sorted(glob.glob(self.pattern)):
-            archive = os.path.relpath(path, self.root) if self.root else os.path.basename(path)
-            of = max(1, -(-os.path.getsize(path) // self.slice_bytes))
-            slices += [MemberSlice(path, archive, n, of) for n in range(of)]
-        return slices
-
-    def read(self, part: MemberSlice) -> Iterator[tuple]:
-        rules = [(re.compile(p), skip) for p, skip in self.rules]
-
-        def closed(path: str) -> bool:
-            return next((skip for p, skip in rules if p.search(path)), False)
-
-        def row(handle: zipfile.ZipFile, info: zipfile.ZipInfo, path: str, opened: bool) -> tuple:
-            head = (part.archive, path, info.CRC, info.file_size)
-            return (*head, handle.read(info) if opened else None) if self.content else head
-
-        with zipfile.ZipFile(part.path) as outer:
-            for info in _in_order(outer)[part.number::part.of]:
-                if not info.filename.lower().endswith(".zip"):
-                    yield row(outer, info, info.filename, True)
-                elif closed(info.filename):
-                    yield row(outer, info, info.filename, False)
-                else:
-                    with outer.open(info) as packed, zipfile.ZipFile(packed) as inner:
-                        for member in _in_order(inner):
-                            yield row(inner, member, info.filename + NESTED_MARK + member.filename, True)
-
-
-def _in_order(handle: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
+        self.rules = json.loads(options.get("rules") or "{}")
+        self.where = json.loads(options.get("where") or "[]")
+
+    def partitions(self) -> list[ArchiveFile]:
+        """One for each archive that can match; its directory is read by the task."""
+        archives = {}
+        for pattern in self.paths:
+            for file, _ in matching(pattern):
+                archives[file] = file[len(self.root.rstrip("/")) + 1:] if self.root else file.rpartition("/")[2]
+        kept = [ArchiveFile(f, n) for f, n in sorted(archives.items()) if passes(self.where, {"archive": n})]
+        return kept or [ArchiveFile("", "")]
+
+    def read(self, part: ArchiveFile) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for entry in self._entries(part) if part.file else ():
+            if entry[-1] is not None or passes(self.where, dict(zip(SHAPE.names, entry, strict=True))):
+                rows.append(entry)
+            if len(rows) == ENTRIES:
+                yield batch_of(rows)
+                rows = []
+        if rows:
+            yield batch_of(rows)
+
+    def _entries(self, part: ArchiveFile) -> Iterator[tuple]:
+        rules = [(re.compile(p), skip) for p, skip in self.rules.get(part.archive, self.rules.get("*", []))]
+        store, path = open_store(part.file)
+
+        def broken(member: str | None, err: Exception) -> tuple:
+            return (part.archive, member, *[None] * 2, part.file, *[None] * 5, f"{type(err).__name__}: {err}")
+
+        with ExitStack() as stack:
+            try:
+                file = stack.enter_context(store.open_input_file(path))
+                outer = stack.enter_context(zipfile.ZipFile(Window(file, 0, file.size())))
+            except (zipfile.BadZipFile, OSError) as err:
+                yield broken(None, err)
+                return
+            for info in in_order(outer):
+                shut = next((skip for p, skip in rules if p.search(info.filename)), False)
+                if not info.filename.lower().endswith(".zip") or shut:
+                    yield (part.archive, info.filename, info.CRC, info.file_size, part.file, info.header_offset, info.compress_size,
+                           info.compress_type, None, None, None)
+                elif can_hold(self.where, info.filename + NESTED_MARK):
+                    try:
+                        yield from self._nested(part, file, outer, info)
+                    except (zipfile.BadZipFile, OSError, zlib.error, NotImplementedError, RuntimeError) as err:
+                        yield broken(info.filename, err)
+
+    def _nested(self, part: ArchiveFile, file, outer: zipfile.ZipFile, info: zipfile.ZipInfo) -> Iterator[tuple]:
+        stored = info.compress_type == zipfile.ZIP_STORED and not info.flag_bits & 1
+        start = data_start(file, info.header_offset) if stored else 0
+        with (Window(file, start, info.file_size) if stored else outer.open(info)) as packed, zipfile.ZipFile(packed) as inner:
+            for m in in_order(inner):
+                place = (start + m.header_offset, m.compress_size, m.compress_type, None, None) if stored else (
+                    None, m.compress_size, m.compress_type, info.header_offset, m.header_offset)
+                yield (part.archive, info.filename + NESTED_MARK + m.filename, m.CRC, m.file_size, part.file, *place, None)
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SHAPE, strict=True)], schema=SHAPE)
+
+
+TESTS = {"=": lambda a, b: a == b, "in": lambda a, b: a in b, ">": lambda a, b: a > b, ">=": lambda a, b: a >= b, "<": lambda a, b: a < b,
+         "<=": lambda a, b: a <= b, "starts": lambda a, b: a.startswith(b), "ends": lambda a, b: a.lower().endswith(tuple(b) if isinstance(b, list) else b)}
+
+
+def passes(where: Sequence, row: Mapping) -> bool:
+    """Whether a row, of which some columns may not be known yet, meets the conditions (column, kind, value) on those that are.
+
+    Kinds: = in > >= < <= starts ends; `ends` takes one ending or a list, in lower case, and ignores the case of the path.
+    """
+    return all(TESTS[kind](row[column], value) for column, kind, value in where if column in row)
+
+
+def can_hold(where: Sequence, prefix: str) -> bool:
+    """Whether a path that begins with `prefix` can meet the conditions."""
+    for column, kind, value in where:
+        if column == "member_path" and (
+                kind == "=" and not value.startswith(prefix) or kind == "in" and not any(v.startswith(prefix) for v in value)
+                or kind == "starts" and not (value.startswith(prefix) or prefix.startswith(value))):
+            return False
+    return True
+
+
+class Window(io.RawIOBase):
+    """A part of a file as a file of its own."""
+
+    def __init__(self, file, start: int, size: int):
+        self.file, self.start, self.size, self.position = file, start, size, 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self.position
+
+    def seek(self, offset: int, whence: int = io.SEEK_SET) -> int:
+        self.position = max(0, offset + {io.SEEK_SET: 0, io.SEEK_CUR: self.position, io.SEEK_END: self.size}[whence])
+        return self.position
+
+    def read(self, size: int = -1) -> bytes:
+        left = max(0, self.size - self.position)
+        self.file.seek(self.start + self.position)
+        data = self.file.read(left if size is None or size < 0 else min(size, left))
+        self.position += len(data)
+        return data
+
+
+def in_order(handle: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
     return sorted((i for i in handle.infolist() if not i.is_dir()), key=lambda i: i.header_offset)
 
 
+def data_start(file, header: int) -> int:
+    """Where the bytes of the member begin whose local header is at `header`."""
+    file.seek(header)
+    head = file.read(30)
+    if head[:4] != b"PK\x03\x04":
+        raise zipfile.BadZipFile(f"no member at byte {header}")
+    return header + 30 + sum(struct.unpack("<HH", head[26:30]))
+
+
+def member_index(spark: SparkSession, paths: Sequence[str], root: str = "", rules: Mapping[str, Sequence[PathRule]] | None = None,
+                 where: Sequence[tuple] = ()) -> DataFrame:
+    """Members of the archives that `paths` name and that meet the conditions `where`, with their places. Rules (by archive, "*"
+    for all) only say which nested zips stay closed."""
+    spark.dataSource.register(ZipIndex)
+    unknown = [w for w in where if w[0] not in names(MEMBERS) or w[1] not in TESTS]
+    if unknown:
+        raise ValueError(f"no such condition: {unknown}")
+    listed = {a: [[r.pattern, bool(r.skip)] for r in rs] for a, rs in (rules or {}).items()}
+    return (spark.read.format("zip_index").option("paths", json.dumps(list(paths))).option("root", root).option("rules", json.dumps(listed))
+            .option("where", json.dumps([list(w) for w in where])).load())
+
+
 def scan_members(spark: SparkSession, path: str, rules: Sequence[PathRule] = (), content: bool = False, root: str = "",
-                 slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """Members of the archives under `path`. `rules` only say which nested zips stay closed; `classify_members`
-    applies them to all members."""
-    spark.dataSource.register(ZipMembers)
-    listed = json.dumps([[r.pattern, bool(r.skip)] for r in rules])
-    return (spark.read.format("zip_members").option("path", path).option("root", root)
-            .option("content", str(content).lower()).option("rules", listed)
-            .option("slice_bytes", str(slice_bytes)).load())
+                 slice_bytes: int = SLICE_BYTES, where: Sequence[tuple] = ()) -> DataFrame:
+    """Members of the archives under `path` that meet `where`, with `content` also their bytes. What cannot be read stops the job.
+
+    `classify_members` applies the rules to all members.
+    """
+    index = member_index(spark, [path], root, {"*": rules}, where)
+    if not content:
+        return readable_members(index)
+    return read_places(cut_lineage(index), names(MEMBERS), slice_bytes).filter(_readable()).drop("error")
+
+
+def readable_members(index: DataFrame) -> DataFrame:
+    """The members of an index; what could not be opened stops the job."""
+    return index.filter(_readable()).select(*names(MEMBERS))
+
+
+def _readable() -> Column:
+    stop = F.raise_error(F.concat_ws(" ", F.lit("cannot read"), "archive", "member_path", "error")).cast("boolean")
+    return F.when(F.col("error").isNotNull(), stop).otherwise(True)
 
 
 def archive_files(spark: SparkSession, root: str, files: Sequence[tuple[str, str | None]]) -> DataFrame:
     """(archive, file_bytes, modified, downloaded) of named archive files; there are as many rows as names."""
     rows = []
     for file, downloaded in files:
-        found = os.stat(os.path.join(root, file))
-        rows.append((file, found.st_size, datetime.fromtimestamp(found.st_mtime, timezone.utc).date(), downloaded))
+        found = described(joined(root, file))
+        if found is None:
+            raise FileNotFoundError(joined(root, file))
+        rows.append((file, found.size, found.mtime.astimezone(timezone.utc).date(), downloaded))
     return spark.createDataFrame(rows, "archive STRING, file_bytes BIGINT, modified DATE, downloaded STRING")
 
 
-def read_selected(rows: DataFrame, root: str, key: str = "image_id", groups: int = 32) -> DataFrame:
-    """(key, content, error) of chosen members (key, archive, member_path); a bad row never stops the job.
-
-    An archive is shared out over `groups` tasks by a hash of the member, so that one large archive, or one large
-    nested archive, is not read by one task. A task reads its members in archive order with all files left open.
-    """
-    work = rows.select(key, "archive", "member_path").withColumn("_part", F.pmod(F.xxhash64("member_path"), F.lit(groups)))
-    key_type = rows.schema[key].dataType.simpleString()
-
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with MemberReader(root) as reader:
-            for frame in frames:
-                for at in range(0, len(frame), 64):  # the bytes of at most 64 members at a time
-                    part = frame.iloc[at:at + 64]
-                    found = reader.read_all(list(zip(part["archive"], part["member_path"], strict=True)))
-                    yield pd.DataFrame({key: part[key], "content": [c for c, _ in found], "error": [e for _, e in found]})
-
-    ordered = work.repartition("archive", "_part").sortWithinPartitions("archive", "member_path")
-    return ordered.mapInPandas(read, f"{key} {key_type}, content BINARY, error STRING")
+def range_of(slice_bytes: int) -> Column:
+    """The range that reads a member: that where it starts, or its compressed nested archive as a whole."""
+    return F.coalesce(-F.col("within") - 1, F.floor(F.col("at") / slice_bytes))
 
 
-class MemberReader:
-    """Keeps the last archive and its last nested archive open: sorted members open each of them once.
+def read_places(index: DataFrame, keep: Sequence[str], slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The columns `keep` of index rows with `content` and `error`, read in ranges of `slice_bytes`.
 
-    A nested archive is read through the stream of the outer one and never held as a whole.
+    `index` is read twice and should be a written table. A bad member gives a row with an error.
     """
-
-    def __init__(self, root: str):
-        self.root = root
-        self.open: list[tuple[str, ExitStack, zipfile.ZipFile]] = []
-
-    def __enter__(self) -> MemberReader:
+    units = index.select("file", range_of(slice_bytes).alias("_range")).distinct().count()
+    dealt = index.withColumn("_range", range_of(slice_bytes)).repartition(max(1, min(units, UNITS)), "file", "_range")
+    ordered = dealt.sortWithinPartitions("file", "_range", F.coalesce("at", "inner"))
+    places = [f.name for f in SHAPE if f.name not in ("archive", "member_path")]
+    rows = ordered.select(F.struct(*keep).alias("_kept"), *places)
+    kind = rows.schema["_kept"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with PlaceReader() as reader:
+            for batch in batches:
+                start, contents, errors, held = 0, [], [], 0
+                for i, row in enumerate(batch.select(places).to_pylist(), 1):
+                    content, error = (None, row["error"]) if row["error"] is not None else reader.read(row)
+                    contents.append(content)
+                    errors.append(error)
+                    held += len(content or b"")
+                    if held > BATCH_BYTES or len(contents) == BATCH_MEMBERS or i == batch.num_rows:
+                        yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, len(contents)), pa.array(contents, pa.binary()),
+                                                          pa.array(errors, pa.string())], ["_kept", "content", "error"])
+                        start, contents, errors, held = i, [], [], 0
+
+    return rows.mapInArrow(run, f"_kept {kind}, content BINARY, error STRING").select("_kept.*", "content", "error")
+
+
+class PlaceReader:
+    """Reads members by their places. The last file and the last compressed nested archive stay open: in sorted order each is
+    opened once and its stream is read forward only."""
+
+    def __init__(self):
+        self.files, self.nested = ExitStack(), ExitStack()
+        self.file = self.inner = None
+        self.open: tuple = (None, None)
+
+    def __enter__(self) -> PlaceReader:
         return self
 
     def __exit__(self, *_) -> None:
-        self._keep(0)
-
-    def _keep(self, levels: int) -> None:
-        while len(self.open) > levels:
-            self.open.pop()[1].close()
-
-    def _level(self, depth: int, name: str, source: Callable[[ExitStack], object]) -> zipfile.ZipFile:
-        if len(self.open) > depth and self.open[depth][0] == name:
-            return self.open[depth][2]
-        self._keep(depth)
-        stack = ExitStack()
-        handle = stack.enter_context(zipfile.ZipFile(source(stack)))
-        self.open.append((name, stack, handle))
-        return handle
-
-    def read_all(self, members: list[tuple[str, str]]) -> list[tuple[bytes | None, str | None]]:
-        """Content or error of each member; those of one nested archive are read in its own order, forward only."""
-        found: dict[int, tuple[bytes | None, str | None]] = {}
-        places = [(a, m.partition(NESTED_MARK)[0], i) for i, (a, m) in enumerate(members)]
-        for _, chosen in groupby(sorted(places), key=lambda p: p[:2]):
-            rows = [p[2] for p in chosen]
-            found[rows[0]] = self.read(*members[rows[0]])
-            last = self.open[-1][2].NameToInfo if self.open else {}
-            rest = [(getattr(last.get(members[i][1].partition(NESTED_MARK)[2]), "header_offset", -1), i) for i in rows[1:]]
-            for _, i in sorted(rest):
-                found[i] = self.read(*members[i])
-        return [found[i] for i in range(len(members))]
-
-    def read(self, archive: str, member: str) -> tuple[bytes | None, str | None]:
-        path = os.path.join(self.root, archive)
-        outer_name, nested, inner_name = member.partition(NESTED_MARK)
-        if not os.path.exists(path):
-            return None, f"no such archive: {path}"
+        self.nested.close()
+        self.files.close()
+
+    def _file(self, name: str) -> None:
+        if self.open[0] != name:
+            self.nested.close()
+            self.files.close()
+            self.open = (None, None)
+            store, path = open_store(name)
+            self.file = self.files.enter_context(store.open_input_file(path))
+            self.open = (name, None)
+
+    def read(self, row: Mapping) -> tuple[bytes | None, str | None]:
         try:
-            outer = self._level(0, path, lambda _: path)
-            if outer_name not in outer.NameToInfo:
-                return None, f"{archive} has no {'nested archive' if nested else 'member'} {outer_name}"
-            if not nested:
-                return outer.read(outer_name), None
-            inner = self._level(1, outer_name, lambda stack: stack.enter_context(outer.open(outer_name)))
-            if inner_name not in inner.NameToInfo:
-                return None, f"{archive} has no member {member}"
-            return inner.read(inner_name), None
-        except (zipfile.BadZipFile, OSError, zipfile.zlib.error) as err:
+            self._file(row["file"])
+            if row["within"] is not None:
+                return self._inside(row["within"], row["inner"]), None
+            self.file.seek(data_start(self.file, row["at"]))
+            return unpacked(self.file.read(row["packed"]), row["method"], row["crc"], row["size"]), None
+        except (zipfile.BadZipFile, OSError, zlib.error, EOFError, NotImplementedError, RuntimeError, KeyError) as err:
             return None, f"{type(err).__name__}: {err}"
+
+    def _inside(self, within: int, inner: int) -> bytes:
+        if self.open[1] != within:
+            self.nested.close()
+            self.open = (self.open[0], None)
+            outer = self.nested.enter_context(zipfile.ZipFile(Window(self.file, 0, self.file.size())))
+            packed = self.nested.enter_context(outer.open(next(i for i in outer.infolist() if i.header_offset == within)))
+            handle = self.nested.enter_context(zipfile.ZipFile(packed))
+            self.inner = handle, {i.header_offset: i for i in handle.infolist()}
+            self.open = (self.open[0], within)
+        handle, infos = self.inner
+        return handle.read(infos[inner])
+
+
+def unpacked(data: bytes, method: int, crc: int, size: int) -> bytes:
+    """The bytes of a member, checked against its checksum."""
+    if method == zipfile.ZIP_DEFLATED:
+        data = zlib.decompress(data, -15)
+    elif method == zipfile.ZIP_BZIP2:
+        import bz2
+        data = bz2.decompress(data)
+    elif method != zipfile.ZIP_STORED:
+        raise NotImplementedError(f"compression method {method}")
+    if len(data) != size or zlib.crc32(data) != crc:
+        raise zipfile.BadZipFile("wrong length or checksum")
+    return data
+
+
+def read_selected(rows: DataFrame, root: str, key: str = "image_id", index: DataFrame | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """(key, content, error) of chosen members (key, archive, member_path); a bad row never stops the job.
+
+    Members are found in `index`, or in one made of the archives that the rows name (few: more than SMALL_TABLE_ROWS are
+    refused). Their bytes are read in ranges, so that a large archive, nested or not, is not read by one task.
+    """
+    spark = rows.sparkSession
+    work = rows.select(key, "archive", "member_path")
+    if index is None:
+        archives = [r[0] for r in work.select("archive").filter("archive IS NOT NULL").distinct().limit(SMALL_TABLE_ROWS + 1).collect()]
+        if len(archives) > SMALL_TABLE_ROWS:
+            raise ValueError("too many archives")
+        index = member_index(spark, [joined(root, a) for a in archives], root)
+    index = cut_lineage(index)
+    known = index.select("archive").distinct().withColumn("_known", F.lit(True))
+    # a path that occurs twice in an archive counts once, its last occurrence, as zip readers have it
+    last = index.filter("member_path IS NOT NULL").groupBy("archive", "member_path").agg(
+        F.max_by(F.struct(*names(MEMBERS + ", " + PLACES)[2:]), F.coalesce("at", "inner", F.lit(0))).alias("_place"))
+    found = work.join(known, "archive", "left").join(last, ["archive", "member_path"], "left").select("*", "_place.*").drop("_place")
+    nested = F.col("member_path").contains(NESTED_MARK)
+    missing = (F.when(F.col("_known").isNull(), F.concat(F.lit("no such archive: "), F.lit(joined(root, "")), F.coalesce("archive", F.lit("NULL"))))
+               .when(F.col("file").isNull(), F.concat(F.coalesce("archive", F.lit("NULL")), F.when(nested, " has no such member of a nested archive: ")
+                                                      .otherwise(" has no member "), F.coalesce("member_path", F.lit("NULL")))))
+    placed = found.withColumn("error", F.coalesce("error", missing)).drop("_known")
+    return read_places(cut_lineage(placed), [key], slice_bytes)

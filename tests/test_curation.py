@@ -196,8 +196,8 @@ def test_chosen_members_and_errors(spark, shelf):
               ("nested", "south.zip", "south/none.zip!/x.webp"), ("deep", "south.zip", "south/open/verses.zip!/none.webp"),
               ("bad", "north.zip", "north/notes.txt!/x"), ("archive", "west.zip", "x")]
     rows = spark.createDataFrame(wanted, "image_id STRING, archive STRING, member_path STRING")
-    for groups in (1, 8):
-        got = {r.image_id: r for r in read_selected(rows, shelf, groups=groups).collect()}
+    for slice_bytes in (100, 1 << 27):
+        got = {r.image_id: r for r in read_selected(rows, shelf, slice_bytes=slice_bytes).collect()}
         assert bytes(got["plain"].content) == b"notes" and bytes(got["inner"].content) == poem(9).encode()
         assert bytes(got["twice"].content) == poem(2, changed=1).encode()
         assert all(got[k].content is None and got[k].error for k in ("member", "nested", "deep", "bad", "archive"))
