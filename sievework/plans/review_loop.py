@@ -11,7 +11,9 @@ from sievework.operators.overrides import upsert_decisions
 from sievework.operators.review import CROP_ALIASES, FormError, blank_form, check_form, import_form
 from sievework.operators.sampling import audit_sample
 from sievework.schema import FORM, OVERRIDES
-from sievework.sources.tables import append_history, read_table, replace_table, table_exists, write_table
+from sievework.session import cut_lineage
+from sievework.sources.tables import read_table, table_exists, write_table
+from sievework.sources.versions import State, VersionedTables
 
 
 def audit_form(manifest: DataFrame, version: str, per_group: int, exceptions: Mapping[tuple[str, str], int], seed: int | str) -> DataFrame:
@@ -33,16 +35,17 @@ def write_form(form: DataFrame, path: str, force: bool = False, fmt: str = "csv"
 
 
 def import_review(form: DataFrame, manifest: DataFrame, taxonomy: DataFrame, version: str, form_name: str, decided_by: str,
-                  decisions_path: str, history_path: str, decided_at: Column | None = None,
-                  aliases: Mapping[str, str] = CROP_ALIASES) -> DataFrame:
+                  tables: VersionedTables, decided_at: Column | None = None, aliases: Mapping[str, str] = CROP_ALIASES) -> DataFrame:
     """Validate a filled form, put its decisions into the current ones, in the order of reason and id, and add them to
-    the history. A form with a fault changes nothing. Returns the decisions of the form."""
-    spark = form.sparkSession
-    fresh = import_form(check_form(form, manifest, taxonomy, version, aliases), form_name, decided_by, decided_at)
-    if table_exists(spark, decisions_path):
-        current = read_table(spark, decisions_path, OVERRIDES)
-    else:
-        current = spark.createDataFrame([], OVERRIDES)
-    replace_table(upsert_decisions(current, fresh).orderBy("reason", "image_id"), decisions_path)
-    append_history(fresh, history_path)
+    the history. A form with a fault changes nothing, and a run that stops halfway changes neither table. Returns the
+    decisions of the form."""
+    fresh = cut_lineage(import_form(check_form(form, manifest, taxonomy, version, aliases), form_name, decided_by, decided_at))
+    put_decisions(tables, fresh)
     return fresh
+
+
+def put_decisions(tables: VersionedTables, fresh: DataFrame, layout: str = OVERRIDES, seq: str = "decided_at") -> State:
+    """The version of `decisions` and `history` with new decisions in both. `fresh` is read twice."""
+    base = tables.state()
+    current = upsert_decisions(tables.read("decisions", layout, base), fresh, seq)
+    return tables.change(base, {"decisions": current.orderBy("reason", "image_id")}, {"history": fresh})

@@ -5,7 +5,11 @@ from pyspark.sql import functions as F
 from sievework.operators import overrides, review
 from sievework.plans.catalogue import query
 from sievework.plans.items import FINGERPRINTS_SQL, ITEMS_SQL, items, table, taxonomy
+from sievework.plans.review_loop import put_decisions
 from sievework.plans.staged import DECISIONS_SQL, STAGED_SQL, decisions, staged
+from sievework.schema import OVERRIDES
+from sievework.session import cut_lineage, shared_path
+from sievework.sources.versions import VersionedTables
 
 VERSION = "v1"
 TAXONOMY_SQL = """
@@ -25,6 +29,20 @@ def latest_decisions(spark, sf_dir):
         "image_id", "action", "class_id", "reason", "decided_at", "seq")
 
 
+@query("WITH " + DECISIONS_SQL + """, last AS (
+  SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY seq % 3 DESC, seq DESC) AS rn, count(*) OVER (PARTITION BY image_id) AS n FROM decisions)
+SELECT image_id, action, class_id, reason, seq, n AS in_history, 3 AS version FROM last WHERE rn = 1""")
+def versioned_decisions(spark, sf_dir):
+    """The decisions in three imports, each one change of the current decisions and the history together."""
+    store = VersionedTables(spark, shared_path(spark, "versions-"))
+    rows = cut_lineage(decisions(spark, sf_dir))
+    for part in range(3):
+        state = put_decisions(store, rows.filter(F.col("seq") % 3 == part), OVERRIDES + ", seq BIGINT", "seq")
+    history = store.read("history", OVERRIDES + ", seq BIGINT", state).groupBy("image_id").agg(F.count("*").alias("in_history"))
+    current = store.read("decisions", OVERRIDES + ", seq BIGINT", state)
+    return current.join(history, "image_id").select("image_id", "action", "class_id", "reason", "seq", "in_history", F.lit(state.version).alias("version"))
+
+
 @query("WITH " + STAGED_SQL + " SELECT image_id, status, reason, class_id FROM staged")
 def decided_manifest(spark, sf_dir):
     return staged(spark, sf_dir).select("image_id", "status", "reason", "class_id")

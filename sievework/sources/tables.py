@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from sievework.operators.incremental import FIRST_VERSION, current_cache
 from sievework.schema import FEATURES, HASH_CACHE, SPLITS, TAXONOMY, names
-from sievework.session import cut_lineage
 
 
 def read_table(spark: SparkSession, path: str, layout: str, fmt: str = "parquet") -> DataFrame:
@@ -68,12 +67,3 @@ def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
 def adopt_unversioned_cache(rows: DataFrame, path: str) -> None:
     """Move a cache from before versioning to this layout, as version 1."""
     append_cache(rows, path, FIRST_VERSION)
-
-
-def append_history(decisions: DataFrame, path: str) -> None:
-    decisions.write.mode("append").parquet(path)
-
-
-def replace_table(df: DataFrame, path: str) -> None:
-    """Overwrite a table that `df` may itself read: the rows are written elsewhere first."""
-    cut_lineage(df).write.mode("overwrite").parquet(path)

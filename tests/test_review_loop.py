@@ -11,6 +11,7 @@ from sievework.plans import review_loop
 from sievework.schema import FORM, OVERRIDES, TAXONOMY
 from sievework.session import cut_lineage, scratch
 from sievework.sources import tables
+from sievework.sources.versions import VersionedTables
 
 MANIFEST = "image_id STRING, dataset_id STRING, crop STRING, source_label STRING, class_id STRING, status STRING"
 ROWS = [(f"i{n}", "b" if n < 4 else "a", "verse" if n % 2 else "song", "l", "VERSE_CALM", "use") for n in range(8)] + [("h", "a", "verse", "l", None, "hold")]
@@ -46,20 +47,20 @@ def test_write_guard_and_order(spark, manifest, tmp_path):
 
 
 def test_import_is_all_or_none_and_keeps_a_history(spark, manifest, taxonomy, tmp_path):
-    decisions, history = str(tmp_path / "decisions"), str(tmp_path / "history")
+    store = VersionedTables(spark, str(tmp_path / "store"))
 
     def load(answers, name, day):
-        return review_loop.import_review(filled(spark, answers), manifest, taxonomy, "v1", name, "expert", decisions, history,
-                                         F.lit(datetime.datetime(2024, 1, day)), aliases={"song": "song"})
+        return review_loop.import_review(filled(spark, answers), manifest, taxonomy, "v1", name, "expert", store, F.lit(datetime.datetime(2024, 1, day)), aliases={"song": "song"})
 
     load([("i1", "wrong", "VERSE_STORM"), ("i3", "unusable", None), ("i5", "", None), ("i2", "label", "ANY_OTHER")], "first", 1)
     with pytest.raises(FormError, match="2 faults"):
         load([("i7", "unsure", None), ("i1", "wrong", "SONG_LOUD"), ("i0", "wrong", None)], "second", 2)
     load([("i1", "unsure", None)], "third", 3)
-    rows = tables.read_table(spark, decisions, OVERRIDES).collect()
+    rows = store.read("decisions", OVERRIDES).collect()
+    assert store.state().version == 2
     assert [(r.image_id, r.action, r.class_id, r.reason) for r in rows] == [
         ("i2", "use", "ANY_OTHER", "expert_label:first"), ("i1", "hold", None, "expert_unsure:third"), ("i3", "exclude", None, "expert_unusable:first")]
-    kept = tables.read_table(spark, history, OVERRIDES).collect()
+    kept = store.read("history", OVERRIDES).collect()
     assert sorted((r.image_id, r.decided_at.day) for r in kept) == [("i1", 1), ("i1", 3), ("i2", 1), ("i3", 1)]
 
 
