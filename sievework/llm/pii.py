@@ -457,7 +457,7 @@ def with_written_forms(pool: list[tuple[str, list[Span]]], rng: np.random.Genera
 
 def fit_tagger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> Tagger | None:
     """A tagger fitted on at most `sample_rows` documents with digits or an at sign, and as many of all documents, the
-    first by a hash of the id; None if there are no texts."""
+    first by a hash of the id; None if there are no texts. An id gives one text, and a text SNIPPETS + 1 snippets at most."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL AND length(text) > 0")
     order = [F.xxhash64("id"), F.col("id")]
@@ -474,7 +474,8 @@ def fit_tagger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()),
                                               pa.array([o[1] for o in out], pa.list_(pa.int64()))], ["piece", "spans"])
 
-    found = rows.join(chosen, "id").mapInArrow(run, "piece STRING, spans ARRAY<BIGINT>").collect()
+    one = rows.join(chosen, "id").groupBy("id").agg(F.min("text").alias("text"))
+    found = one.mapInArrow(run, "piece STRING, spans ARRAY<BIGINT>").collect()
     pool = sorted({(r.piece, tuple(zip(*[iter(r.spans)] * 3, strict=True))) for r in found})
     if not pool:
         return None

@@ -7,9 +7,10 @@ of a gapless range. A shard is a range of slots and a file: record i lies at byt
 from front to back and resumes at any slot by a division. Rows travel to their shard in packed groups, and a shard is
 filled in place without sorting.
 
-Null texts count as empty and give one sequence with the end id. Rows without an id are written with the id -1.
-Repeated rows are written as often as they occur. Extra columns are not read. An empty table writes no file. The same
-written numbering and key give the same files, so a repeated task replaces its file by an equal one.
+Null texts count as empty and give one sequence with the end id. Rows without an id are marked as such in the record and
+read back without one; ids that are no integers are refused. Repeated rows are written as often as they occur. Very long
+texts are cut into sequences like others; a task holds the ids of one text. Extra columns are not read. An empty table writes
+no file. The same written numbering and key give the same files, so a repeated task replaces its file by an equal one.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from sievework.llm.warc import open_folder
 from sievework.session import shared_folder
 
 ROUNDS = 6
+# The top bit of start marks a record without an id.
 HEAD = np.dtype([("doc_id", "<i8"), ("start", "<u4"), ("length", "<u2")])
+NO_ID = 1 << 31
 ZSTD_LEVEL = 9
 GROUP_BYTES = 16 << 20
 
@@ -73,9 +76,12 @@ def _encoder(rank_file: str, pattern: str):
 
 def write_tokens(docs: DataFrame, folder: str, rank_file: str, pattern: str, end_id: int, seq_len: int,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Groups of documents: their ids, sizes and tokens, packed, and the place of their sequences: part, and number
-    of the first within the part."""
+    """Groups of documents: their ids, sizes (negative for a document without an id) and tokens, packed, and the place of their
+    sequences: part, and number of the first within the part."""
     spark = docs.sparkSession
+    kind = dict(docs.select(id_col).dtypes)[id_col]
+    if kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"ids in training order must be integers, and {id_col} is {kind}")
     bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +94,8 @@ def write_tokens(docs: DataFrame, folder: str, rank_file: str, pattern: str, end
 
         def group() -> pa.RecordBatch:
             size = np.array([len(i) for i in ids], "<i8")
-            columns = (np.array(documents, "<i8").tobytes(), size.tobytes(), pack.compress(np.concatenate(ids).tobytes()))
+            signed = np.where([d is None for d in documents], -size, size)
+            columns = (np.array([d or 0 for d in documents], "<i8").tobytes(), signed.tobytes(), pack.compress(np.concatenate(ids).tobytes()))
             return pa.RecordBatch.from_arrays(
                 [*(pa.array([c], pa.binary()) for c in columns), pa.array([part], pa.int32()), pa.array([done], pa.int64()),
                  pa.array([int((-(-size // seq_len)).sum())], pa.int64())], ["documents", "sizes", "ids", "part", "first", "sequences"])
@@ -106,7 +113,7 @@ def write_tokens(docs: DataFrame, folder: str, rank_file: str, pattern: str, end
         if ids:
             yield group()
 
-    rows = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(-1)), F.coalesce(text_col, F.lit("")).alias("_t"))
+    rows = docs.select(F.col(id_col).cast("bigint"), F.coalesce(text_col, F.lit("")).alias("_t"))
     tokens = rows.mapInArrow(run, "documents BINARY, sizes BINARY, ids BINARY, part INT, first BIGINT, sequences BIGINT")
     tokens.write.option("compression", "uncompressed").parquet(folder)
     return spark.read.parquet(folder)
@@ -132,18 +139,20 @@ def write_shards(docs: DataFrame, folder: str, rank_file: str, pattern: str, end
         pack, unpack = zstandard.ZstdCompressor(level=ZSTD_LEVEL), zstandard.ZstdDecompressor()
         for batch in batches:
             for documents, sizes, ids, first in zip(*batch.columns, strict=True):
-                documents, size = np.frombuffer(documents.as_buffer(), "<i8"), np.frombuffer(sizes.as_buffer(), "<i8")
+                documents, signed = np.frombuffer(documents.as_buffer(), "<i8"), np.frombuffer(sizes.as_buffer(), "<i8")
+                size = np.abs(signed)
                 ids = np.frombuffer(unpack.decompress(ids.as_buffer()), "<u2")
                 count = -(-size // seq_len)
                 doc = np.repeat(np.arange(len(size)), count)
                 start = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * seq_len
                 length = np.minimum(size[doc] - start, seq_len)
                 at = np.repeat(np.cumsum(size) - size, count) + start
+                marked = start | (signed[doc] < 0) * NO_ID
                 slot = permute(first.as_py() + np.arange(len(doc)), total, key)
                 order = np.argsort(slot)
                 out = []
                 for part in np.split(order, np.flatnonzero(np.diff(slot[order] // shard_rows)) + 1):
-                    body = [(slot[part] % shard_rows).astype("<u4"), documents[doc[part]], start[part].astype("<u4"), length[part].astype("<u2"),
+                    body = [(slot[part] % shard_rows).astype("<u4"), documents[doc[part]], marked[part].astype("<u4"), length[part].astype("<u2"),
                             *(ids[a:a + n] for a, n in zip(at[part].tolist(), length[part].tolist(), strict=True))]
                     out.append((int(slot[part[0]] // shard_rows), len(part), pack.compress(b"".join([b.tobytes() for b in body]))))
                 shard, rows, body = zip(*out, strict=True)
@@ -246,7 +255,8 @@ class ShardReader(DataSourceReader):
                 length = rows["head"]["length"].astype(np.int64)
                 crc = [zlib.crc32(ids[:n].astype("<u4").tobytes()) for ids, n in zip(rows["ids"], length.tolist(), strict=True)]
                 columns = [pa.array(part.shard * self.shard_rows + at + np.arange(len(rows))), pa.array(np.full(len(rows), part.shard)),
-                           pa.array(rows["head"]["doc_id"]), pa.array(rows["head"]["start"].astype(np.int64)), pa.array(length), pa.array(crc, pa.int64())]
+                           pa.array(rows["head"]["doc_id"], mask=rows["head"]["start"] >= NO_ID),
+                           pa.array(rows["head"]["start"].astype(np.int64) % NO_ID), pa.array(length), pa.array(crc, pa.int64())]
                 names = ["slot", "shard", "doc_id", "start", "length", "ids_crc32"]
                 if self.ids:
                     columns.append(pa.array([i[:n].astype(np.int32) for i, n in zip(rows["ids"], length.tolist(), strict=True)], pa.list_(pa.int32())))

@@ -175,3 +175,12 @@ def test_query_and_odd_rows(spark, sf_dir, fitted):
 
 def test_mask():
     assert pii.mask("abcdefgh", [(1, 1, 4), (2, 3, 6), (0, 7, 8)]) == "a<ip>g<email>"
+
+
+def test_sample_is_bounded_by_ids(spark):
+    """An id that holds most rows gives one text to the sample, the smallest, so its other rows change nothing."""
+    rows = [(i, f"Write to mail{i}@site{i}.example.org or call +49 30 {1000000 + i} about item {i}") for i in range(60)]
+    one = pii.fit_tagger(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"))
+    more = pii.fit_tagger(spark.createDataFrame(rows + [(7, f"{rows[7][1]} and more of it, part {k}") for k in range(300)], "doc_id BIGINT, text STRING"))
+    text = "Reach me at ann@site.org please"
+    assert one.all_spans([text]) == more.all_spans([text])

@@ -8,6 +8,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 import tiktoken
 
 from sievework.llm import training_order as order
@@ -63,14 +64,18 @@ def test_documents(spark, sf_dir, tmp_path):
 
 
 def test_odd_rows(spark, tmp_path):
-    docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (None, "x", 0), (4, "la " * 40, 0), (4, "la " * 40, 0)],
+    docs = spark.createDataFrame([(1, None, 0), (2, "", 0), (None, "x", 0), (-1, "y", 0), (4, "la " * 40, 0), (4, "la " * 40, 0)],
                                  "doc_id BIGINT, text STRING, slot INT")
     folder = str(tmp_path / "s")
     write(docs, folder)
     rows = order.read_shards(spark, folder, 16, 50, ids=True).collect()
     encode = library_ids()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
-    assert sorted(r.ids for r in rows if r.doc_id in (1, 2, -1)) == sorted([encode(""), encode(""), encode("x")])
+    assert sorted(r.ids for r in rows if r.doc_id in (1, 2)) == [encode("")] * 2
+    assert [r.ids for r in rows if r.doc_id is None] == [encode("x")] and [r.ids for r in rows if r.doc_id == -1] == [encode("y")]
+    assert sorted(r.start for r in rows if r.doc_id is None or r.doc_id < 4) == [0] * 4
+    with pytest.raises(TypeError, match="doc_id is string"):
+        write(docs.withColumn("doc_id", F.lit("a")), str(tmp_path / "t"))
     parts = encode("la " * 40)
     want = [parts[i:i + 16] for i in range(0, len(parts), 16)]
     assert sorted(r.ids for r in rows if r.doc_id == 4) == sorted(want * 2)
