@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import NESTED_MARK, normalise_label, outer_path, stable_id, to_java_pattern
+from sievework.operators.rule_index import NO_RULE, match_indexed
 from sievework.registry import DROP, REVIEW, Dataset, PathRule, class_map_table, severity_table
 from sievework.session import first_true
 
-NO_RULE = -1
+# More rules than this are not made into one expression but matched through an index of their literals.
+CHAIN_RULES = 100
 
 
 def captured(path: Column, number: Column, rules: Sequence[PathRule], group: str) -> Column:
@@ -64,7 +66,10 @@ def apply_rules(members: DataFrame, rules: Sequence[PathRule], path_col: str = "
 
 def apply_archive_rules(members: DataFrame, datasets: Sequence[Dataset]) -> DataFrame:
     """`apply_rules` for members of many archives in one pass, each under the rules of its own archive."""
-    return _with_rule(members, [(a.file, r) for d in datasets for a in d.archives for r in a.rules], "member_path")
+    placed = [(a.file, r) for d in datasets for a in d.archives for r in a.rules]
+    if len(placed) > CHAIN_RULES:
+        return match_indexed(members, placed).drop("rule_tries")
+    return _with_rule(members, placed, "member_path")
 
 
 def match_rule_table(members: DataFrame, rules: DataFrame, key: str, path_col: str = "member_path") -> DataFrame:

@@ -6,6 +6,7 @@ from sievework.functions import fingerprints as fp
 from sievework.functions import text as tx
 from sievework.operators.classify import classify_members, match_rule_table, skipped_members
 from sievework.operators.scoring import input_error
+from sievework.operators.rule_index import match_indexed
 from sievework.plans.catalogue import query
 from sievework.plans.items import FINGERPRINTS_SQL, ITEMS_SQL, items, table
 from sievework.plans.staged import STAGED_SQL, staged
@@ -74,6 +75,17 @@ def match_page_rule_table(spark, sf_dir):
     return match_rule_table(pages, rules, "page_id").select("page_id", "rule.ordinal", "rule.exclude")
 
 
+@query("WITH " + PAGE_SQL + """ SELECT page_id, CASE WHEN rule_no >= 0 THEN rule_no END AS ordinal,
+  CASE rule_no WHEN 1 THEN 'tracking_copy' END AS exclude, true AS few_tries FROM rules""")
+def match_page_rules_indexed(spark, sf_dir):
+    """The page rules behind 2,000 others that no page meets: no page tries more patterns than there are page rules."""
+    others = [(None, PathRule(f"/shelf-{i:04d}/(?P<label>[^/]+)/")) for i in range(2000)]
+    pages = match_indexed(page_members(spark, sf_dir), [*others, *[(None, r) for r in PAGE_RULES]])
+    number = F.col("rule_no") - len(others)
+    return pages.select(F.col("crc").alias("page_id"), F.when(number >= 0, number).alias("ordinal"), F.col("rule_exclude").alias("exclude"),
+                        (F.col("rule_tries") <= len(PAGE_RULES)).alias("few_tries"))
+
+
 @query(r"""SELECT p_partkey, regexp_replace(trim(regexp_replace(lower(p_name || '(' || p_type || ')_Test_valid'),
   '[^0-9a-z]+', '_', 'g'), '_'), '(_valid|_test)+$', '') AS label FROM part""")
 def normalise_labels(spark, sf_dir):
