@@ -4,16 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import extension
 from sievework.operators.quantiles import ORDER, exact_quantiles
+from sievework.session import cut_lineage
 
 STATUSES = ["use", "hold", "exclude"]
 TOTAL = "Total"
 
 
+# What the sections of the report group by, and the column of counted rows.
+REPORT_KEYS = ["dataset_id", "crop", "class_id", "source_label", "status", "reason"]
+COUNTED = "_n"
+
+
+def count_items(manifest: DataFrame) -> DataFrame:
+    """How many items share all of REPORT_KEYS. Written once, this small table is all that the sections of a report need:
+    each of them takes a manifest or counted rows, so a report reads the manifest once."""
+    return cut_lineage(manifest.groupBy(*REPORT_KEYS).agg(F.count("*").alias(COUNTED)))
+
+
+def _items(df: DataFrame, where: Column | None = None) -> Column:
+    """The number of items in a group of rows, or of counted rows."""
+    if COUNTED not in df.columns:
+        return F.count("*") if where is None else F.count_if(where)
+    return F.coalesce(F.sum(COUNTED if where is None else F.when(where, F.col(COUNTED))), F.lit(0).cast("bigint"))
+
+
 def active(manifest: DataFrame) -> DataFrame:
     return manifest.filter(F.col("status").isin("use", "hold"))
 
@@ -21,18 +40,18 @@ def active(manifest: DataFrame) -> DataFrame:
 def status_by_dataset(manifest: DataFrame) -> DataFrame:
     """use / hold / exclude / total per dataset, with a grand-total row."""
     counted = manifest.rollup("dataset_id").agg(
-        *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES], F.count("*").alias("total"),
+        *[_items(manifest, F.col("status") == s).alias(s) for s in STATUSES], _items(manifest).alias("total"),
         F.grouping("dataset_id").alias("_g"))
     return counted.withColumn("dataset_id", F.when(F.col("_g") == 1, TOTAL).otherwise(F.col("dataset_id"))).drop("_g")
 
 
 def status_totals(manifest: DataFrame) -> DataFrame:
-    return manifest.groupBy("status").agg(F.count("*").alias("items"))
+    return manifest.groupBy("status").agg(_items(manifest).alias("items"))
 
 
 def usable_by_class(manifest: DataFrame) -> DataFrame:
     """Usable rows per class with 'source (n)' in descending order of n, then by name."""
-    per_source = manifest.filter(F.col("status") == "use").groupBy("class_id", "dataset_id").agg(F.count("*").alias("n"))
+    per_source = manifest.filter(F.col("status") == "use").groupBy("class_id", "dataset_id").agg(_items(manifest).alias("n"))
     listed = F.transform(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), F.col("dataset_id").alias("d")))),
                          lambda x: F.format_string("%s (%d)", x["d"], -x["m"]))
     return per_source.groupBy("class_id").agg(F.sum("n").alias("items"), F.concat_ws(", ", listed).alias("sources"))
@@ -40,18 +59,18 @@ def usable_by_class(manifest: DataFrame) -> DataFrame:
 
 def held_items(manifest: DataFrame) -> DataFrame:
     held = manifest.filter(F.col("status") == "hold")
-    return held.groupBy("dataset_id", "source_label", "reason").agg(F.count("*").alias("items"))
+    return held.groupBy("dataset_id", "source_label", "reason").agg(_items(held).alias("items"))
 
 
 def exclusion_reasons(manifest: DataFrame) -> DataFrame:
     out = manifest.filter(F.col("status") == "exclude")
-    return out.groupBy("reason").agg(F.count("*").alias("items")).orderBy(F.desc("items"), "reason")
+    return out.groupBy("reason").agg(_items(out).alias("items")).orderBy(F.desc("items"), "reason")
 
 
 def count_matrix(df: DataFrame, rows: str, columns: str, values: Sequence[str]) -> DataFrame:
     """Count per row key and listed column value, 0 where there is none. A value that is not listed stops the run."""
     other = F.min(F.when(~F.coalesce(F.col(columns).isin(list(values)), F.lit(False)), F.coalesce(F.col(columns).cast("string"), F.lit("NULL"))))
-    counted = df.groupBy(rows).agg(*[F.count_if(F.col(columns) == v).alias(v) for v in values], other.alias("_other"))
+    counted = df.groupBy(rows).agg(*[_items(df, F.col(columns) == v).alias(v) for v in values], other.alias("_other"))
     stop = F.raise_error(F.concat(F.lit(f"value of {columns} without a column: "), F.col("_other"))).cast("bigint")
     return counted.withColumns({v: F.when(F.col("_other").isNotNull(), stop).otherwise(F.col(v)) for v in values}).drop("_other")
 
@@ -90,12 +109,12 @@ def ignored_extensions(members: DataFrame, path_col: str = "member_path") -> Dat
 
 def unmapped_labels(manifest: DataFrame) -> DataFrame:
     rows = manifest.filter(F.col("reason") == "label_not_in_class_map")
-    return rows.groupBy("dataset_id", "source_label").agg(F.count("*").alias("items"))
+    return rows.groupBy("dataset_id", "source_label").agg(_items(rows).alias("items"))
 
 
 def imbalance(manifest: DataFrame) -> DataFrame:
     """Per crop: number of classes, smallest and largest class, and their ratio."""
-    per_class = manifest.filter(F.col("status") == "use").groupBy("crop", "class_id").agg(F.count("*").alias("n"))
+    per_class = manifest.filter(F.col("status") == "use").groupBy("crop", "class_id").agg(_items(manifest).alias("n"))
     spread = per_class.groupBy("crop").agg(
         F.count("*").alias("classes"), F.min("n").alias("smallest"), F.max("n").alias("largest"))
     return spread.withColumn("imbalance_ratio", F.bround(F.col("largest") / F.col("smallest"), 1))
@@ -103,13 +122,13 @@ def imbalance(manifest: DataFrame) -> DataFrame:
 
 def dominance(manifest: DataFrame) -> DataFrame:
     """Largest share of a class that comes from one source."""
-    per_source = manifest.filter(F.col("status") == "use").groupBy("class_id", "dataset_id").agg(F.count("*").alias("n"))
+    per_source = manifest.filter(F.col("status") == "use").groupBy("class_id", "dataset_id").agg(_items(manifest).alias("n"))
     return per_source.groupBy("class_id").agg(F.bround(F.max("n") / F.sum("n"), 2).alias("largest_source_share"))
 
 
 def majority_share(df: DataFrame, scope: str, label: str) -> DataFrame:
     """Chance level: share of the most frequent label within each scope."""
-    counts = df.groupBy(scope, label).agg(F.count("*").alias("n"))
+    counts = df.groupBy(scope, label).agg(_items(df).alias("n"))
     return counts.groupBy(scope).agg(F.bround(F.max("n") / F.sum("n"), 4).alias("majority_share"))
 
 

@@ -1,5 +1,8 @@
 """Counts over the manifest read from the given tables."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievework.functions.text import is_image_path
@@ -57,6 +60,41 @@ def exclusion_matrix(spark, sf_dir):
     return profile.count_matrix(out, "dataset_id", "reason", REASONS)
 
 
+def _section(name: str, df, key: str, value: str):
+    return df.select(F.lit(name).alias("section"), F.coalesce(F.col(key).cast("string"), F.lit("-")).alias("key"), F.col(value).cast("double").alias("value"))
+
+
+@query(WITH_STAGED + """, use AS (SELECT * FROM staged WHERE status = 'use'),
+pairs AS (SELECT class_id, dataset_id, count(*) AS n FROM use GROUP BY 1, 2), crops AS (SELECT crop, class_id, count(*) AS n FROM use GROUP BY 1, 2),
+s AS (
+  SELECT 'status' AS section, status AS key, count(*)::DOUBLE AS value FROM staged GROUP BY 2
+  UNION ALL SELECT 'usable', class_id, count(*) FROM use GROUP BY 2
+  UNION ALL SELECT 'dominance', class_id, round_even(max(n) / sum(n), 2) FROM pairs GROUP BY 2
+  UNION ALL SELECT 'classes', class_id, count(*) FROM use GROUP BY 2
+  UNION ALL SELECT 'imbalance', crop, round_even(max(n) / min(n), 1) FROM crops GROUP BY 2
+  UNION ALL SELECT 'majority', crop, round_even(max(n) / sum(n), 4) FROM crops GROUP BY 2
+  UNION ALL SELECT 'excluded', reason, count(*) FROM staged WHERE status = 'exclude' GROUP BY 2
+  UNION ALL SELECT 'held', dataset_id || '/' || source_label, count(*) FROM staged WHERE status = 'hold' GROUP BY 2
+  UNION ALL SELECT 'totals', coalesce(dataset_id, 'Total'), count(*) FROM staged GROUP BY ROLLUP (dataset_id)
+  UNION ALL SELECT 'two_classes', dataset_id, count(DISTINCT class_id) FROM use GROUP BY 2 HAVING count(DISTINCT class_id) >= 2)
+SELECT section, coalesce(key, '-') AS key, value FROM s""")
+def report_sections(spark, sf_dir):
+    """Ten sections of the report from one table of counts: the manifest, and so the text, is read once."""
+    counts = profile.count_items(staged(spark, sf_dir))
+    use = counts.filter("status = 'use'")
+    held = profile.held_items(counts).groupBy(F.concat_ws("/", "dataset_id", "source_label").alias("k")).agg(F.sum("items").alias("items"))
+    return reduce(DataFrame.union, [
+        _section("status", profile.status_totals(counts), "status", "items"),
+        _section("usable", profile.usable_by_class(counts), "class_id", "items"),
+        _section("dominance", profile.dominance(counts), "class_id", "largest_source_share"),
+        _section("classes", profile.class_by_dataset(counts, SOURCES), "class_id", "total"),
+        _section("imbalance", profile.imbalance(counts), "crop", "imbalance_ratio"),
+        _section("majority", profile.majority_share(use, "crop", "class_id"), "crop", "majority_share"),
+        _section("excluded", profile.exclusion_reasons(counts), "reason", "items"), _section("held", held, "k", "items"),
+        _section("totals", profile.status_by_dataset(counts), "dataset_id", "total"),
+        _section("two_classes", profile.scopes_with_labels(use, "dataset_id", "class_id"), "dataset_id", "labels")])
+
+
 @query("WITH " + PAGE_SQL + """ SELECT 'pages' AS archive, 'rule 0' AS skip_reason, count(*) AS members FROM rules WHERE rule_no = 0 GROUP BY 1, 2""")
 def skip_reasons(spark, sf_dir):
     pages = apply_rules(page_members(spark, sf_dir), PAGE_RULES).filter(F.col("rule_skip").isNotNull())
