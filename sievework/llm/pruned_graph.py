@@ -1,7 +1,7 @@
 """Nearest neighbours by largest inner product, over robust-pruned directed graphs.
 
 Distinct vectors are dealt to bands by dimension and length, a band's longest vector being BAND times its shortest, and
-the vectors of a band to shards of about `shard_rows` (a quarter of the table within bounds). A shard's graph joins directions: vectors are scaled to length one
+the vectors of a band to shards of about `shard_rows` (a third of the table within bounds). A shard's graph joins directions: vectors are scaled to length one
 and inserted in batches; a greedy search over the graph so far proposes neighbours, and relaxed pruning keeps a
 neighbour only if no kept one is closer to it by the factor `alpha`. Back edges are added and pruned the same way. Inside a
 band the lengths are alike, so that walks over directions lead to the largest products, whatever the lengths in the table.
@@ -34,7 +34,7 @@ from sievework.session import cut_lineage
 DEGREE, ALPHA, BUILD_BEAM, BEAM = 32, 1.2, 96, 64
 BAND = 1.25
 ENTRIES = 8
-# A shard holds a quarter of the vectors, but not fewer and not more than this: fewer shards are fewer walks.
+# A shard holds a third of the vectors, but not fewer and not more than this: fewer shards are fewer walks.
 SHARD_ROWS, MOST_ROWS = 8192, 65536
 QUERY_BLOCK = 2048
 AHEAD = 4
@@ -282,7 +282,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
     few = keyed.withColumn("_rn", place).filter(F.col("_rn") <= k + 1)
     points = few.groupBy("vkey").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("id")).alias("ids"))
     points = cut_lineage(points.select("*", F.size("v").alias("d"), length_band("v").alias("band")))
-    shard_rows = shard_rows or min(MOST_ROWS, max(SHARD_ROWS, points.count() // 4))
+    shard_rows = shard_rows or min(MOST_ROWS, max(SHARD_ROWS, -(-points.count() // 3)))
     sizes = cut_lineage(points.groupBy("d", "band").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")))
     dealt = points.join(sizes, ["d", "band"]).withColumn("shard", F.pmod(F.xxhash64("vkey"), "shards").cast("int"))
     index = cut_lineage(build_index(dealt, degree, alpha))
