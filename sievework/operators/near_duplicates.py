@@ -18,7 +18,7 @@ three bits or fewer and the work nears that of all pairs.
 from __future__ import annotations
 
 from itertools import combinations
-from math import comb, log2
+from math import ceil, comb, log2
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +32,9 @@ MAX_KEYS = 100
 SPLIT_LEVELS = 3
 # Splitting gives a value threshold + 1 keys for one; it stops before a value could have more keys than this.
 MAX_SPLIT_KEYS = 500
+# Keys that one task sorts, counts or pairs. Files of keys are small for their rows (a value repeats under all its keys), so
+# neither the size of a file nor that of a shuffle tells how many tasks they need, nor whether they may be broadcast.
+TASK_KEYS = 1 << 17
 BUCKET = ["mask", "bits"]
 
 
@@ -72,15 +75,21 @@ def _explode_keys(nodes: DataFrame, masks: list[int]) -> DataFrame:
         "bits", F.col("fp").bitwiseAND(F.col("mask")))
 
 
+def _dealt(keys: DataFrame, rows: int) -> DataFrame:
+    """Whole buckets in tasks of about TASK_KEYS of the `rows` keys."""
+    return keys.repartition(max(keys.sparkSession.sparkContext.defaultParallelism, ceil(rows / TASK_KEYS)), *BUCKET)
+
+
 def bucket_keys(nodes: DataFrame, rows: int, threshold: int, bucket_rows: int) -> tuple[DataFrame, bool]:
     """(fp, rank, mask, bits) per candidate bucket, and whether a bucket above `bucket_rows` is left."""
     masks = key_masks(rows, threshold)
     keys = _explode_keys(nodes, masks)
+    n_keys = rows * len(masks)
     done: DataFrame | None = None
     for level in range(SPLIT_LEVELS + 1):
         if rows <= bucket_rows:
             return keys if done is None else done.unionByName(keys), False
-        hot = cut_lineage(keys.groupBy(*BUCKET).agg(F.count("*").alias("n")).filter(F.col("n") > bucket_rows))
+        hot = cut_lineage(_dealt(keys, n_keys).groupBy(*BUCKET).agg(F.count("*").alias("n")).filter(F.col("n") > bucket_rows))
         if hot.isEmpty():
             return keys if done is None else done.unionByName(keys), False
         children = {m: split_mask(m, threshold) for m in masks}
@@ -98,13 +107,15 @@ def bucket_keys(nodes: DataFrame, rows: int, threshold: int, bucket_rows: int) -
         keys = cut_lineage(
             in_hot.select("fp", "rank", F.explode(longer[F.col("mask")]).alias("mask"))
             .withColumn("bits", F.col("fp").bitwiseAND(F.col("mask"))).distinct())
+        n_keys = keys.count()
     return keys if done is None else done.unionByName(keys), True
 
 
 def _earlier_pairs(left: DataFrame, right: DataFrame, threshold: int) -> DataFrame:
+    """(src, dst) at distance <= threshold that share a bucket, src the earlier. Never by a broadcast: see TASK_KEYS."""
     a = left.select(*BUCKET, F.col("fp").alias("a"), F.col("rank").alias("src"))
     b = right.select(*BUCKET, F.col("fp").alias("b"), F.col("rank").alias("dst"))
-    close = a.join(b, BUCKET).filter((F.col("src") < F.col("dst")) & (hamming(F.col("a"), F.col("b")) <= threshold))
+    close = a.join(b.hint("merge"), BUCKET).filter((F.col("src") < F.col("dst")) & (hamming(F.col("a"), F.col("b")) <= threshold))
     return close.select("src", "dst").distinct()
 
 
@@ -139,6 +150,8 @@ def leader_links(nodes: DataFrame, threshold: int, bucket_rows: int = BUCKET_ROW
         rows = undecided.count()
         keys, overfull = bucket_keys(undecided, rows, threshold, bucket_rows)
         if not overfull:
+            keys = cut_lineage(keys)
+            keys = _dealt(keys, keys.count())
             pairs = cut_lineage(_earlier_pairs(keys, keys, threshold))
             claimed, _ = _settle(pairs, None)
             if members is None:  # every pair was seen in one round

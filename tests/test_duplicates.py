@@ -6,6 +6,7 @@ import pytest
 
 from sievework.functions.fingerprints import from_hex
 from sievework.operators.duplicates import duplicate_report, duplicate_totals, resolve_duplicates
+from sievework.operators import near_duplicates
 from sievework.operators.near_duplicates import MAX_SPLIT_KEYS, bucket_keys, key_masks, leader_links, split_mask
 from pyspark.sql import functions as F
 
@@ -148,3 +149,22 @@ def test_a_tight_ball_is_exact_and_its_keys_stay_few(spark, threshold):
     keys, _ = bucket_keys(nodes, len(values), threshold, 20)
     most = keys.groupBy("rank").count().agg({"count": "max"}).first()[0]
     assert most <= max(MAX_SPLIT_KEYS, len(key_masks(len(values), threshold)))
+
+
+def test_keys_are_never_broadcast(spark, monkeypatch):
+    """Tables of keys are far larger than their files: every table made from them shuffles them, in tasks that grow with them."""
+    plans, cut = [], near_duplicates.cut_lineage
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(near_duplicates, "cut_lineage", noted)
+    monkeypatch.setattr(near_duplicates, "TASK_KEYS", 500)
+    rng = random.Random(5)
+    values = list({rng.getrandbits(64) ^ b for _ in range(150) for b in (0, 3, 1 << 40)})
+    assert links_of(spark, values, 4) == sequential(values, 4)
+    joined = [p for p in plans if "bit_count" in p]
+    assert joined and not any("Broadcast" in p for p in joined) and all("SortMergeJoin" in p for p in joined)
+    keys = spark.range(5).select(F.col("id").alias("mask"), F.col("id").alias("bits"))
+    assert near_duplicates._dealt(keys, 10_000).rdd.getNumPartitions() == 20
