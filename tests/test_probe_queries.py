@@ -4,6 +4,8 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as entry_points
+from sievework.plans import probes as plans
+from pyspark.sql import functions as F
 
 PLANS = entry_points.queries()
 
@@ -44,3 +46,17 @@ def test_shortcut_results(spark, sf_dir):
     # the language of a text shows in its letters
     assert report["source_by_features", "DOC_GOOD"].macro_f1 > 0.9
     assert report["class_by_metadata", "text"].note.startswith("DOC_GOOD 0.")
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 3])
+def test_letters_are_counted_in_one_pass(spark, sf_dir, tmp_path, monkeypatch, chunk):
+    monkeypatch.setattr(plans, "CHUNK", chunk)
+    odd = ["", None, " ", "É" * 5 + "İKÅßẞ", "x" * 3 + "é" * 70_001, "日本語Ã©ñÑ", "\U0001f600a", "ÄÖÜ ß", "ìÿ×÷ù"]
+    rows = spark.createDataFrame(list(enumerate(odd)), "doc_id LONG, text STRING")
+    some = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(20).select(F.col("doc_id") + 100, "text")
+    rows.union(some).write.parquet(f"{tmp_path}/documents.parquet")
+    found = plans.letter_shares(spark, str(tmp_path))
+    assert "translate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    found = {r.doc_id: r.features for r in found.collect()}
+    lowered = spark.read.parquet(f"{tmp_path}/documents.parquet").select("doc_id", F.lower("text").alias("t")).collect()
+    assert found == {r.doc_id: [r.t.count(c) / len(r.t) if r.t else 0.0 for c in plans.LETTERS] for r in lowered}
