@@ -1,6 +1,6 @@
 """Shortcut checks: what can be told from metadata, from features, from the source; PCA; a linear head.
 
-Linear probes of all scopes and folds are fitted together (`regressions`); forests on metadata are MLlib's, one after the other.
+Linear probes of all scopes and folds are fitted together (`regressions`); forests on metadata by `forests`, scope by scope.
 """
 
 from __future__ import annotations
@@ -8,17 +8,16 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PCA, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import PCA, StandardScaler, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.util import inheritable_thread_target
 
 from sievework.operators.evaluate import class_report, class_weights
+from sievework.operators.forests import fold_votes
 from sievework.operators.ranks import hash_ranked
 from sievework.operators.regressions import C, fit_many, held_out_predictions
 from sievework.operators.splits import stratified_folds
@@ -28,7 +27,7 @@ from sievework.session import SMALL_TABLE_ROWS, cut_lineage, small_table
 METADATA = ["width", "height", "aspect", "brightness", "sharpness_256", "file_bytes"]
 FOLDS = 5
 TREES = 300
-DEPTH = 30  # the limit of MLlib: trees are grown until their leaves are pure or as deep as that
+DEPTH = 30  # trees are grown until their leaves are pure or as deep as that
 
 
 def label_dictionary(df: DataFrame, label: str) -> list[str]:
@@ -47,34 +46,11 @@ def principal_components(df: DataFrame, features: str, k: int):
     return model, model.transform(rows).withColumn("components", vector_to_array("_pc")).drop("vec", "_pc")
 
 
-def _metadata_probe(rows: int, trees: int, depth: int) -> Pipeline:
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=METADATA, outputCol="meta", handleInvalid="keep"),
-        RandomForestClassifier(featuresCol="meta", labelCol="y", numTrees=trees, maxDepth=depth, seed=0)])
-
-
-def fold_predictions(data: DataFrame, make, folds: int = FOLDS) -> DataFrame:
-    """(fold, y_true, y_pred) of each fold under the model trained on the others.
-
-    The folds are fitted side by side, as CrossValidator does; every fit is a distributed job.
-    """
-    total = data.count()
-
-    def one(fold: int) -> DataFrame:
-        train, held = data.filter(F.col("fold") != fold), data.filter(F.col("fold") == fold)
-        model = make(total * (folds - 1) // folds).fit(train)
-        return model.transform(held).select("fold", F.col("y").alias("y_true"), F.col("prediction").alias("y_pred"))
-
-    with ThreadPool(folds) as pool:
-        parts = pool.map(inheritable_thread_target(data.sparkSession)(one), range(folds))
-    return reduce(DataFrame.unionByName, parts)
-
-
 def cross_validated_f1(df: DataFrame, label: str, id_col: str, make, folds: int = FOLDS, seed: int = 0) -> DataFrame:
-    """One row with macro_f1, the mean over folds. `df` has the columns the pipeline reads."""
-    indexed = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc").fit(df).transform(df)
-    data = cut_lineage(stratified_folds(indexed, folds, seed, label, id_col))
-    report = class_report(fold_predictions(data, make, folds), by=["fold"])
+    """One row with macro_f1, the mean over folds. `make(data, classes, folds)` gives (fold, y_true, y_pred) of rows (id, fold, y, …)."""
+    index = StringIndexer(inputCol=label, outputCol="y", stringOrderType="alphabetAsc").fit(df)
+    data = cut_lineage(stratified_folds(index.transform(df), folds, seed, label, id_col).withColumn("id", F.col(id_col)))
+    report = class_report(make(data, len(index.labels), folds), by=["fold"])
     return report.groupBy("fold").agg(F.avg("f1").alias("f1")).agg(F.bround(F.avg("f1"), 3).alias("macro_f1"))
 
 
@@ -85,11 +61,11 @@ class Probe:
     name: str
     scope: str
     label: str
-    make: Callable[[int], Pipeline] | None = None
+    make: Callable[[DataFrame, int, int], DataFrame] | None = None
 
 
 def probe_table(trees: int = TREES, depth: int = DEPTH) -> list[Probe]:
-    return [Probe("class_by_metadata", "crop", "class_id", lambda n: _metadata_probe(n, trees, depth)),
+    return [Probe("class_by_metadata", "crop", "class_id", lambda data, classes, folds: fold_votes(data, METADATA, classes, folds, trees, depth)),
             Probe("class_by_features", "crop", "class_id"), Probe("source_by_features", "class_id", "dataset_id")]
 
 
