@@ -1,6 +1,7 @@
 """Leader clustering against the sequential rule, and the outcomes of duplicate groups."""
 
 import random
+import re
 
 import pytest
 
@@ -8,6 +9,7 @@ from sievework.functions.fingerprints import from_hex
 from sievework.operators.duplicates import duplicate_report, duplicate_totals, resolve_duplicates
 from sievework.operators import near_duplicates
 from sievework.operators.near_duplicates import MAX_SPLIT_KEYS, bucket_keys, key_masks, leader_links, split_mask
+from sievework.plans import all_queries
 from pyspark.sql import functions as F
 
 
@@ -168,3 +170,22 @@ def test_keys_are_never_broadcast(spark, monkeypatch):
     assert joined and not any("Broadcast" in p for p in joined) and all("SortMergeJoin" in p for p in joined)
     keys = spark.range(5).select(F.col("id").alias("mask"), F.col("id").alias("bits"))
     assert near_duplicates._dealt(keys, 10_000).rdd.getNumPartitions() == 20
+
+
+@pytest.mark.parametrize("name", ["cross_dataset_pairs"])
+def test_queries_on_duplicates_deal_their_keys(spark, sf_dir, monkeypatch, name):
+    """One task must not pair a part of all keys that grows with the table: the tasks follow the number of keys."""
+    pairs, cut = [], near_duplicates.cut_lineage
+
+    def noted(df):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        if "bit_count" in plan:
+            pairs.append(plan)
+        return cut(df)
+
+    monkeypatch.setattr(near_duplicates, "cut_lineage", noted)
+    monkeypatch.setattr(near_duplicates, "TASK_KEYS", 20)
+    all_queries()[name].plan(spark, sf_dir)
+    tasks = [int(n) for plan in pairs for n in re.findall(r"hashpartitioning\(mask#\d+L, bits#\d+L, (\d+)\), REPARTITION", plan)]
+    assert pairs and not any("Broadcast" in plan for plan in pairs) and len(tasks) == 2 * len(pairs)
+    assert min(tasks) > spark.sparkContext.defaultParallelism
