@@ -172,7 +172,8 @@ def test_keys_are_never_broadcast(spark, monkeypatch):
     assert near_duplicates._dealt(keys, 10_000).rdd.getNumPartitions() == 20
 
 
-@pytest.mark.parametrize("name", ["cross_dataset_pairs", "curated_manifest", "curated_status", "duplicate_members", "duplicate_report", "duplicate_totals", "leakage_groups", "most_removed"])
+@pytest.mark.parametrize("name", ["cross_dataset_pairs", "curated_manifest", "curated_status", "duplicate_members",
+                                  "duplicate_report", "duplicate_totals", "leakage_groups", "most_removed"])
 def test_queries_on_duplicates_deal_their_keys(spark, sf_dir, monkeypatch, name):
     """One task must not pair a part of all keys that grows with the table: the tasks follow the number of keys."""
     pairs, cut = [], near_duplicates.cut_lineage
