@@ -75,16 +75,25 @@ def _explode_keys(nodes: DataFrame, masks: list[int]) -> DataFrame:
         "bits", F.col("fp").bitwiseAND(F.col("mask")))
 
 
+def _tasks(df: DataFrame, keys: int) -> int:
+    return max(df.sparkSession.sparkContext.defaultParallelism, ceil(keys / TASK_KEYS))
+
+
 def _dealt(keys: DataFrame, rows: int) -> DataFrame:
     """Whole buckets in tasks of about TASK_KEYS of the `rows` keys."""
-    return keys.repartition(max(keys.sparkSession.sparkContext.defaultParallelism, ceil(rows / TASK_KEYS)), *BUCKET)
+    return keys.repartition(_tasks(keys, rows), *BUCKET)
+
+
+def _spread(nodes: DataFrame, keys: int) -> DataFrame:
+    """Values in tasks that make about TASK_KEYS of all `keys` keys each: one task may read a whole file of values."""
+    return nodes.repartition(_tasks(nodes, keys), "rank")
 
 
 def bucket_keys(nodes: DataFrame, rows: int, threshold: int, bucket_rows: int) -> tuple[DataFrame, bool]:
     """(fp, rank, mask, bits) per candidate bucket, and whether a bucket above `bucket_rows` is left."""
     masks = key_masks(rows, threshold)
-    keys = _explode_keys(nodes, masks)
     n_keys = rows * len(masks)
+    keys = _explode_keys(_spread(nodes, n_keys), masks)
     done: DataFrame | None = None
     for level in range(SPLIT_LEVELS + 1):
         if rows <= bucket_rows:

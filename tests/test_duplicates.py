@@ -190,3 +190,13 @@ def test_queries_on_duplicates_deal_their_keys(spark, sf_dir, monkeypatch, name)
     tasks = [int(n) for plan in pairs for n in re.findall(r"hashpartitioning\(mask#\d+L, bits#\d+L, (\d+)\), REPARTITION", plan)]
     assert pairs and not any("Broadcast" in plan for plan in pairs) and len(tasks) == 2 * len(pairs)
     assert min(tasks) > spark.sparkContext.defaultParallelism
+
+
+def test_keys_are_made_in_tasks_by_their_count(spark, monkeypatch):
+    """A file of values is small, and one task may read all of it; it must not make and send all keys."""
+    monkeypatch.setattr(near_duplicates, "TASK_KEYS", 500)
+    rng = random.Random(11)
+    nodes = spark.createDataFrame([(signed(rng.getrandbits(64)), i) for i in range(2000)], "fp BIGINT, rank BIGINT").coalesce(1)
+    keys, overfull = bucket_keys(nodes, 2000, 4, 512)
+    most = keys.groupBy(F.spark_partition_id().alias("task")).count().agg({"count": "max"}).first()[0]
+    assert not overfull and keys.count() == 2000 * len(key_masks(2000, 4)) and most < 3 * 500
